@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .joins import rjoin
 
 
-def _literal_rows(values: Sequence) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+def _literal_rows(values: Sequence, dtype=None) -> Column:
+    return F.array(*[F.lit(v) if dtype is None else F.lit(v).cast(dtype) for v in values])
 
 
 def pair_wide(df: DataFrame, ids: Sequence[str], role: str, roles: Sequence,
@@ -105,7 +105,8 @@ def gather(df: DataFrame, ids: Sequence[str], cols: Sequence[str], name: str, va
 def separate(df: DataFrame, column: str, into: Sequence[str], pattern: str) -> DataFrame:
     """Split a text column into named pieces."""
     parts = F.split(F.col(column), pattern)
-    return df.withColumns({n: F.get(parts, F.lit(i)) for i, n in enumerate(into)}).drop(column)
+    out = df.withColumns({n: F.get(parts, F.lit(i)) for i, n in enumerate(into)})
+    return out if column in into else out.drop(column)
 
 
 def years_to_rows(df: DataFrame, ids: Sequence[str], value: str, time: str = "year") -> DataFrame:
@@ -152,7 +153,7 @@ def complete(df: DataFrame, keys: Sequence[str], fill=0, levels: Mapping[str, Se
     else:
         grid = df.sparkSession.range(1).select()
     for k, vals in levels.items():
-        grid = grid.withColumn(k, F.explode(_literal_rows(vals)).cast(df.schema[k].dataType))
+        grid = grid.withColumn(k, F.explode(_literal_rows(vals, df.schema[k].dataType)))
     out = rjoin(grid.select(*keys), df, list(keys))
     if fill is None:
         return out
@@ -163,7 +164,7 @@ def complete(df: DataFrame, keys: Sequence[str], fill=0, levels: Mapping[str, Se
 def calendar(df: DataFrame, key: Sequence[str], start: int, stop: int, time: str = "year") -> DataFrame:
     """Every year from start to stop for each key."""
     return (df.select(*key).distinct()
-            .withColumn(time, F.explode(F.sequence(F.lit(start), F.lit(stop))).cast("int")))
+            .withColumn(time, F.explode(F.sequence(F.lit(start).cast("int"), F.lit(stop).cast("int")))))
 
 
 def carry_forward(df: DataFrame, time: str, from_time: int, to_times: Sequence[int]) -> DataFrame:

@@ -30,6 +30,21 @@ def local_session(app: str = "panelstats", cpus: str | int = "*", **conf: str) -
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for staged data: ``spark.checkpoint.dir``, or a local one where that is unset."""
+    sc = spark.sparkContext
+    have = sc._jsc.sc().getCheckpointDir()
+    if have.isDefined():
+        return have.get()
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = os.path.join(tempfile.gettempdir(), f"panelstats-{os.getpid()}")
+    sc.setCheckpointDir(folder)
+    return folder
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write an aggregated intermediate once and continue from the written copy.
 
@@ -37,12 +52,5 @@ def stage(df: DataFrame) -> DataFrame:
     so the raw scan runs once. The copy is a checkpoint in the folder that the cluster
     names in ``spark.checkpoint.dir``: it outlives lost executors.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = os.path.join(tempfile.gettempdir(), f"panelstats-{os.getpid()}")
-        sc.setCheckpointDir(folder)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
