@@ -35,7 +35,7 @@ def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
 
 def q(expr: str, digits: int = 6) -> str:
     """SQL twin of :func:`r`."""
-    return f"(round({expr}, {digits}) + 0.0)"
+    return f"(round(CAST({expr} AS DOUBLE), {digits}) + 0.0)"
 
 
 # Order lines as survey rows: weight = quantity, state = supplier nation, year of shipping, two flags.

@@ -13,6 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from .threads import single
+
 _FEW = 64
 
 
@@ -20,7 +22,10 @@ def accumulate(df: DataFrame, fn: Callable[[pd.DataFrame], np.ndarray], size: in
                staged: bool = False) -> np.ndarray:
     """``sum(fn(batch))`` over all batches, a vector of ``size`` numbers."""
 
+    single()
+
     def fold(batches):
+        single()
         total = np.zeros(size)
         for pdf in batches:
             if len(pdf):
@@ -59,6 +64,7 @@ def group_sums(df: DataFrame, keys: Sequence[str], fn: Callable[[pd.DataFrame],
                        + [f"`{n}` double" for n in names])
 
     def presum(batches):
+        single()
         for pdf in batches:
             if not len(pdf):
                 continue

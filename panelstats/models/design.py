@@ -196,8 +196,8 @@ def _label(v: str, x) -> str:
 class ModelFrame:
     """Complete cases of a formula's variables, with the sums per distinct row.
 
-    Fields: one per variable, ``__n`` rows, ``__w`` weight, ``__wy`` and ``__wyy`` weighted sums
-    of the response, and the extra key columns (clusters, groups).
+    Fields: one per variable, ``__n`` rows, ``__w`` weight, ``__wy``, ``__wyy`` and ``__wyl`` weighted
+    sums of y, y squared and y ln y, and the extra key columns (clusters, groups).
     """
 
     df: DataFrame
@@ -207,6 +207,11 @@ class ModelFrame:
     response_field: str | None = None
 
 
+def _ylogy() -> Column:
+    """Weighted y ln y, which a count model's deviance needs beside the fitted part."""
+    return F.when(F.col("__y") > 0, F.col("__w") * F.col("__y") * F.ln("__y")).otherwise(F.lit(0.0))
+
+
 _NUMBERS = ("double", "float", "integer", "long", "short", "byte")
 
 
@@ -246,7 +251,8 @@ def model_frame(df: DataFrame, formula: str | Formula, weights: str | None = Non
     keys = [field_of[v] for v in f.variables] + list(extra_fields.values()) + (["__y"] if keep_response else [])
     yy = [] if keep_response else [
         F.sum(F.col("__w") * F.col("__y")).alias("__wy"),
-        F.sum(F.col("__w") * F.col("__y") * F.col("__y")).alias("__wyy")]
+        F.sum(F.col("__w") * F.col("__y") * F.col("__y")).alias("__wyy"),
+        F.sum(_ylogy()).alias("__wyl")]
     if compress and keys:
         n = F.col("__n") if "__n" in frame.columns else F.lit(1)
         frame = frame.groupBy(*keys).agg(F.sum(n).cast("double").alias("__n"),
@@ -255,7 +261,8 @@ def model_frame(df: DataFrame, formula: str | Formula, weights: str | None = Non
         frame = frame.withColumn("__n", F.lit(1.0))
         if not keep_response:
             frame = frame.withColumns({"__wy": F.col("__w") * F.col("__y"),
-                                       "__wyy": F.col("__w") * F.col("__y") * F.col("__y")}).drop("__y")
+                                       "__wyy": F.col("__w") * F.col("__y") * F.col("__y"),
+                                       "__wyl": _ylogy()}).drop("__y")
     staged = bool(compress) or iterative
     if staged:
         frame = stage(frame)

@@ -15,6 +15,7 @@ from ..session import stage
 from .accumulate import accumulate, group_sums
 from .design import Design, ModelFrame, variable_column
 from .dist import chi2_sf, norm_quantile, norm_sf2, t_quantile, t_sf2
+from .threads import single
 
 
 def independent_columns(gram: np.ndarray, tol: float = 1e-10) -> np.ndarray:
@@ -228,6 +229,7 @@ class Fit:
                            + [f"`{out}` double", f"`{out}_se` double", f"`{out}_low` double", f"`{out}_high` double"])
 
         def run(batches):
+            single()
             for pdf in batches:
                 x = d.matrix(pdf, plain=True)
                 eta = x @ b

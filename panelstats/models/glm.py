@@ -46,33 +46,35 @@ def step_block(kind: str, d: Design, keep: np.ndarray | None, beta: np.ndarray |
     xw = x * (w * var)[:, None]
     xz = xw.T @ eta + x.T @ (wy - w * mu)
     if kind == "poisson":
-        ylog = np.where(wy > 0, wy * np.log(np.where(wy > 0, y, 1.0) / mu), 0.0)
-        dev = 2.0 * (ylog - (wy - w * mu)).sum()
+        dev = 2.0 * (pdf["__wyl"].to_numpy(dtype=float) - wy * np.log(mu) - (wy - w * mu)).sum()
     else:
         p = np.clip(mu, 1e-300, 1.0)
         dev = -2.0 * (wy * np.log(p) + (w - wy) * np.log(np.clip(1 - p, 1e-300, 1.0))).sum()
     pearson = ((wyy - 2 * mu * wy + mu * mu * w) / var).sum()
-    return np.concatenate([(x.T @ xw).ravel(), xz, [dev, pearson, pdf["__n"].sum()]])
+    return np.concatenate([(x.T @ xw).ravel(), xz, [dev, pearson, pdf["__n"].sum(), wy.sum()]])
 
 
-def irls(kind: str, d: Design, total: Callable, max_iter: int = 60, tol: float = 1e-11):
+def irls(kind: str, d: Design, total: Callable, max_iter: int = 60, tol: float = 1e-20):
     """Fit by repeated ``total(block, size)`` sums; gives kept columns, beta, bread and the sums."""
     k = d.k
-    flat = total(lambda pdf: step_block(kind, d, None, None, pdf), k * k + k + 3)
+    flat = total(lambda pdf: step_block(kind, d, None, None, pdf), k * k + k + 4)
     keep = independent_columns(flat[: k * k].reshape(k, k))
     q = len(keep)
     a = flat[: k * k].reshape(k, k)[np.ix_(keep, keep)]
     beta = inverse(a) @ flat[k * k: k * k + k][keep]
-    last = None
+    before = np.inf
     for _ in range(max_iter):
         cur = beta
-        flat = total(lambda pdf: step_block(kind, d, keep, cur, pdf), q * q + q + 3)
+        flat = total(lambda pdf: step_block(kind, d, keep, cur, pdf), q * q + q + 4)
         a, xz = flat[: q * q].reshape(q, q), flat[q * q: q * q + q]
-        dev, pearson, n = flat[q * q + q:]
+        dev, pearson, n, size = flat[q * q + q:]
         bread = inverse(a)
-        if last is not None and abs(dev - last) <= tol * (abs(dev) + 0.1):
+        beta = bread @ xz
+        # what the step would gain, in units of the likelihood; it stops at rounding noise
+        gain = float((beta - cur) @ a @ (beta - cur)) / max(size, 1.0)
+        if gain <= tol or (gain < 1e-9 and gain > 0.25 * before):
             return keep, cur, bread, dev, pearson, int(round(n))
-        last, beta = dev, bread @ xz
+        before = gain
     raise RuntimeError("the fit did not converge")
 
 
@@ -113,9 +115,11 @@ def panel_fit(pdf: pd.DataFrame, kind: str, formula: str, factors: Sequence[str]
               cluster: str | None = None, levels: Mapping[str, Sequence] | None = None) -> pd.DataFrame:
     """Coefficients of one count panel that a task holds (a sweep fits many side by side)."""
     from .design import local_design
+    from .threads import single
+    single()
     d = local_design(pdf, formula, factors, levels)
     v = pdf[y].to_numpy(dtype=float)
-    work = pdf.assign(__w=1.0, __wy=v, __wyy=v * v, __n=1.0)
+    work = pdf.assign(__w=1.0, __wy=v, __wyy=v * v, __n=1.0, __wyl=np.where(v > 0, v * np.log(np.where(v > 0, v, 1.0)), 0.0))
     keep, beta, bread, dev, pearson, n = irls(kind, d, lambda fn, size: fn(work))
     m = d.undo()[np.ix_(keep, keep)]
     cov = pearson / (n - len(keep)) * bread

@@ -13,6 +13,7 @@ from ..operators.joins import rjoin
 from .accumulate import accumulate, group_sums
 from .design import Formula, ModelFrame, model_frame, variable_column
 from .fit import Fit, cluster_map, independent_columns, inverse, table_frame
+from .threads import single
 
 
 def gram_block(design, pdf: pd.DataFrame) -> np.ndarray:
@@ -198,6 +199,7 @@ def _variant_covariance(frame, names, designs, view, solved, fits, fields) -> No
                       + ["variant int"] + [f"{c} double" for c in cols])
 
     def presum(batches):
+        single()
         for pdf in batches:
             for i, v in enumerate(names):
                 x = designs[v].matrix(pdf)

@@ -193,8 +193,8 @@ def cumulative_logits(df: DataFrame, formula: str, cuts: Sequence[int], weights:
         for i, cut in enumerate(cuts):
             t = (y > cut).astype(float)
             if betas is None:
-                mu = (w * t + 0.5) / (w + 1.0)
-                var, eta = mu * (1 - mu), np.log(mu / (1 - mu))
+                mu = np.full(len(t), 0.5)
+                var, eta = mu * (1 - mu), np.zeros(len(t))
             else:
                 eta = x @ betas[i]
                 mu, var = _mean("logit", eta)

@@ -49,7 +49,7 @@ def differences(spark_df, con, sql: str) -> list[str]:
     out = []
     for a, b in zip(mine, theirs):
         for c, x, y in zip(order, a, b):
-            if x == y or (isinstance(x, float) and isinstance(y, (int, float)) and x == float(y)):
+            if x == y and (x is None or type(x) is type(y)):
                 continue
             out.append(f"{c}: {x!r} != {y!r} in {a} / {b}")
         if len(out) > 4:
