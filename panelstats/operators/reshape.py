@@ -42,12 +42,10 @@ def pair_wide(df: DataFrame, ids: Sequence[str], role: str, roles: Sequence,
               for r, n in zip(roles, names)]
     wide = df.groupBy(*ids).agg(*aggs, *counts)
     single = reduce(lambda a, b: a & b, [F.col(f"__n_{n}") <= 1 for n in names])
-    guard = F.when(single, F.lit(True)).otherwise(
-        F.raise_error(F.lit(f"a household holds a {role} twice")).cast("boolean"))
-    keep = guard
-    if require:
-        keep = keep & reduce(lambda a, b: a & b, [F.col(f"__n_{n}") == 1 for n in names])
-    return wide.where(keep).drop(*[f"__n_{n}" for n in names])
+    fail = F.raise_error(F.lit(f"a household holds a {role} twice")).cast("boolean")
+    found = reduce(lambda a, b: a & b, [F.col(f"__n_{n}") == 1 for n in names]) if require else F.lit(True)
+    # one CASE, so that the check runs before any row is dropped
+    return wide.where(F.when(~single, fail).otherwise(found)).drop(*[f"__n_{n}" for n in names])
 
 
 def pair_long(df: DataFrame, roles: Sequence[str], role: str = "position",
