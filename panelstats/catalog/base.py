@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..session import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -101,8 +103,9 @@ PERSONS_SQL = "p AS (" + PERSONS_SELECT.format(
 
 
 def person_records(spark: SparkSession, sf: str) -> DataFrame:
-    names = ("lineitem", "orders", "customer", "supplier")
-    return spark.sql(PERSONS_SELECT, **{n: table(spark, sf, n) for n in names})
+    names = ("orders", "customer", "supplier")
+    rows = spread(table(spark, sf, "lineitem"), "l_orderkey")
+    return spark.sql(PERSONS_SELECT, lineitem=rows, **{n: table(spark, sf, n) for n in names})
 
 
 # Cleaned records: the same text serves the oracles of the study tables.

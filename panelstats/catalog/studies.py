@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import wmean
 from ..plans import areas, counts, couples as cp, covariates as cv, dyads, rankings
-from ..session import stage
+from ..session import stage, stage_table
 from .base import (
     CLEAN_SQL, COUPLE_IDS, COUPLES_SQL, HOUSEHOLD, MEMBERS_SQL, PERSONS_SQL, clean_persons, couple_rows, immigrant_members,
     person_records, q, query, r, rounded, table,
@@ -76,7 +76,7 @@ _DYAD_OUT = ["n_same_sex", "n_dif_sex", "n_spouse_same_sex", "n_partner_same_sex
 
 
 def dyads_of(spark, sf):
-    members = stage(immigrant_members(spark, sf))
+    members = stage_table(immigrant_members(spark, sf))
     return dyads.dyad_panel(members, clean_persons(spark, sf))
 
 

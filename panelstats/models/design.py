@@ -158,19 +158,35 @@ class Design:
         x = np.full(len(pdf), fixed[v], dtype=object) if v in fixed else pdf[self.field_of[v]].to_numpy(dtype=object)
         return np.column_stack([(x == level).astype(float) for level in lv]) if lv else np.zeros((len(pdf), 0))
 
-    def matrix(self, pdf: pd.DataFrame, fixed: Mapping | None = None, plain: bool = False) -> np.ndarray:
-        """Design rows of a batch; ``fixed`` overrides variables with one value."""
+    def matrix(self, pdf: pd.DataFrame, fixed: Mapping | None = None, plain: bool = False,
+               without: Sequence[str] = ()) -> np.ndarray:
+        """Design rows of a batch; ``fixed`` overrides variables with one value.
+
+        Variables in ``without`` are left out of every product; :meth:`constants` gives their part.
+        """
         fixed = fixed or {}
         out = [np.ones((len(pdf), 1))] if self.intercept else []
         for block in self.blocks:
             cur = None
             for v, lv in block:
-                x = self._variable(pdf, v, lv, fixed)
+                if v in without:
+                    x = np.ones((len(pdf), 1 if lv is None else len(lv)))
+                else:
+                    x = self._variable(pdf, v, lv, fixed)
                 cur = x if cur is None else (x[:, :, None] * cur[:, None, :]).reshape(len(pdf), -1)
             out.append(cur)
         x = np.hstack(out) if out else np.zeros((len(pdf), 0))
         return x if plain else (x - self.shift) / self.unit
 
+    def constants(self, point: Mapping) -> np.ndarray:
+        """What the set variables contribute to each column at a grid point."""
+        out = np.ones(len(self.parts))
+        for j, combo in enumerate(self.parts):
+            for v, level in combo:
+                if v in point:
+                    out[j] *= float(point[v]) if self.levels[v] is None else float(point[v] == level)
+        return out
+
     def columns(self, df: DataFrame) -> list[Column]:
         """The plain design columns as Spark expressions."""
         out = []

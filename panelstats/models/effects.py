@@ -49,6 +49,22 @@ def counterfactual(fit: Fit, df: DataFrame, grid: Mapping[str, Sequence], respon
     """
     d, points, k = fit.design, grid_points(grid), fit.design.k
     b, v, kind = fit.full_coef(), fit.full_vcov(), fit.kind
+    if kind == "linear" or not response:
+        # a set variable is a constant factor of its columns: one cross product serves every point
+        free = list(grid)
+
+        def cross(pdf):
+            x = d.matrix(pdf, plain=True, without=free)
+            return np.concatenate([(x.T @ x).ravel(), x.sum(0), [len(pdf)]])
+
+        flat = accumulate(_fields(fit, df), cross, k * k + k + 1)
+        n, gram, mean = flat[-1], flat[: k * k].reshape(k, k) / flat[-1], flat[k * k: -1] / flat[-1]
+        rows = []
+        for point in points:
+            c = d.constants(point)
+            f, se = float(c * mean @ b), math.sqrt(max(float((np.outer(c, c) * gram * v).sum()), 0.0))
+            rows.append({**point, "fit": f, "se_fit": se, "fit_low": f - z * se, "fit_high": f + z * se})
+        return table_frame(fit.spark, pd.DataFrame(rows))
 
     def block(pdf):
         out = np.zeros((len(points), 3))
@@ -166,11 +182,13 @@ def simulate(fit: Fit, df: DataFrame, grid: Mapping[str, Sequence], draws: int =
         return np.append(out.ravel(), len(pdf))
 
     if kind == "linear":
-        # the mean of linear predictions is the prediction at the mean design row
-        def rows(pdf):
-            return np.append(np.stack([d.matrix(pdf, p, plain=True).sum(0) for p in points]).ravel(), len(pdf))
-        flat = accumulate(_fields(fit, df), rows, len(points) * k + 1)
-        means = (flat[:-1].reshape(len(points), k) / flat[-1] @ thetas[:, :k].T)[:, None, :]
+        # the mean of linear predictions is the prediction at the mean design row, and a set
+        # variable is a constant factor of its columns: one mean row serves every point and draw
+        free = list(grid)
+        flat = accumulate(_fields(fit, df),
+                          lambda pdf: np.append(d.matrix(pdf, plain=True, without=free).sum(0), len(pdf)), k + 1)
+        shares = np.stack([d.constants(p) for p in points]) * (flat[:-1] / flat[-1])
+        means = (shares @ thetas[:, :k].T)[:, None, :]
     else:
         flat = accumulate(_fields(fit, df), block, len(points) * len(classes) * draws + 1)
         means = flat[:-1].reshape(len(points), len(classes), draws) / flat[-1]

@@ -104,7 +104,7 @@ def _absorbed(df: DataFrame, formula: str, weights: str | None, cluster: Sequenc
 
 def ols_variants(df: DataFrame, formula: str, variants: Mapping[str, Mapping[str, str]],
                  weights: str | None = None, cluster: Sequence[str] = (),
-                 levels: Mapping[str, Sequence] | None = None) -> DataFrame:
+                 levels: Mapping[str, Sequence] | None = None, compress: bool | None = None) -> DataFrame:
     """Fit one formula under many replacements of its variables in one pass over the rows.
 
     ``variants`` is ``{name: {column: SQL expression}}``. Each task keeps one Gram block per
@@ -117,7 +117,7 @@ def ols_variants(df: DataFrame, formula: str, variants: Mapping[str, Mapping[str
     for v in names:
         for c, e in variants[v].items():
             slots[(v, c)] = f"__v{len(slots)}"
-            work = work.withColumn(slots[(v, c)], F.expr(e).cast("double"))
+            work = work.withColumn(slots[(v, c)], F.expr(e))
 
     def formula_of(v: str) -> str:
         text = formula
@@ -128,12 +128,12 @@ def ols_variants(df: DataFrame, formula: str, variants: Mapping[str, Mapping[str
     parts = {v: Formula(formula_of(v)) for v in names}
     variables = list(dict.fromkeys(x for p in parts.values() for x in p.variables))
     responses = list(dict.fromkeys(p.response for p in parts.values()))
-    union = Formula(f"{base.response} ~ " + " + ".join(variables))
+    union = Formula(f"{responses[0]} ~ " + " + ".join(variables))
     union.terms = [(x,) for x in variables]
-    if base.response in [c for v in names for c in variants[v]]:
-        union.response = responses[0]
-    keep = [*cluster, *[r for r in responses if r not in cluster]]
-    frame = model_frame(work, union, weights, keep, levels, compress=False, iterative=True)
+    # rows with equal regressors merge unless the response itself varies over the variants
+    own_response = len(responses) > 1
+    keep = [*cluster, *[r for r in responses if r not in cluster]] if own_response else list(cluster)
+    frame = model_frame(work, union, weights, keep, levels, compress=False if own_response else compress, iterative=True)
     at = {c: f"e{i}" for i, c in enumerate(keep)}
     designs = {}
     for v in names:
@@ -144,6 +144,8 @@ def ols_variants(df: DataFrame, formula: str, variants: Mapping[str, Mapping[str
     blocks = [k * k + k + 5 for k in sizes]
 
     def view(pdf, v):
+        if not own_response:
+            return pdf
         y = pdf[at[parts[v].response]].to_numpy(dtype=float)
         w = pdf["__w"].to_numpy(dtype=float)
         return pdf.assign(__wy=w * y, __wyy=w * y * y)

@@ -104,7 +104,7 @@ def _one_factor(frame, xy, pick, cross, profile, rounds, width):
         i = int(np.argmin([c for c, _ in res]))
         best = (grid[i], res[i][1], res[i][0])
         low, high = grid[max(i - 1, 0)], grid[min(i + 1, len(grid) - 1)]
-        if high <= low or (high - low) < 1e-9 * max(high, 1e-9):
+        if high <= low or (high - low) < 1e-7 * max(high, 1e-9):
             break
         grid = list(np.linspace(low, high, width))
     return best

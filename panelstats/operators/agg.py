@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import stage
 from .joins import attach, rjoin
 
 
@@ -161,24 +162,24 @@ def trend(df: DataFrame, y: str, x: str, by: Sequence[str] = ()) -> DataFrame:
 
 
 def quantiles(df: DataFrame, by: Sequence[str], c: str, probs: Sequence[float],
-              splits: int = 64) -> DataFrame:
+              splits: int = 32) -> DataFrame:
     """Exact interpolated quantiles (h = (n-1)p) that survive a group of any size.
 
-    Values are counted first, then laid into value ranges by sketched split points; range
-    counts locate the two ranks each quantile needs, and only the ranges that hold them are
-    ordered. No task sorts a whole group.
+    Values are counted first; sketched split points cut the distinct values of a group into
+    ranges of like size. Range counts locate the two ranks each quantile needs, and only the
+    ranges that hold them are ordered. No task sorts a whole group.
     """
     by = list(by)
     x = F.col(c).cast("double")
     known = df.where(x.isNotNull()).select(*by, x.alias("__x"))
     counts = known.groupBy(*by, "__x").agg(F.count(F.lit(1)).alias("__n"))
     marks = [i / splits for i in range(1, splits)]
-    edges = known.groupBy(*by).agg(
-        F.percentile_approx("__x", marks, F.lit(1000)).alias("__edges"),
-        F.count(F.lit(1)).alias("__total"))
+    edges = counts.groupBy(*by).agg(
+        F.percentile_approx("__x", marks, F.lit(1000)).alias("__edges"), F.sum("__n").alias("__total"))
     cells = attach(counts, edges, by)
-    cells = cells.withColumn(
-        "__range", F.size(F.filter("__edges", lambda e: e < F.col("__x")))).drop("__edges")
+    # compiled comparisons; a lambda over the array would run interpreted per row
+    place = sum(((F.col("__edges")[i] < F.col("__x")).cast("int") for i in range(len(marks))), F.lit(0))
+    cells = stage(cells.withColumn("__range", place).drop("__edges"))
     ranges = cells.groupBy(*by, "__range", "__total").agg(F.sum("__n").alias("__rn"))
     upto = F.sum("__rn").over(Window.partitionBy(*by).orderBy("__range"))
     ranges = ranges.withColumn("__start", upto - F.col("__rn"))
@@ -187,16 +188,17 @@ def quantiles(df: DataFrame, by: Sequence[str], c: str, probs: Sequence[float],
     need = (ranges.select("*", F.inline(want))
             .withColumns({"__lo": F.floor(h), "__hi": F.ceil(h), "__frac": h - F.floor(h)}))
     end = F.col("__start") + F.col("__rn")
-    need = need.where((F.col("__lo").between(F.col("__start"), end - 1))
-                      | (F.col("__hi").between(F.col("__start"), end - 1)))
-    hot = rjoin(cells.drop("__total"), need.select(*by, "__range", "__start").distinct(), [*by, "__range"], "inner")
+    need = need.where(F.col("__lo").between(F.col("__start"), end - 1) | F.col("__hi").between(F.col("__start"), end - 1))
+    need = need.groupBy(*by, "__range", "__start").agg(F.collect_list(F.struct("p", "__lo", "__hi", "__frac")).alias("__want"))
+    hot = rjoin(cells.drop("__total"), need, [*by, "__range"], "inner")
     run = F.sum("__n").over(Window.partitionBy(*by, "__range").orderBy("__x"))
     placed = hot.withColumn("__end", F.col("__start") + run).withColumn("__begin", F.col("__end") - F.col("__n"))
-    hits = rjoin(placed.select(*by, "__range", "__x", "__begin", "__end"),
-                 need.select(*by, "__range", "p", "__lo", "__hi", "__frac"), [*by, "__range"], "inner")
+    hits = placed.select(*by, "__x", "__begin", "__end", F.inline("__want"))
+    inside = lambda c: (F.col(c) >= F.col("__begin")) & (F.col(c) < F.col("__end"))
+    hits = hits.where(inside("__lo") | inside("__hi"))
 
     def at(rank: str) -> Column:
-        return F.max(F.when((F.col(rank) >= F.col("__begin")) & (F.col(rank) < F.col("__end")), F.col("__x")))
+        return F.max(F.when(inside(rank), F.col("__x")))
 
     solved = hits.groupBy(*by, "p", "__frac").agg(at("__lo").alias("a"), at("__hi").alias("b"))
     value = F.col("a") + F.col("__frac") * (F.col("b") - F.col("a"))

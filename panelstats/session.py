@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +18,8 @@ def local_session(app: str = "panelstats", cpus: str | int = "*", **conf: str) -
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        # no stack walk per column expression while a plan is built
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.driver.memory": "8g",
         "spark.driver.host": "127.0.0.1",
         "spark.driver.bindAddress": "127.0.0.1",
@@ -45,6 +48,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def stage_table(df: DataFrame) -> DataFrame:
+    """Write a row-level intermediate as a Parquet table of the shared folder and read it back.
+
+    Several analyses then read only the columns they need.
+    """
+    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write an aggregated intermediate once and continue from the written copy.
 
@@ -54,3 +67,14 @@ def stage(df: DataFrame) -> DataFrame:
     """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Use all cores on a scan of fewer splits than cores, ahead of heavy row expressions.
+
+    A table of any size has more splits than cores and stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
