@@ -122,17 +122,23 @@ def transpose(df: DataFrame, key: str, levels: Sequence, name: str = "variable")
     return long.groupBy(name).pivot(key, list(levels)).agg(F.max("__value"))
 
 
-def product(sides: Sequence[DataFrame], buckets: int = 16) -> DataFrame:
+def product(sides: Sequence[DataFrame], tiles: int = 6) -> DataFrame:
     """All combinations of the rows of several distinct-key tables.
 
-    Every side after the first is copied to each bucket and the first is spread over the
-    buckets, so the grid comes from an equality join and its rows are even over the tasks.
+    A row of one side owns a tile row and is copied along it, a row of the other owns a tile
+    column: each pair meets in exactly one of tiles x tiles cells. The grid thus comes from an
+    equality join whose work is even over the tasks, however unequal the sides.
     """
+    every = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
+
+    def own(df: DataFrame) -> Column:
+        return F.pmod(F.xxhash64(*df.columns), F.lit(tiles)).cast("int")
+
     out = sides[0]
     for side in sides[1:]:
-        left = out.withColumn("__b", F.pmod(F.xxhash64(*out.columns), F.lit(buckets)).cast("int"))
-        right = side.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-        out = left.join(right, "__b").drop("__b")
+        left = out.withColumn("__i", own(out)).withColumn("__j", every)
+        right = side.withColumn("__j", own(side)).withColumn("__i", every)
+        out = left.join(right, ["__i", "__j"]).drop("__i", "__j")
     return out
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .joins import rjoin, semi_in
+from .panel import row_id
 
 
 def _order(by: Sequence[str]) -> list[Column]:
@@ -69,5 +70,5 @@ def min_cell(df: DataFrame, key: Sequence[str], at_least: int) -> DataFrame:
 
 
 def factor_order(df: DataFrame, key: str, by: Sequence[str], out: str = "level_order") -> DataFrame:
-    """Position of each level of a small result table under a sort."""
-    return df.withColumn(out, F.row_number().over(Window.orderBy(*_order(by), F.col(key))))
+    """Position of each level under a sort, the key breaking ties."""
+    return row_id(df, [*_order(by), F.col(key)], out).withColumn(out, F.col(out).cast("int"))

@@ -83,6 +83,19 @@ def test_row_id_counts_over_partitions(spark):
     assert sorted((r["id"], r["x"]) for r in out) == [(i + 1, i) for i in range(5000)]
 
 
+def test_rows_take_the_id_of_their_flag_combination(spark):
+    df = spark.createDataFrame([(1, 0, 1.0), (1, 1, 2.0), (0, 0, 4.0), (None, None, 8.0)], "a int, b int, w double")
+    ids = panel.row_id(agg.combos(df.where("a is not null"), ["a", "b"]), ["a", "b"])
+    out = reshape.match_combo(df, ids, ["a", "b"], F.col("a").isNull())
+    assert sorted((r["id"] or 0, r["w"]) for r in out.collect()) == [(0, 8.0), (1, 4.0), (2, 1.0), (3, 2.0)]
+
+
+def test_product_meets_every_pair_once(spark):
+    a, b = spark.range(2).toDF("a"), spark.range(37).toDF("b")
+    out = reshape.product([a, b, spark.range(3).toDF("c")]).collect()
+    assert len(out) == len(set(out)) == 2 * 37 * 3
+
+
 def test_top_k_and_samples(spark):
     df = spark.range(1000).select("id", (F.col("id") % 3).alias("g"))
     assert [r["id"] for r in topk.top_k(df, ["-id"], 3).collect()] == [999, 998, 997]
