@@ -60,9 +60,18 @@ def survey_total(spark, sf):
     return rounded(rounded(out, "n_se", digits=3), "n", digits=2)
 
 
-@query("q_survey_total_ci")
+# t quantile by its expansion in 1/df, exact to rounding at these df
+_T = """tq AS (SELECT z + (pow(z, 3) + z) / (4 * v) + (5 * pow(z, 5) + 16 * pow(z, 3) + 3 * z) / (96 * v * v)
+  + (3 * pow(z, 7) + 19 * pow(z, 5) + 17 * pow(z, 3) - 15 * z) / (384 * pow(v, 3)) AS t FROM (SELECT 1.959963984540054::DOUBLE AS z, g - 1.0 AS v FROM total))"""
+
+
+@query("q_survey_total_ci", f"""WITH {LINES_SQL}, {_G}, {_T},
+p AS (SELECT year, same_sex, l_orderkey, sum(l_quantity) AS t FROM li GROUP BY ALL),
+s AS (SELECT year, same_sex, sum(t) AS n, sqrt((SELECT g / (g - 1.0) FROM total) * (sum(t * t) - pow(sum(t), 2) / (SELECT g FROM total))) AS se FROM p GROUP BY ALL)
+SELECT year, same_sex, {q('n', 2)} AS n, {q('n - (SELECT t FROM tq) * se', 3)} AS n_low, {q('n + (SELECT t FROM tq) * se', 3)} AS n_upp FROM s""")
 def survey_total_ci(spark, sf):
-    return design(spark, sf).total(["year", "same_sex"], vartype=("se", "ci"))
+    out = design(spark, sf).total(["year", "same_sex"], vartype=("ci",))
+    return rounded(rounded(out, "n_low", "n_upp", digits=3), "n", digits=2)
 
 
 @query("q_survey_prop", f"""WITH {LINES_SQL}, {_G},
@@ -76,11 +85,14 @@ def survey_prop(spark, sf):
     return rounded(design(spark, sf).prop("l_returnflag", ["state"], ("se",), unweighted="n"), "coef", "coef_se")
 
 
-@query("q_survey_prop_ci")
+@query("q_survey_prop_ci", f"""WITH {LINES_SQL}, {_G}, {_T}, n AS (SELECT *, CASE WHEN l_partkey % 97 = 0 THEN 1.0 ELSE 0.0 END AS rare FROM li),
+{_mean_sql('rare', 'l_suppkey', 'l_orderkey', 'n')}
+SELECT l_suppkey, {q('m')} AS coef, {q('greatest(m - (SELECT t FROM tq) * se, 0)')} AS coef_low, {q('m + (SELECT t FROM tq) * se')} AS coef_upp FROM erare WHERE m > 0""")
 def survey_prop_ci(spark, sf):
     """Interval clipped at 0, for a rare level."""
     d = design(spark, sf).mutate(rare=(F.col("l_partkey") % 97 == 0))
-    return clip_interval(d.prop("rare", ["l_suppkey"], ("ci",)).where("rare"), "coef_low")
+    out = clip_interval(d.prop("rare", ["l_suppkey"], ("ci",)).where("rare"), "coef_low").drop("rare")
+    return rounded(out, "coef", "coef_low", "coef_upp")
 
 
 @query("q_survey_dev", f"""WITH {LINES_SQL}, {_G},
