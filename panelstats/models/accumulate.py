@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import ship
 from .threads import single
 
 _FEW = 64
@@ -23,6 +24,7 @@ def accumulate(df: DataFrame, fn: Callable[[pd.DataFrame], np.ndarray], size: in
     """``sum(fn(batch))`` over all batches, a vector of ``size`` numbers."""
 
     single()
+    ship(df.sparkSession)
 
     def fold(batches):
         single()
@@ -58,6 +60,7 @@ def group_sums(df: DataFrame, keys: Sequence[str], fn: Callable[[pd.DataFrame],
     Batches are pre-summed in the task, then the JVM aggregate combines before and after its
     shuffle: a hot key is one row per batch.
     """
+    ship(df.sparkSession)
     names = list(names or [f"s{i}" for i in range(width)])
     keys = list(keys)
     fields = ", ".join([f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys]

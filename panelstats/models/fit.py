@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import stage
+from ..session import ship, stage
 from .accumulate import accumulate, group_sums
 from .design import Design, ModelFrame, variable_column
 from .dist import chi2_sf, norm_quantile, norm_sf2, t_quantile, t_sf2
@@ -218,6 +218,7 @@ class Fit:
         if not se:
             eta = self.linear_predictor(df)
             return df.withColumn(out, self.mean_of(eta) if response else eta)
+        ship(df.sparkSession)
         d, b, v, kind = self.design, self.full_coef(), self.full_vcov(), self.kind
         crit = t_quantile(0.5 + level / 2, self.df_resid) if self.use_t else norm_quantile(0.5 + level / 2)
         fields = {x: variable_column(df, x)[0].alias(d.field_of[x]) for x in d.formula.variables}

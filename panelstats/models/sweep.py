@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..session import ship
 from .glm import panel_fit
 from .linear import ols_variants
 
@@ -19,6 +20,7 @@ def sweep(df: DataFrame, key: Sequence[str], formula: str, y: str, factors: Sequ
     Keys run side by side. Pass aggregated count panels: a group is the product of its
     levels, however many rows were counted into it.
     """
+    ship(df.sparkSession)
     key = list(key)
     fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in key)
 

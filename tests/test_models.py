@@ -302,3 +302,20 @@ def test_misreport_moves_counts_and_pooling(spark):
     assert pooled[1] == (pytest.approx(7 / 5), pytest.approx(math.sqrt(1 / 5)))
     d = sens.pooled_difference(est, ["flag"]).first()
     assert d["est_dif"] == pytest.approx(-0.6) and d["est_dif_se"] == pytest.approx(math.sqrt(1.2))
+
+
+def test_executors_get_the_package_wherever_the_driver_started(tmp_path):
+    """A session started in another folder, with the package on the driver's path only."""
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (f"import sys; sys.path.insert(0, {root!r})\n"
+            "from panelstats.session import local_session\n"
+            "from panelstats.models.linear import ols\n"
+            "spark = local_session('elsewhere', 2)\n"
+            "df = spark.range(50).selectExpr('cast(id as double) x', '2.0 * id + 1 y')\n"
+            "print('slope', round(ols(df, 'y ~ x').param('x'), 6))\n")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
+    assert "slope 2.0" in out.stdout, out.stderr[-2000:]
