@@ -228,6 +228,8 @@ def _ylogy() -> Column:
     return F.when(F.col("__y") > 0, F.col("__w") * F.col("__y") * F.ln("__y")).otherwise(F.lit(0.0))
 
 
+MAX_LEVELS = 5000
+
 _NUMBERS = ("double", "float", "integer", "long", "short", "byte")
 
 
@@ -290,16 +292,25 @@ def model_frame(df: DataFrame, formula: str | Formula, weights: str | None = Non
 
 def _describe(frame: DataFrame, variables: Sequence[str], field_of: Mapping[str, str],
               is_factor: Mapping[str, bool], levels: Mapping[str, Sequence]) -> dict:
-    """Levels of the factors, mean and spread of the numbers, from one aggregate."""
+    """Mean and spread of the numbers and levels of the factors.
+
+    Levels become columns, so they are counted by a sketch before any set of them is gathered.
+    """
     aggs = []
+    open_factors = [v for v in variables if is_factor[v] and v not in levels]
     for v in variables:
         c = field_of[v]
-        if is_factor[v]:
-            if v not in levels:
-                aggs.append(F.sort_array(F.collect_set(c)).alias(c))
-        else:
+        if v in open_factors:
+            aggs.append(F.approx_count_distinct(c).alias(c))
+        elif not is_factor[v]:
             aggs += [F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}")]
     row = frame.agg(*aggs).first().asDict() if aggs else {}
+    for v in open_factors:
+        if row[field_of[v]] > MAX_LEVELS:
+            raise ValueError(f"{v} has about {row[field_of[v]]} levels: absorb it instead of one column each")
+    if open_factors:
+        sets = [F.sort_array(F.collect_set(field_of[v])).alias(field_of[v]) for v in open_factors]
+        row.update(frame.agg(*sets).first().asDict())
     out: dict = {"levels": {}, "center": {}, "scale": {}}
     for v in variables:
         c = field_of[v]

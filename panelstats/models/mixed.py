@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import stage
 from .accumulate import accumulate, group_sums
-from .design import model_frame
+from .design import MAX_LEVELS, model_frame
 from .fit import Fit, inverse, independent_columns, table_frame
 
 
@@ -116,6 +116,9 @@ def _two_factors(frame, xy, pick, cross, profile):
     cells = stage(group_sums(frame.df, ["e0", "e1"],
                              lambda pdf: np.column_stack([xy(pdf)[:, pick], np.ones(len(pdf))]),
                              p1 + 1, [*cols, "size"]))
+    for e in ("e0", "e1"):
+        if cells.select(e).distinct().count() > MAX_LEVELS:
+            raise ValueError("crossed effects are solved level by level; use one grouping factor of this size")
     sides = []
     for e in ("e0", "e1"):
         side = cells.groupBy(e).agg(*[F.sum(c).alias(c) for c in [*cols, "size"]]).orderBy(e).toPandas()

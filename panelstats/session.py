@@ -40,7 +40,7 @@ def shared_folder(spark: SparkSession) -> str:
     have = sc._jsc.sc().getCheckpointDir()
     if have.isDefined():
         return have.get()
-    folder = sc.getConf().get("spark.checkpoint.dir")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if folder is None:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")

@@ -37,6 +37,12 @@ def test_formula_expansion():
     assert not Formula("y ~ 0 + a").intercept
 
 
+def test_a_factor_of_very_many_levels_is_refused_not_gathered(spark):
+    df = spark.range(20000).selectExpr("id", "cast(id % 7 as double) y", "cast(id as string) k")
+    with pytest.raises(ValueError, match="absorb"):
+        linear.ols(df, "y ~ k")
+
+
 def test_distributions():
     assert dist.t_quantile(0.975, 10) == pytest.approx(2.228138852, abs=1e-8)
     assert dist.norm_quantile(0.975) == pytest.approx(1.959963985, abs=1e-8)
