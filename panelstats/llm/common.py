@@ -21,9 +21,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write once to the shared folder and go on from the copy: lost executors cost no second run."""
-    path = new_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path, key = df.sparkSession, new_folder(df.sparkSession, name), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")  # nothing reads this write's shuffle files again
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
