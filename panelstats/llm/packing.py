@@ -101,31 +101,32 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
 def pack(pieces: DataFrame, capacity: int = 4096, length_col: str = "length") -> DataFrame:
     """All rows of ``pieces`` with sequence_id and offset; lengths of 1 to ``capacity``.
 
-    A length that is null, below 1 or above the capacity raises: cut such pieces first. Rows that are alike in every column get places of their own.
+    A length that is null, below 1 or above the capacity raises: cut such pieces first. Rows that are alike in every column get places of their own; columns of the added names are replaced.
     ``pieces`` is read three times, so hand in a written table. An empty table gives an empty result.
     """
     spark = pieces.sparkSession
+    pieces = pieces.drop("sequence_id", "offset")
     # at most ``capacity`` rows
     counted = pieces.groupBy(F.col(length_col).cast("bigint").alias("n")).count().limit(capacity + 2).collect()
     if bad := [r.n for r in counted if r.n is None or not 1 <= r.n <= capacity]:
         raise ValueError(f"lengths outside 1 to {capacity}: {bad[:5]}")
     slots = np.array(sorted(plan({r.n: r["count"] for r in counted}, capacity)), np.int64).reshape(-1, 6)
     table = spark.sparkContext.broadcast(slots)
-    sizes = spark.createDataFrame([(r.n, -(-r["count"] // GROUP)) for r in counted], "_n bigint, _groups bigint")
+    sizes = spark.createDataFrame([(r.n, -(-r["count"] // GROUP)) for r in counted], "__n bigint, __groups bigint")
     own = pieces.columns
-    salted = (pieces.join(sizes, F.col(length_col) == F.col("_n"))
-              .withColumn("_group", F.pmod(F.xxhash64(*own), F.col("_groups"))).drop("_groups"))
-    counts = salted.groupBy("_n", "_group").agg(F.count("*").alias("_count"))
-    before = Window.partitionBy("_n").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("_n", "_group", F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_base"))
-    local = F.row_number().over(Window.partitionBy("_n", "_group").orderBy(*own)) - 1
-    ranked = salted.withColumn("_local", local).join(bases, ["_n", "_group"]).select(*own, "_n", (F.col("_base") + F.col("_local")).alias("_rank"))
+    salted = (pieces.join(sizes, F.col(length_col) == F.col("__n"))
+              .withColumn("__group", F.pmod(F.xxhash64(*own), F.col("__groups"))).drop("__groups"))
+    counts = salted.groupBy("__n", "__group").agg(F.count("*").alias("__count"))
+    before = Window.partitionBy("__n").orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("__n", "__group", F.coalesce(F.sum("__count").over(before), F.lit(0)).alias("__base"))
+    local = F.row_number().over(Window.partitionBy("__n", "__group").orderBy(*own)) - 1
+    ranked = salted.withColumn("__local", local).join(bases, ["__n", "__group"]).select(*own, "__n", (F.col("__base") + F.col("__local")).alias("__rank"))
 
     def place(batches):
         rows = table.value
         first = rows[:, 0] << 44 | rows[:, 1]
         for batch in batches:
-            n, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("_n", "_rank"))
+            n, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("__n", "__rank"))
             slot = rows[np.searchsorted(first, n << 44 | rank, "right") - 1]
             at = rank - slot[:, 1]
             kept = [batch.column(k) for k in range(len(own))]

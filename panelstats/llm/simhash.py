@@ -44,21 +44,22 @@ def _fingerprint(text: bytes, shingle: int) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): the SimHash of every whole text's word shingles as a signed long.
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp) and the columns named in ``keep``: the SimHash of every whole text's word shingles as a signed long.
 
     A-Z are lowered; words are runs without ASCII blanks; shingles count as often as they occur; a text of fewer words is one shingle; a text without words (null,
     empty, blank) has fingerprint 0. A bit is 1 if it is 1 in over half of the hashes.
     """
-    id_type = docs.schema[id_col].dataType.simpleString()
+    types = [docs.schema[c].dataType.simpleString() for c in (id_col, *keep)]
 
     def compute(batches):
         for batch in slices(batches, text_col):
             texts = utf8(batch.column(1)).cast(pa.large_binary()).to_pylist()
             fps = np.array([_fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), *batch.columns[2:]], names=["doc_id", "fp", *keep])
 
-    return map_arrow(docs.select(id_col, text_col), compute, f"doc_id {id_type}, fp bigint")
+    schema = ", ".join([f"doc_id {types[0]}", "fp bigint", *(f"`{c}` {t}" for c, t in zip(keep, types[1:]))])
+    return map_arrow(docs.select(id_col, text_col, *keep), compute, schema)
 
 
 def _half(fp: Column, which: int) -> Column:
@@ -102,17 +103,17 @@ def links(distinct: DataFrame) -> DataFrame:
     return met.where("a <> fp").select("a", F.col("fp").alias("b")).distinct().where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 3)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """One row per document: doc_id, fp, component_id (the smallest id of all documents that a chain of links reaches).
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, fp, component_id (the smallest id of all documents that a chain of links reaches), root (a fingerprint that names the group) and ``keep``.
 
-    Null ids are kept and never name a component unless no document of it has an id; repeated ids and rows are kept; an empty table has no rows. Other columns are not read.
+    Null ids are kept and never name a component unless no document of it has an id; repeated ids and rows are kept; an empty table has no rows. Columns not named are not read.
     """
-    prints = stage(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    prints = stage(fingerprints(docs, id_col, text_col, shingle, keep), "fingerprints")
     nodes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
     roots = components(links(nodes.select("fp")), "a", "b")
     named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     first = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return prints.join(named.join(first, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return prints.join(named.join(first, "root").select("fp", "component_id", "root"), "fp").select("doc_id", "fp", "component_id", "root", *keep)
 
 
 def hexed(fp: str = "fp") -> Column:

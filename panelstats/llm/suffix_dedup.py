@@ -29,6 +29,7 @@ PIECE, PIECE_MAX = 160, 4096
 GROUP_BYTES = 12 << 20
 #: Text bytes after which a task sends what it has gathered.
 SEND_BYTES = 24 << 20
+ADDED = ("kept", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
 
 
 def _eights(data: np.ndarray) -> np.ndarray:
@@ -333,20 +334,19 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     return stage(fresh.join(listed, keys, "left"), "verdicts")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """All rows of ``docs``, with kept (the remaining bytes), n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, names: tuple[str, ...] = ADDED) -> DataFrame:
+    """All rows of ``docs``, with kept (the remaining bytes), n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and kept_text
+    (characters that lost a byte left out).
 
     A byte goes if some string of ``length`` bytes covers it that also starts in a document with a smaller id; strings are judged on the input and never cross documents.
     Ids are integers. Null text has no bytes; texts shorter than ``length`` stay; a document with a null id stays whole and counts for no other; rows with equal ids never
-    remove each other's bytes; repeats within one document alone stay. An empty table has no rows. ``docs`` must not have columns of the added names.
+    remove each other's bytes; repeats within one document alone stay. An empty table has no rows. Columns of the added names are replaced; other names can be asked for.
     """
-    taken = {"kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"} & set(docs.columns)
-    if taken:
-        raise ValueError(f"docs has columns {sorted(taken)}")
+    docs = docs.drop(*names)
     found = verdicts(docs, id_col, text_col, length)
     own = docs.columns
-    found = found.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "fresh", "spans").withColumnsRenamed({"fresh": "_fresh", "spans": "_spans"})
-    joined = docs.join(found, (F.col(id_col).cast("bigint") == F.col("_id")) & (F.xxhash64(text_col) == F.col("_mark")), "left").select(*own, "_fresh", "_spans")
+    found = found.toDF("__id", "__mark", "__fresh", "__spans")
+    joined = docs.join(found, (F.col(id_col).cast("bigint") == F.col("__id")) & (F.xxhash64(text_col) == F.col("__mark")), "left").select(*own, "__fresh", "__spans")
     id_at, text_at = own.index(id_col), own.index(text_col)
 
     def apply(batches):
@@ -374,8 +374,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 left = np.frombuffer(text, np.uint8)[keep].tobytes()
                 out.append((left, len(text), len(text) - len(left), len(_runs(~keep)[0])))
             kept, size, removed, runs = zip(*out)
-            more = [pa.array(kept, pa.binary()), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept])]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in range(len(own))] + more, names=[*own, "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            more = [pa.array(kept, pa.binary()), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept]),
+                    pa.array([x.decode("utf-8", "ignore") for x in kept])]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in range(len(own))] + more, names=[*own, *names])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", kept binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + "".join(f", `{n}` {t}" for n, t in zip(names, ("binary", "bigint", "bigint", "bigint", "string", "string")))
     return map_arrow(joined, apply, schema)
