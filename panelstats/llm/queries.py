@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, packing, simhash, suffix_dedup, token_counts, token_store
+from . import byte_bpe, language, packing, simhash, suffix_dedup, token_counts, token_store
 from .common import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.fit(docs.where(~language.held_out()))
     found = language.predict(docs.select("doc_id", "text"), model)
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = byte_bpe.encode(_documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
+    return byte_bpe.digests(byte_bpe.decode(encoded, ranks, public_tokenizers.PATTERN))
