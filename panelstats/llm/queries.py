@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, language, packing, simhash, suffix_dedup, token_counts, token_store
+from . import byte_bpe, language, mtree, packing, simhash, suffix_dedup, token_counts, token_store, vptree
 from .common import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,13 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = byte_bpe.encode(_documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
     return byte_bpe.digests(byte_bpe.decode(encoded, ranks, public_tokenizers.PATTERN))
+
+
+@query
+def op4_vp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query
+def op9_m_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_products(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
