@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, language, mtree, packing, simhash, suffix_dedup, token_counts, token_store, vptree
+from . import byte_bpe, language, licenses, mtree, packing, simhash, suffix_dedup, token_counts, token_store, vptree
 from .common import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,9 @@ def op4_vp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_m_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_products(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return licenses.scan(docs, licenses.fit(docs))
