@@ -51,12 +51,16 @@ def encode_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, id_col:
     return map_arrow(docs.select(id_col, text_col), pieces, f"doc_id {id_type}, piece int, start bigint, length bigint, ids binary, ids_crc32 bigint")
 
 
-def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
-    """The combination of the counted lengths with the largest sum up to ``room``: bounded subset sums in a bitset, longest lengths first."""
+def fullest(counts: dict[int, int], room: int, by_mass: bool = False) -> dict[int, int]:
+    """The combination of the counted lengths with the largest sum up to ``room``: bounded subset sums in a bitset, until one is full.
+
+    Longest lengths come first, or those of which most ids are left.
+    """
     if room <= 0:
         return {}
     reach, steps, mask = 1, [], (1 << (room + 1)) - 1
-    for length in sorted((n for n, c in counts.items() if c and n <= room), reverse=True):
+    fits = [n for n, c in counts.items() if c and n <= room]
+    for length in sorted(fits, key=(lambda n: (counts[n] * n, n)) if by_mass else None, reverse=True):
         left, take = min(counts[length], room // length), 1
         while left:
             k = min(take, left)
@@ -74,16 +78,18 @@ def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
-    """Slots (length, first rank, pieces a bin, bins, first bin, offset): which ranks of a length go to which bins.
+    """Slots (length, first rank, pieces a bin, bins, first bin, offset): which ranks of a length go to which bins. Of two orders of search the one with fewer bins."""
+    return min((_plan(histogram, capacity, by_mass) for by_mass in (False, True)), key=lambda slots: max((s[4] + s[3] for s in slots), default=0))
 
-    Each round uses up some length as far as its combination allows, so rounds follow the number of lengths, not of pieces.
-    """
+
+def _plan(histogram: dict[int, int], capacity: int, by_mass: bool) -> list[tuple[int, int, int, int, int, int]]:
+    """Each round uses up some length as far as its combination allows, so rounds follow the number of lengths, not of pieces."""
     left, given, slots, bins = dict(histogram), dict.fromkeys(histogram, 0), [], 0
     while left:
         longest = max(left)
         rest = dict(left)
         rest[longest] -= 1
-        used = fullest(rest, capacity - longest)
+        used = fullest(rest, capacity - longest, by_mass)
         used[longest] = used.get(longest, 0) + 1
         times = min(left[n] // k for n, k in used.items())
         offset = 0
@@ -113,8 +119,9 @@ def pack(pieces: DataFrame, capacity: int = 4096, length_col: str = "length") ->
     slots = np.array(sorted(plan({r.n: r["count"] for r in counted}, capacity)), np.int64).reshape(-1, 6)
     table = spark.sparkContext.broadcast(slots)
     sizes = spark.createDataFrame([(r.n, -(-r["count"] // GROUP)) for r in counted], "__n bigint, __groups bigint")
-    own = pieces.columns
-    salted = (pieces.join(sizes, F.col(length_col) == F.col("__n"))
+    names = pieces.columns
+    own = [f"own{k}" for k in range(len(names))]  # whatever the columns are called
+    salted = (pieces.toDF(*own).join(sizes, F.col(own[names.index(length_col)]) == F.col("__n"))
               .withColumn("__group", F.pmod(F.xxhash64(*own), F.col("__groups"))).drop("__groups"))
     counts = salted.groupBy("__n", "__group").agg(F.count("*").alias("__count"))
     before = Window.partitionBy("__n").orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)
@@ -130,7 +137,7 @@ def pack(pieces: DataFrame, capacity: int = 4096, length_col: str = "length") ->
             slot = rows[np.searchsorted(first, n << 44 | rank, "right") - 1]
             at = rank - slot[:, 1]
             kept = [batch.column(k) for k in range(len(own))]
-            yield pa.RecordBatch.from_arrays(kept + [pa.array(slot[:, 4] + at // slot[:, 2]), pa.array(slot[:, 5] + at % slot[:, 2] * n)], names=[*own, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays(kept + [pa.array(slot[:, 4] + at // slot[:, 2]), pa.array(slot[:, 5] + at % slot[:, 2] * n)], names=[*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id bigint, offset bigint"
     return map_arrow(ranked, place, schema)
