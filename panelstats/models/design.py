@@ -73,10 +73,10 @@ class Formula:
         return list(dict.fromkeys(v for t in self.terms for v in t))
 
 
-def variable_column(df: DataFrame, variable: str) -> tuple[Column, bool]:
+def variable_column(df: DataFrame, variable: str, instead: Mapping[str, str] | None = None) -> tuple[Column, bool]:
     """Spark column of a formula variable and whether the name forces a factor.
 
-    ``I(...)`` is an arithmetic SQL expression in which logical columns count as 0 and 1.
+    ``I(...)`` is an arithmetic SQL expression in which logical columns count as 0 and 1; ``instead`` puts SQL in the place of columns there.
     """
     m = re.fullmatch(r"(?:as\.)?factor\((.+)\)", variable)
     if m:
@@ -85,11 +85,23 @@ def variable_column(df: DataFrame, variable: str) -> tuple[Column, bool]:
     if m:
         names = sorted(df.columns, key=len, reverse=True)
         body = re.sub(r"(\w+)\s*\^\s*(\d+)", r"power(\1, \2)", m.group(1))
-        body = re.sub(r"\b(" + "|".join(map(re.escape, names)) + r")\b", r"cast(`\1` as double)", body)
+        put = instead or {}
+        body = re.sub(r"\b(" + "|".join(map(re.escape, names)) + r")\b", lambda m: f"cast({put.get(m[1], f'`{m[1]}`')} as double)", body)
         return F.expr(body), False
     return F.col(variable), False
 
 
+def reads(variable: str, columns: Sequence[str]) -> set[str]:
+    """Columns that a formula variable is computed from."""
+    m = re.fullmatch(r"(?:as\.)?factor\((.+)\)", variable)
+    if m:
+        return {m.group(1)}
+    m = re.fullmatch(r"I\((.+)\)", variable)
+    if m:
+        return set(re.findall(r"\w+", m.group(1))) & set(columns)
+    return {variable}
+
+
 @dataclass
 class Design:
     """Columns of the design matrix and how to build them from a batch of the frame.
@@ -178,8 +190,15 @@ class Design:
         x = np.hstack(out) if out else np.zeros((len(pdf), 0))
         return x if plain else (x - self.shift) / self.unit
 
+    def check(self, point: Mapping) -> None:
+        """Refuse values that a factor doesn't have."""
+        for v, x in point.items():
+            if self.levels.get(v) is not None and x not in self.levels[v]:
+                raise ValueError(f"{v} has no level {x!r}")
+
     def constants(self, point: Mapping) -> np.ndarray:
         """What the set variables contribute to each column at a grid point."""
+        self.check(point)
         out = np.ones(len(self.parts))
         for j, combo in enumerate(self.parts):
             for v, level in combo:
@@ -212,8 +231,9 @@ def _label(v: str, x) -> str:
 class ModelFrame:
     """Complete cases of a formula's variables, with the sums per distinct row.
 
-    Fields: one per variable, ``__n`` rows, ``__w`` weight, ``__wy``, ``__wyy`` and ``__wyl`` weighted
-    sums of y, y squared and y ln y, and the extra key columns (clusters, groups).
+    Fields: one per variable, ``__n`` rows, ``__w`` weight, ``__lw`` sum of log weights, ``__wy``, ``__wyy`` and
+    ``__wyl`` weighted sums of y, y squared and y ln y, and the extra key columns (clusters, groups). Rows of weight 0
+    say nothing and are left out.
     """
 
     df: DataFrame
@@ -260,6 +280,9 @@ def model_frame(df: DataFrame, formula: str | Formula, weights: str | None = Non
     frame = df.select(*cols, y, w.alias("__w"), *[F.col(e).alias(x) for e, x in extra_fields.items()])
     need = [field_of[v] for v in f.variables] + ["__y", "__w"]
     frame = frame.dropna(subset=need)
+    if weights:
+        frame = frame.where("__w <> 0")
+    log_weight = F.ln("__w") if weights else F.lit(0.0)
     types = {v: frame.schema[field_of[v]].dataType.typeName() for v in f.variables}
     is_factor = {v: v in forced or types[v] not in _NUMBERS for v in f.variables}
     frame = frame.withColumns({field_of[v]: F.col(field_of[v]).cast("double")
@@ -272,11 +295,10 @@ def model_frame(df: DataFrame, formula: str | Formula, weights: str | None = Non
         F.sum(F.col("__w") * F.col("__y") * F.col("__y")).alias("__wyy"),
         F.sum(_ylogy()).alias("__wyl")]
     if compress and keys:
-        n = F.col("__n") if "__n" in frame.columns else F.lit(1)
-        frame = frame.groupBy(*keys).agg(F.sum(n).cast("double").alias("__n"),
+        frame = frame.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("__n"), F.sum(log_weight).alias("__lw"),
                                          F.sum("__w").alias("__w2"), *yy).withColumnRenamed("__w2", "__w")
     else:
-        frame = frame.withColumn("__n", F.lit(1.0))
+        frame = frame.withColumns({"__n": F.lit(1.0), "__lw": log_weight})
         if not keep_response:
             frame = frame.withColumns({"__wy": F.col("__w") * F.col("__y"),
                                        "__wyy": F.col("__w") * F.col("__y") * F.col("__y"),

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from .accumulate import accumulate, group_sums
-from .design import variable_column
+from .design import reads, variable_column
 from .dist import norm_sf2
 from .fit import Fit, table_frame
 from .glm import _mean
@@ -32,24 +32,57 @@ def value_grid(df: DataFrame, col: str, n: int) -> list[float]:
     return list(np.linspace(low, high, n))
 
 
-def _fields(fit: Fit, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+def _column_of(variable: str) -> str:
+    """The column behind ``factor(column)``."""
+    return next(iter(reads(variable, ()))) if not variable.startswith("I(") else variable
+
+
+def _sql(value) -> str:
+    if isinstance(value, (bool, np.bool_)):
+        return str(bool(value)).lower()
+    return repr(value.item() if isinstance(value, np.generic) else value)
+
+
+def _moves(points: Sequence[Mapping]) -> list[dict[str, str]]:
+    """Grid points as SQL for the columns they set."""
+    return [{_column_of(v): _sql(x) for v, x in point.items()} for point in points]
+
+
+def _fields(fit: Fit, df: DataFrame, keep: Sequence[str] = (), moves: Sequence[Mapping[str, str]] = ()) -> tuple[DataFrame, list[str]]:
+    """The design's variables as fields, and the ``I(...)`` terms that read a column which a move changes.
+
+    A move names SQL for columns. What an affected term becomes under move ``i`` is a field of its own, ``<field>__i``,
+    computed in the same scan.
+    """
     d = fit.design
     cols = []
     for v in d.formula.variables:
         c, _ = variable_column(df, v)
         cols.append((c.cast("double") if d.levels[v] is None else c).alias(d.field_of[v]))
-    return df.select(*cols, *keep).dropna(subset=[d.field_of[v] for v in d.formula.variables])
+    moved = {c for move in moves for c in move}
+    again = [v for v in d.formula.variables if v.startswith("I(") and reads(v, df.columns) & moved]
+    cols += [variable_column(df, v, move)[0].cast("double").alias(f"{d.field_of[v]}__{i}") for v in again for i, move in enumerate(moves)]
+    return df.select(*cols, *keep).dropna(subset=[d.field_of[v] for v in d.formula.variables]), again
+
+
+def _at(d, pdf: pd.DataFrame, point: Mapping, again: Sequence[str], i: int) -> np.ndarray:
+    """Plain rows of design ``d`` under grid point ``i``."""
+    return d.matrix(pdf, {**point, **{v: pdf[f"{d.field_of[v]}__{i}"].to_numpy(dtype=float) for v in again}}, plain=True)
 
 
 def counterfactual(fit: Fit, df: DataFrame, grid: Mapping[str, Sequence], response: bool = True,
                    z: float = 1.96) -> DataFrame:
-    """Mean prediction with variables set to each grid point.
+    """Mean prediction with variables set to each grid point, in ``I(...)`` terms too.
 
-    The standard error is the root mean square of the rows' prediction errors.
+    The standard error is the root mean square of the rows' prediction errors. For class models there is one row
+    per grid point and class, of the mean probability. A level that a factor doesn't have is refused.
     """
     d, points, k = fit.design, grid_points(grid), fit.design.k
     b, v, kind = fit.full_coef(), fit.full_vcov(), fit.kind
-    if kind == "linear" or not response:
+    for point in points:
+        d.check(point)
+    src, again = _fields(fit, df, (), _moves(points))
+    if (kind == "linear" or not response) and kind != "ordered" and not again:
         # a set variable is a constant factor of its columns: one cross product serves every point
         free = list(grid)
 
@@ -57,7 +90,7 @@ def counterfactual(fit: Fit, df: DataFrame, grid: Mapping[str, Sequence], respon
             x = d.matrix(pdf, plain=True, without=free)
             return np.concatenate([(x.T @ x).ravel(), x.sum(0), [len(pdf)]])
 
-        flat = accumulate(_fields(fit, df), cross, k * k + k + 1)
+        flat = accumulate(src, cross, k * k + k + 1)
         n, gram, mean = flat[-1], flat[: k * k].reshape(k, k) / flat[-1], flat[k * k: -1] / flat[-1]
         rows = []
         for point in points:
@@ -66,23 +99,44 @@ def counterfactual(fit: Fit, df: DataFrame, grid: Mapping[str, Sequence], respon
             rows.append({**point, "fit": f, "se_fit": se, "fit_low": f - z * se, "fit_high": f + z * se})
         return table_frame(fit.spark, pd.DataFrame(rows))
 
+    classes = list(fit.outcome) if kind == "ordered" else [None]
+
+    def predictions(x):
+        """Fitted values and their variances, a column for each class."""
+        if kind == "ordered":
+            eta, cuts = x @ b[:k], b[k:]
+            cum = np.column_stack([np.zeros(len(x)), *[_mean("logit", c - eta)[0] for c in cuts], np.ones(len(x))])
+            slope = cum * (1 - cum)
+            fits, spreads = np.diff(cum, axis=1), np.zeros((len(x), len(classes)))
+            for j in range(len(classes)):
+                g = np.zeros((len(x), len(b)))
+                g[:, :k] = -(slope[:, j + 1] - slope[:, j])[:, None] * x
+                if j < len(cuts):
+                    g[:, k + j] = slope[:, j + 1]
+                if j:
+                    g[:, k + j - 1] -= slope[:, j]
+                spreads[:, j] = ((g @ v) * g).sum(1)
+            return fits, spreads
+        eta, var = x @ b, ((x @ v) * x).sum(1)
+        if response and kind in ("poisson", "logit"):
+            eta, slope = _mean(kind, eta)
+            var = var * slope * slope
+        return eta[:, None], var[:, None]
+
     def block(pdf):
-        out = np.zeros((len(points), 3))
+        out = np.zeros((len(points), 2 * len(classes) + 1))
         for i, point in enumerate(points):
-            x = d.matrix(pdf, point, plain=True)
-            eta = x @ b
-            var = ((x @ v) * x).sum(1)
-            if response and kind in ("poisson", "logit"):
-                mu, slope = _mean(kind, eta)
-                eta, var = mu, var * slope * slope
-            out[i] = eta.sum(), var.sum(), len(pdf)
+            fits, spreads = predictions(_at(d, pdf, point, again, i))
+            out[i] = np.concatenate([fits.sum(0), spreads.sum(0), [len(pdf)]])
         return out.ravel()
 
-    sums = accumulate(_fields(fit, df), block, 3 * len(points)).reshape(-1, 3)
+    width = 2 * len(classes) + 1
+    sums = accumulate(src, block, width * len(points)).reshape(-1, width)
     rows = []
-    for point, (s, q, n) in zip(points, sums):
-        f, se = s / n, math.sqrt(max(q, 0.0) / n)
-        rows.append({**point, "fit": f, "se_fit": se, "fit_low": f - z * se, "fit_high": f + z * se})
+    for point, row in zip(points, sums):
+        for j, c in enumerate(classes):
+            f, se = row[j] / row[-1], math.sqrt(max(row[len(classes) + j], 0.0) / row[-1])
+            rows.append({**point, **({"level": str(c)} if kind == "ordered" else {}), "fit": f, "se_fit": se, "fit_low": f - z * se, "fit_high": f + z * se})
     return table_frame(fit.spark, pd.DataFrame(rows))
 
 
@@ -91,12 +145,14 @@ def response_means(fit: Fit, df: DataFrame, grid: Mapping[str, Sequence], by: Se
     """Mean (or summed) predicted response per group for each grid point, wide over the points."""
     d, points, b, kind = fit.design, grid_points(grid), fit.full_coef(), fit.kind
     keys = [f"__by{i}" for i in range(len(by))]
-    src = _fields(fit, df.withColumns({k: F.col(c) for k, c in zip(keys, by)}), keys)
+    for point in points:
+        d.check(point)
+    src, again = _fields(fit, df.withColumns({k: F.col(c) for k, c in zip(keys, by)}), keys, _moves(points))
 
     def rows(pdf):
         cols = [np.ones(len(pdf))]
-        for point in points:
-            eta = d.matrix(pdf, point, plain=True) @ b
+        for i, point in enumerate(points):
+            eta = _at(d, pdf, point, again, i) @ b
             cols.append(_mean(kind, eta)[0] if kind in ("poisson", "logit") else eta)
         return np.column_stack(cols)
 
@@ -113,7 +169,7 @@ def contrast(fit: Fit, df: DataFrame, terms: Sequence[str], by: str, step: float
     """Average change of the response when a variable rises by ``step``, per group, delta-method error."""
     d, b, v, kind = fit.design, fit.full_coef(), fit.full_vcov(), fit.kind
     k = d.k
-    src = _fields(fit, df.withColumn("__by", F.col(by)), ["__by"])
+    src, again = _fields(fit, df.withColumn("__by", F.col(by)), ["__by"], [{t: f"(`{t}` + {step!r})"} for t in terms])
 
     def value(x):
         eta = x @ b
@@ -123,9 +179,10 @@ def contrast(fit: Fit, df: DataFrame, terms: Sequence[str], by: str, step: float
         lo_x = d.matrix(pdf, plain=True)
         lo, lo_s = value(lo_x)
         cols = [np.ones((len(pdf), 1)), lo[:, None]]
-        for t in terms:
-            moved = pdf.assign(**{d.field_of[t]: pdf[d.field_of[t]] + step})
-            hi_x = d.matrix(moved, plain=True)
+        for i, t in enumerate(terms):
+            moved = {d.field_of[t]: pdf[d.field_of[t]] + step} if t in d.field_of else {}
+            moved.update({d.field_of[v]: pdf[f"{d.field_of[v]}__{i}"] for v in again})
+            hi_x = d.matrix(pdf.assign(**moved), plain=True)
             hi, hi_s = value(hi_x)
             cols += [hi[:, None], hi_x * hi_s[:, None] - lo_x * lo_s[:, None]]
         return np.hstack(cols)
@@ -164,11 +221,14 @@ def simulate(fit: Fit, df: DataFrame, grid: Mapping[str, Sequence], draws: int =
     k, ordered = d.k, fit.kind == "ordered"
     classes = list(fit.outcome) if ordered else [None]
     kind = fit.kind
+    for point in points:
+        d.check(point)
+    src, again = _fields(fit, df, (), _moves(points))
 
     def block(pdf):
         out = np.zeros((len(points), len(classes), draws))
         for i, point in enumerate(points):
-            x = d.matrix(pdf, point, plain=True)
+            x = _at(d, pdf, point, again, i)
             eta = x @ thetas[:, :k].T
             if ordered:
                 below = np.zeros_like(eta)
@@ -182,15 +242,14 @@ def simulate(fit: Fit, df: DataFrame, grid: Mapping[str, Sequence], draws: int =
         return np.append(out.ravel(), len(pdf))
 
     if kind == "linear":
-        # the mean of linear predictions is the prediction at the mean design row, and a set
-        # variable is a constant factor of its columns: one mean row serves every point and draw
-        free = list(grid)
-        flat = accumulate(_fields(fit, df),
-                          lambda pdf: np.append(d.matrix(pdf, plain=True, without=free).sum(0), len(pdf)), k + 1)
-        shares = np.stack([d.constants(p) for p in points]) * (flat[:-1] / flat[-1])
-        means = (shares @ thetas[:, :k].T)[:, None, :]
+        # the mean of linear predictions is the prediction at the mean design row, one for each point
+        def mean_rows(pdf):
+            return np.append(np.concatenate([_at(d, pdf, point, again, i).sum(0) for i, point in enumerate(points)]), len(pdf))
+
+        flat = accumulate(src, mean_rows, len(points) * k + 1)
+        means = (flat[:-1].reshape(len(points), k) / flat[-1] @ thetas[:, :k].T)[:, None, :]
     else:
-        flat = accumulate(_fields(fit, df), block, len(points) * len(classes) * draws + 1)
+        flat = accumulate(src, block, len(points) * len(classes) * draws + 1)
         means = flat[:-1].reshape(len(points), len(classes), draws) / flat[-1]
     out = []
     for i, point in enumerate(points):

@@ -98,7 +98,7 @@ class Fit:
     def cluster(self, *cols: str) -> "Fit":
         """Sandwich covariance clustered on one or several columns (inclusion-exclusion).
 
-        Factor G/(G-1) per clustering, for least squares also (n-1)/(n-k).
+        Factor G/(G-1) per clustering, for least squares also (n-1) over the residual degrees of freedom.
         """
         if self.score is None or not self.clusters:
             raise ValueError("name the cluster columns when fitting")
@@ -123,7 +123,7 @@ class Fit:
                 g = flat[-1]
                 meat += (-1) ** (r + 1) * g / (g - 1.0) * flat[:-1].reshape(width, width)
         if self.use_t:
-            meat *= (self.n - 1.0) / (self.n - width)
+            meat *= (self.n - 1.0) / self.df_resid  # absorbed levels count too
         v = self.bread @ meat @ self.bread
         m = self.undo[np.ix_(keep, keep)]
         return replace(self, vcov=m @ v @ m.T)

@@ -21,10 +21,8 @@ def gram_block(design, pdf: pd.DataFrame) -> np.ndarray:
     x = design.matrix(pdf)
     w = pdf["__w"].to_numpy(dtype=float)
     wy = pdf["__wy"].to_numpy(dtype=float)
-    n = pdf["__n"].to_numpy(dtype=float)
-    logw = np.where(w > 0, n * np.log(np.where(w > 0, w / n, 1.0)), 0.0)
     return np.concatenate([(x.T @ (x * w[:, None])).ravel(), x.T @ wy,
-                           [pdf["__wyy"].sum(), wy.sum(), w.sum(), n[w > 0].sum(), logw.sum()]])
+                           [pdf["__wyy"].sum(), wy.sum(), w.sum(), pdf["__n"].sum(), pdf["__lw"].sum()]])
 
 
 def solve_gram(flat: np.ndarray, k: int):
@@ -35,7 +33,6 @@ def solve_gram(flat: np.ndarray, k: int):
     keep = independent_columns(a)
     bread = inverse(a[np.ix_(keep, keep)])
     beta = bread @ xy[keep]
-    # residual sum around the fit, refined against cancellation by centring y on its mean
     rss = float(yy - 2 * beta @ xy[keep] + beta @ a[np.ix_(keep, keep)] @ beta)
     tss = float(yy - sy * sy / sw)
     return beta, bread, keep, max(rss, 0.0), tss, int(round(n)), float(logw)

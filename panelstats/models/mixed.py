@@ -22,7 +22,7 @@ from .fit import Fit, inverse, independent_columns, table_frame
 
 
 def mixed(df: DataFrame, formula: str, groups: Sequence[str] | str,
-          levels: Mapping[str, Sequence] | None = None, rounds: int = 9, width: int = 15) -> Fit:
+          levels: Mapping[str, Sequence] | None = None, rounds: int = 40, width: int = 15) -> Fit:
     """Random intercepts for one or two grouping columns."""
     groups = [groups] if isinstance(groups, str) else list(groups)
     frame = model_frame(df.dropna(subset=groups), formula, None, groups, levels, compress=False, iterative=True)
@@ -105,9 +105,9 @@ def _one_factor(frame, xy, pick, cross, profile, rounds, width):
         best = (grid[i], res[i][1], res[i][0])
         low, high = grid[max(i - 1, 0)], grid[min(i + 1, len(grid) - 1)]
         if high <= low or (high - low) < 1e-7 * max(high, 1e-9):
-            break
+            return best
         grid = list(np.linspace(low, high, width))
-    return best
+    raise RuntimeError("the fit did not converge")
 
 
 def _two_factors(frame, xy, pick, cross, profile):
@@ -140,13 +140,15 @@ def _two_factors(frame, xy, pick, cross, profile):
         return profile(a, 2 * np.log(np.diag(chol)).sum())[0], a
 
     point = [1.0, 1.0]
-    for _ in range(30):
+    for _ in range(300):
         before = list(point)
         for i in (0, 1):
             point[i] = _golden(lambda v: evaluate([v if j == i else point[j] for j in (0, 1)])[0], 0.0,
                                max(10.0, 4 * point[i]))
-        if max(abs(x - y) for x, y in zip(point, before)) < 1e-9:
+        if max(abs(x - y) / max(1.0, abs(x)) for x, y in zip(point, before)) < 1e-6:
             break
+    else:
+        raise RuntimeError("the fit did not converge")
     crit, a = evaluate(point)
     return [point[0] ** 2, point[1] ** 2], a, crit
 

@@ -138,6 +138,8 @@ def ordered_logit(df: DataFrame, formula: str, classes: Sequence, weights: str |
                     break
             size /= 2.0
         beta, zeta, flat = nb, nz, trial
+    else:
+        raise RuntimeError("the fit did not converge")
     info = inverse(-flat[1 + q:].reshape(q, q))
     unit = np.concatenate([1.0 / d.unit[1:], np.ones(j)])
     undo = np.diag(unit)
@@ -175,6 +177,9 @@ class _Slopes:
     def columns(self, df):
         return self._d.columns(df)[1:]
 
+    def check(self, point):
+        self._d.check(point)
+
 
 def cumulative_logits(df: DataFrame, formula: str, cuts: Sequence[int], weights: str | None = None,
                       levels: Mapping[str, Sequence] | None = None, compress: bool | None = None,
@@ -220,6 +225,8 @@ def cumulative_logits(df: DataFrame, formula: str, cuts: Sequence[int], weights:
         if last is not None and np.all(np.abs(dev - last) <= 1e-11 * (np.abs(dev) + 0.1)):
             break
         last = dev
+    else:
+        raise RuntimeError("the fits did not converge")
     undo = d.undo()[np.ix_(keep, keep)]
     tables = []
     for i, cut in enumerate(cuts):

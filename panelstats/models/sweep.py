@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -15,8 +16,10 @@ from .linear import ols_variants
 def sweep(df: DataFrame, key: Sequence[str], formula: str, y: str, factors: Sequence[str],
           cluster: str | None = None, terms: Sequence[str] | None = None,
           levels: Mapping[str, Sequence] | None = None) -> DataFrame:
-    """Quasi-Poisson fit per key; a panel that cannot be fitted gives no row.
+    """Quasi-Poisson fit per key: key, term, estimate, std_error, cells, problem.
 
+    A panel that is singular or does not converge keeps its rows, with null estimates and the reason: one for each
+    of ``terms``, or a single one without a term where they are not named. Other errors are raised.
     Keys run side by side. Pass aggregated count panels: a group is the product of its
     levels, however many rows were counted into it.
     """
@@ -25,22 +28,21 @@ def sweep(df: DataFrame, key: Sequence[str], formula: str, y: str, factors: Sequ
     fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in key)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({c: [] for c in [*key, "term", "estimate", "std_error"]})
+        wanted = list(terms) if terms is not None else None
         try:
-            out = panel_fit(pdf, "poisson", formula, factors, y, cluster, levels)
-        except (RuntimeError, ArithmeticError, ValueError, ZeroDivisionError):
-            return empty
-        except Exception as e:  # singular systems surface as numpy's LinAlgError
-            if type(e).__name__ != "LinAlgError":
-                raise
-            return empty
-        if terms is not None:
-            out = out[out["term"].isin(list(terms))]
+            out, problem = panel_fit(pdf, "poisson", formula, factors, y, cluster, levels), None
+            if wanted is not None:  # a term that this panel cannot tell keeps a row without an estimate
+                out = out.set_index("term").reindex(wanted).rename_axis("term").reset_index()
+        except (RuntimeError, ArithmeticError, np.linalg.LinAlgError) as e:
+            problem = str(e) or type(e).__name__
+            out = pd.DataFrame({"term": wanted or [None], "estimate": np.nan, "std_error": np.nan})
+        out = out[["term", "estimate", "std_error"]].astype({"estimate": "Float64", "std_error": "Float64"})
+        out["cells"], out["problem"] = len(pdf), problem
         for i, k in enumerate(key):
             out.insert(i, k, pdf[k].iloc[0])
         return out
 
-    return df.groupBy(*key).applyInPandas(run, f"{fields}, term string, estimate double, std_error double")
+    return df.groupBy(*key).applyInPandas(run, f"{fields}, term string, estimate double, std_error double, cells bigint, problem string")
 
 
 def placebo_cutoffs(df: DataFrame, formula: str, time: str, cutoffs: Sequence[int], cluster: Sequence[str],

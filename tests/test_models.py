@@ -325,3 +325,78 @@ def test_executors_get_the_package_wherever_the_driver_started(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
     assert "slope 2.0" in out.stdout, out.stderr[-2000:]
+
+
+def test_set_values_reach_computed_terms(data):
+    """A term I(...) follows the columns that it reads."""
+    df, p = data
+    fit = linear.ols(df, "y ~ z + I(z^2)", compress=False)
+    x = design(p, p.z, p.z ** 2)
+    b = np.linalg.lstsq(x, p.y, rcond=None)[0]
+    got = {r.z: r.fit for r in effects.counterfactual(fit, df, {"z": [0.0, 3.0]}).collect()}
+    assert got[0.0] == pytest.approx(b[0], rel=1e-8) and got[3.0] == pytest.approx(b @ [1, 3, 9], rel=1e-8)
+    moved = design(p, p.z + 1, (p.z + 1) ** 2) @ b - x @ b
+    for r in effects.contrast(fit, df, ["z"], "f").collect():
+        assert r.estimate == pytest.approx(moved[p.f == r.f].mean(), rel=1e-7)
+    sim = {r.z: r for r in effects.simulate(fit, df, {"z": [0.0, 3.0]}, draws=400, seed=1).collect()}
+    assert all(abs(sim[z].fit - got[z]) < 4 * sim[z].sd for z in got)
+    count = glm.quasi_poisson(df, "c ~ z + f + I(z*f)", compress=False)
+    b = count.full_coef()
+    for r in effects.response_means(count, df, {"f": [False, True]}, ["h"]).collect():
+        q = p[p.h == r.h]
+        want = np.exp(design(q, q.z, np.full(len(q), r.f), q.z * r.f) @ b[[count.names.index(n) for n in ("(Intercept)", "z", "fTRUE", "I(z*f)")]])
+        assert r.fit == pytest.approx(want.mean(), rel=1e-8)
+
+
+def test_unknown_levels_are_refused(data):
+    df, _ = data
+    fit = linear.ols(df, "y ~ z + factor(g)")
+    for act in (lambda: effects.counterfactual(fit, df, {"factor(g)": [99]}), lambda: effects.response_means(fit, df, {"factor(g)": [99]}, ["f"]),
+                lambda: effects.simulate(fit, df, {"factor(g)": [99]})):
+        with pytest.raises(ValueError):
+            act()
+
+
+def test_ordered_counterfactuals(data):
+    df, p = data
+    fit = ordinal.ordered_logit(df, "o ~ z + f", ["low", "mid", "high"], compress=False)
+    b, cuts = fit.full_coef()[:2], fit.full_coef()[2:]
+    rows = effects.counterfactual(fit, df, {"f": [True]}).collect()
+    eta = p.z.to_numpy() * b[0] + b[1]
+    cum = [np.zeros(len(p)), *[1 / (1 + np.exp(eta - c)) for c in cuts], np.ones(len(p))]
+    assert {r.level: r.fit for r in rows} == pytest.approx({c: (cum[j + 1] - cum[j]).mean() for j, c in enumerate(["low", "mid", "high"])}, rel=1e-8)
+    assert all(0 < r.se_fit < 0.1 for r in rows)
+
+
+def test_weighted_fits_agree_whether_rows_merge_or_not(data):
+    df, _ = data
+    work = df.withColumn("v", F.when(F.col("h") == 0, 0.0).otherwise(F.col("h") + 0.5))
+    a, b = (linear.ols(work, "y ~ f + factor(g)", weights="v", compress=c) for c in (True, False))
+    s, t = a.stats().first(), b.stats().first()
+    assert s.n == t.n == work.where("v > 0").count()
+    for name in ("sigma2", "loglik", "aic", "bic", "r2"):
+        assert s[name] == pytest.approx(t[name], rel=1e-9)
+
+
+def test_absorbed_and_dummy_fits_cluster_alike(data):
+    df, _ = data
+    a = linear.ols(df, "y ~ z + f", cluster=["h"], absorb="g").cluster("h").table().set_index("term")
+    b = linear.ols(df, "y ~ z + f + factor(g)", cluster=["h"], compress=False).cluster("h").table().set_index("term")
+    for t in ("z", "fTRUE"):
+        assert a.loc[t].to_list() == pytest.approx(b.loc[t].to_list(), rel=1e-6)
+
+
+def test_fits_that_do_not_converge_say_so(data):
+    df, _ = data
+    with pytest.raises(RuntimeError):
+        ordinal.ordered_logit(df, "o ~ z + f", ["low", "mid", "high"], max_iter=1)
+    with pytest.raises(RuntimeError):
+        ordinal.cumulative_logits(df, "h ~ z", [2, 4], max_iter=1)
+
+
+def test_a_panel_without_a_fit_keeps_its_row(spark):
+    rows = [("good", u, t, int(5 + u + t + 3 * (u > 2 and t > 2))) for u in range(5) for t in range(5)] + [("empty", u, t, 0) for u in range(3) for t in range(3)]
+    df = spark.createDataFrame(rows, "k string, u int, t int, n int").withColumn("p", ((F.col("u") > 2) & (F.col("t") > 2)).cast("double"))
+    got = {r.k: r for r in sweep.sweep(df, ["k"], "n ~ p + u + t", "n", ["u", "t"], "u", ["p"]).collect()}
+    assert got["good"].estimate is not None and got["good"].problem is None and got["good"].cells == 25
+    assert got["empty"].term == "p" and got["empty"].estimate is None and got["empty"].cells == 9
