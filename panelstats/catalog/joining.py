@@ -142,13 +142,12 @@ def topn_semi(spark, sf):
 
 
 @query("q_full_outer", """
-WITH a AS (SELECT l_suppkey AS k, CAST(count(*) AS BIGINT) AS n_a FROM lineitem WHERE l_discount = 0.1 AND l_quantity > 45 GROUP BY 1),
-     b AS (SELECT s_suppkey AS k, CAST(1 AS BIGINT) AS n_b FROM supplier WHERE s_acctbal > 0)
+WITH a AS (SELECT l_suppkey + 3 AS k, CAST(count(*) AS BIGINT) AS n_a FROM lineitem GROUP BY 1),
+     b AS (SELECT s_suppkey AS k, CAST(1 AS BIGINT) AS n_b FROM supplier)
 SELECT coalesce(a.k, b.k) AS k, coalesce(n_a, 0) AS n_a, coalesce(n_b, 0) AS n_b FROM a FULL JOIN b ON a.k = b.k""")
 def full_outer(spark, sf):
-    a = (table(spark, sf, "lineitem").where("l_discount = 0.1 and l_quantity > 45")
-         .groupBy(F.col("l_suppkey").alias("k")).agg(F.count("*").alias("n_a")))
-    b = table(spark, sf, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("k"), F.lit(1).cast("long").alias("n_b"))
+    a = table(spark, sf, "lineitem").groupBy((F.col("l_suppkey") + 3).alias("k")).agg(F.count("*").alias("n_a"))
+    b = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), F.lit(1).cast("long").alias("n_b"))
     return joins.outer_fill(a, b, "k")
 
 

@@ -196,8 +196,8 @@ def origin_covariates(spark, sf):
 @query("q_stock_shares", f"""WITH
 e AS (SELECT concat('N', c_nationkey) AS iso, y AS year, sum(CASE WHEN c_custkey % 3 <= (y - 1960) // 10 THEN 1 ELSE 0 END) AS n
       FROM customer, (SELECT unnest([1960, 1970, 1980]) AS y) GROUP BY ALL),
-l AS (SELECT concat('N', s_nationkey) AS iso, CAST(year(l_shipdate) AS INTEGER) AS year, sum(l_quantity) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
-      WHERE year(l_shipdate) IN (1995, 2000) GROUP BY ALL),
+l AS (SELECT concat('N', s_nationkey) AS iso, CASE WHEN year(l_shipdate) < 1998 THEN 1995 ELSE 2000 END AS year, sum(l_quantity) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
+      GROUP BY ALL),
 known AS (SELECT iso, year, n * 1.0 / sum(n) OVER (PARTITION BY year) AS p FROM e UNION ALL SELECT iso, year, n / sum(n) OVER (PARTITION BY year) FROM l),
 f AS (SELECT iso, CAST(y AS INTEGER) AS year FROM (SELECT DISTINCT iso FROM known), (SELECT unnest(range(1960, 2021)) AS y)),
 w AS (SELECT f.iso, f.year, p, max(CASE WHEN p IS NOT NULL THEN f.year END) OVER (PARTITION BY f.iso ORDER BY f.year ROWS UNBOUNDED PRECEDING) AS y0,
@@ -210,8 +210,8 @@ def stock_shares(spark, sf):
     early = c.groupBy(F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("iso")).agg(
         *[F.sum((F.col("c_custkey") % 3 <= i).cast("int")).alias(f"{1960 + 10 * i} [{1960 + 10 * i}]") for i in range(3)])
     li, s = table(spark, sf, "lineitem"), table(spark, sf, "supplier")
-    late = (li.where(F.year("l_shipdate").isin(1995, 2000)).join(s, li.l_suppkey == s.s_suppkey)
-            .groupBy(F.concat(F.lit("N"), F.col("s_nationkey").cast("string")).alias("iso"), F.year("l_shipdate").alias("year"))
+    late = (li.join(s, li.l_suppkey == s.s_suppkey)
+            .groupBy(F.concat(F.lit("N"), F.col("s_nationkey").cast("string")).alias("iso"), F.when(F.year("l_shipdate") < 1998, 1995).otherwise(2000).alias("year"))
             .agg(F.sum("l_quantity").alias("v")))
     total = late.groupBy("year").agg(F.sum("v").alias("v")).withColumn("iso", F.lit("Total"))
     late = late.unionByName(total).select("iso", "year", F.format_number("v", 2).alias("n"))
@@ -424,7 +424,7 @@ fine AS (SELECT lpad(CAST(p_partkey AS VARCHAR), CAST(greatest(5, length(CAST(p_
          UNION ALL SELECT lpad(CAST(p_partkey AS VARCHAR), CAST(greatest(5, length(CAST(p_partkey AS VARCHAR))) AS INTEGER), '0'), (p_partkey * 7) % 300, 0.3 FROM part),
 coarse AS (SELECT DISTINCT tract, concat('STATE_', tract % 25) AS state, CAST(tract % 6 AS INTEGER) AS puma FROM fine),
 zc AS (SELECT zip, state, puma, sum(ratio) AS ratio FROM fine JOIN coarse USING (tract) GROUP BY ALL),
-np AS (SELECT CAST(2008 + 2 * (year(l_shipdate) - 1995) AS INTEGER) AS year, l_partkey, sum(l_linenumber) AS v FROM lineitem WHERE year(l_shipdate) < 2001 GROUP BY ALL),
+np AS (SELECT CAST(2008 + 2 * (least(year(l_shipdate), 2000) - 1995) AS INTEGER) AS year, l_partkey, sum(l_linenumber) AS v FROM lineitem GROUP BY ALL),
 np2 AS (SELECT * FROM np UNION ALL SELECT 2020, l_partkey, v FROM np WHERE year = 2018),
 alloc AS (SELECT year, state, puma, sum(v * ratio) AS lgbt_np FROM np2 JOIN zc ON zip = lpad(CAST(l_partkey AS VARCHAR), CAST(greatest(5, length(CAST(l_partkey AS VARCHAR))) AS INTEGER), '0') GROUP BY ALL)"""
 
@@ -437,8 +437,8 @@ def allocated(spark, sf):
         F.struct((F.col("p_partkey") * 7 % 300).alias("tract"), F.lit(0.3).alias("ratio")))))
     coarse = fine.select("tract", F.concat(F.lit("STATE_"), (F.col("tract") % 25).cast("string")).alias("state"),
                          (F.col("tract") % 6).cast("int").alias("puma")).distinct()
-    li = table(spark, sf, "lineitem").where(F.year("l_shipdate") < 2001)
-    points = li.groupBy((2008 + 2 * (F.year("l_shipdate") - 1995)).cast("int").alias("year"), "l_partkey").agg(
+    year = F.least(F.year("l_shipdate"), F.lit(2000))
+    points = table(spark, sf, "lineitem").groupBy((2008 + 2 * (year - 1995)).cast("int").alias("year"), "l_partkey").agg(
         F.sum("l_linenumber").alias("lgbt_np"))
     return areas.allocate_counts(points, "l_partkey", fine, coarse, "lgbt_np", 2018, [2020])
 

@@ -153,14 +153,13 @@ def est_se_long(spark, sf):
 
 
 @query("q_complete_panel", f"""WITH {LINES_SQL},
-c AS (SELECT l_suppkey, year, same_sex, sum(l_quantity) AS n, count(*) AS k FROM li WHERE l_discount = 0.1 GROUP BY ALL)
-SELECT s.l_suppkey, y.year, f.same_sex, {q('coalesce(n, 0)', 2)} AS n, coalesce(k, 0) AS k
-FROM (SELECT DISTINCT l_suppkey FROM c) s CROSS JOIN (SELECT DISTINCT year FROM c) y CROSS JOIN (SELECT DISTINCT same_sex FROM c) f
-LEFT JOIN c ON c.l_suppkey = s.l_suppkey AND c.year = y.year AND c.same_sex = f.same_sex""")
+c AS (SELECT l_partkey, year, same_sex, sum(l_quantity) AS n, count(*) AS k FROM li GROUP BY ALL)
+SELECT s.l_partkey, y.year, f.same_sex, {q('coalesce(n, 0)', 2)} AS n, coalesce(k, 0) AS k
+FROM (SELECT DISTINCT l_partkey FROM c) s CROSS JOIN (SELECT DISTINCT year FROM c) y CROSS JOIN (SELECT DISTINCT same_sex FROM c) f
+LEFT JOIN c ON c.l_partkey = s.l_partkey AND c.year = y.year AND c.same_sex = f.same_sex""")
 def complete_panel(spark, sf):
-    li = lines(spark, sf).where("l_discount = 0.1")
-    cells = stage(li.groupBy("l_suppkey", "year", "same_sex").agg(F.sum("l_quantity").alias("n"), F.count("*").alias("k")))
-    return rounded(reshape.complete(cells, ["l_suppkey", "year", "same_sex"]), "n", digits=2)
+    cells = stage(lines(spark, sf).groupBy("l_partkey", "year", "same_sex").agg(F.sum("l_quantity").alias("n"), F.count("*").alias("k")))
+    return rounded(reshape.complete(cells, ["l_partkey", "year", "same_sex"]), "n", digits=2)
 
 
 @query("q_calendar", f"""
@@ -184,15 +183,13 @@ def carry_forward(spark, sf):
 
 
 @query("q_scaffold", f"""
-WITH c AS (SELECT s_nationkey, l_returnflag AS grp, sum(l_quantity) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
-           WHERE l_discount > 0.09 GROUP BY ALL)
-SELECT n_nationkey AS s_nationkey, g.grp, {q('coalesce(n, 0)', 2)} AS n FROM nation CROSS JOIN (SELECT unnest(['A', 'N', 'R']) AS grp) g
+WITH c AS (SELECT s_nationkey, l_returnflag AS grp, sum(l_quantity) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)
+SELECT n_nationkey AS s_nationkey, g.grp, {q('coalesce(n, 0)', 2)} AS n FROM nation CROSS JOIN (SELECT unnest(['A', 'N', 'R', 'X']) AS grp) g
 LEFT JOIN c ON c.s_nationkey = n_nationkey AND c.grp = g.grp""")
 def scaffold(spark, sf):
-    li = lines(spark, sf).where("l_discount > 0.09")
-    c = li.groupBy(F.col("state").alias("s_nationkey"), F.col("l_returnflag").alias("grp")).agg(F.sum("l_quantity").alias("n"))
+    c = lines(spark, sf).groupBy(F.col("state").alias("s_nationkey"), F.col("l_returnflag").alias("grp")).agg(F.sum("l_quantity").alias("n"))
     keys = table(spark, sf, "nation").select(F.col("n_nationkey").alias("s_nationkey"))
-    return rounded(reshape.scaffold(keys, "grp", ["A", "N", "R"], c), "n", digits=2)
+    return rounded(reshape.scaffold(keys, "grp", ["A", "N", "R", "X"], c), "n", digits=2)
 
 
 # -- aggregation -----------------------------------------------------------------------------
@@ -524,9 +521,9 @@ def bind_rows(spark, sf):
 
 
 @query("q_distinct_keys", """
-SELECT k FROM (SELECT c_nationkey AS k FROM customer WHERE c_acctbal < 0 UNION SELECT s_nationkey FROM supplier)""")
+SELECT k FROM (SELECT c_nationkey + CASE WHEN c_acctbal < 0 THEN 0 ELSE 100 END AS k FROM customer UNION SELECT s_nationkey FROM supplier)""")
 def distinct_keys(spark, sf):
-    a = table(spark, sf, "customer").where("c_acctbal < 0").select(F.col("c_nationkey").alias("k"))
+    a = table(spark, sf, "customer").select((F.col("c_nationkey") + F.when(F.col("c_acctbal") < 0, 0).otherwise(100)).alias("k"))
     return reshape.bind_rows(a, table(spark, sf, "supplier").select(F.col("s_nationkey").alias("k"))).distinct()
 
 
