@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -104,7 +103,7 @@ PERSONS_SQL = "p AS (" + PERSONS_SELECT.format(
 
 def person_records(spark: SparkSession, sf: str) -> DataFrame:
     names = ("orders", "customer", "supplier")
-    rows = spread(table(spark, sf, "lineitem"), "l_orderkey")
+    rows = table(spark, sf, "lineitem")
     return spark.sql(PERSONS_SELECT, lineitem=rows, **{n: table(spark, sf, n) for n in names})
 
 

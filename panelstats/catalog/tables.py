@@ -536,13 +536,14 @@ def percent_labels(spark, sf):
     return agg.share(c, "w", out="p", scale=100.0).select("l_returnflag", percent_label("p").alias("label"), comma("n").alias("count_label"))
 
 
-@query("q_sample_n")
+@query("q_sample_n", "SELECT * FROM orders ORDER BY md5(concat('7:', o_orderkey)), o_orderkey LIMIT 100")
 def sample_n(spark, sf):
     """Sampling operator: a fixed-size seeded sample is its feature."""
     return topk.sample_n(table(spark, sf, "orders"), 100, 7, ["o_orderkey"])
 
 
-@query("q_case_control")
+@query("q_case_control", """SELECT * FROM orders WHERE o_orderstatus = 'P'
+UNION ALL (SELECT * FROM orders WHERE o_orderstatus <> 'P' ORDER BY md5(concat('7:', o_orderkey)), o_orderkey LIMIT 500)""")
 def case_control(spark, sf):
     o = table(spark, sf, "orders")
     return topk.case_control(o, F.col("o_orderstatus") == "P", 500, 7, ["o_orderkey"])

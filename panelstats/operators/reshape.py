@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -122,22 +123,27 @@ def transpose(df: DataFrame, key: str, levels: Sequence, name: str = "variable")
     return long.groupBy(name).pivot(key, list(levels)).agg(F.max("__value"))
 
 
-def product(sides: Sequence[DataFrame], tiles: int = 6) -> DataFrame:
-    """All combinations of the rows of several distinct-key tables.
+#: Combinations that one tile of a product holds, about.
+TILE_ROWS = 200_000
+
+
+def product(sides: Sequence[DataFrame]) -> DataFrame:
+    """All combinations of the rows of several distinct-key tables: the result is the product, by definition.
 
     A row of one side owns a tile row and is copied along it, a row of the other owns a tile
     column: each pair meets in exactly one of tiles x tiles cells. The grid thus comes from an
-    equality join whose work is even over the tasks, however unequal the sides.
+    equality join whose work is even over the tasks, however unequal the sides. Tiles follow the sizes of the sides.
     """
-    every = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
-
-    def own(df: DataFrame) -> Column:
+    def own(df: DataFrame, tiles: int) -> Column:
         return F.pmod(F.xxhash64(*df.columns), F.lit(tiles)).cast("int")
 
-    out = sides[0]
+    out, rows = sides[0], sides[0].count() if len(sides) > 1 else 0
     for side in sides[1:]:
-        left = out.withColumn("__i", own(out)).withColumn("__j", every)
-        right = side.withColumn("__j", own(side)).withColumn("__i", every)
+        rows *= side.count()
+        tiles = max(2, math.ceil(math.sqrt(rows / TILE_ROWS)))
+        every = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
+        left = out.withColumn("__i", own(out, tiles)).withColumn("__j", every)
+        right = side.withColumn("__j", own(side, tiles)).withColumn("__i", every)
         out = left.join(right, ["__i", "__j"]).drop("__i", "__j")
     return out
 

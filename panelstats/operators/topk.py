@@ -52,9 +52,22 @@ def keep_first_members(df: DataFrame, key: str, ranked: DataFrame, by: Sequence[
 
 
 def sample_n(df: DataFrame, n: int, seed: int, key: Sequence[str]) -> DataFrame:
-    """Fixed-size random sample, the same rows for a seed however the data are partitioned."""
-    ticket = F.xxhash64(F.lit(seed), *[F.col(k) for k in key])
-    return df.withColumn("__t", ticket).orderBy("__t", *key).limit(n).drop("__t")
+    """Fixed-size random sample, the same rows for a seed however the data are partitioned.
+
+    The rows with the smallest tickets, md5 of seed and key. Counts by the ticket's first four digits (at most 65,536 rows) tell
+    up to which prefix all rows belong; only the rows of the prefix where the sample ends are ordered.
+    """
+    ticket = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
+    drawn = df.withColumn("__t", ticket)
+    prefix = F.substring("__t", 1, 4)
+    run = F.sum("n").over(Window.orderBy("p"))
+    counts = drawn.groupBy(prefix.alias("p")).agg(F.count(F.lit(1)).alias("n")).select("p", "n", run.alias("upto"))
+    last = counts.where(F.col("upto") >= n).orderBy("p").first()
+    if last is None:
+        return df
+    sure = drawn.where(prefix < last["p"])
+    edge = drawn.where(prefix == last["p"]).orderBy("__t", *key).limit(n - (last["upto"] - last["n"]))
+    return sure.unionByName(edge).drop("__t")
 
 
 def case_control(df: DataFrame, case: Column, n: int, seed: int, key: Sequence[str]) -> DataFrame:

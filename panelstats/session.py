@@ -70,17 +70,6 @@ def stage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use all cores on a scan of fewer splits than cores, ahead of heavy row expressions.
-
-    A table of any size has more splits than cores and stays as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
-
-
 def ship(spark: SparkSession) -> None:
     """Hand this package to the executors once per session, as one of its Python files.
 
