@@ -23,9 +23,9 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("k")).agg(F.least(F.col("k"), F.min("v")).alias("m"))
-        large = both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least.hint("merge"), F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
-        small = large.join(least, F.col("u") == F.col("k")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(least.hint("merge"), F.col("u") == F.col("k")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stage(small.unionByName(least.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct(), "links")
         now = _mark(edges)
         if now == mark:

@@ -81,14 +81,17 @@ def _flips(which: int, n: int) -> Column:
 
 
 def links(distinct: DataFrame) -> DataFrame:
-    """(a, b): for a table of distinct fingerprints ``fp``, links whose components are those of all pairs at three or fewer differing bits."""
+    """(a, b): for a table of distinct fingerprints ``fp``, links whose components are those of all pairs at three or fewer differing bits.
+
+    Joins are merge joins: files of variants compress so well that their size says little about their rows, and a broadcast by that size could be large.
+    """
     exact = distinct.select("fp", F.explode(F.array(_half(F.col("fp"), 0), _half(F.col("fp"), 1))).alias("key"))
     halves = exact.groupBy("key").agg(F.count("*").alias("n"))
     low = distinct.select("fp", F.explode(F.transform(_flips(0, 1), lambda m: _half(F.col("fp").bitwiseXOR(m), 0))).alias("key"))
     high = distinct.select("fp", F.explode(F.transform(_flips(1, 1), lambda m: _half(F.col("fp").bitwiseXOR(m), 1))).alias("key"))
-    near = stage(low.unionByName(high).join(halves.select("key"), "key", "left_semi"), "near")
+    near = stage(low.unionByName(high).join(halves.select("key").hint("merge"), "key", "left_semi"), "near")
     shared = halves.where("n > 1").select("key").unionByName(near.select("key")).distinct()
-    active = stage(exact.join(shared, "key", "left_semi"), "active")
+    active = stage(exact.join(shared.hint("merge"), "key", "left_semi"), "active")
 
     upper = F.col("key").bitwiseAND(F.lit(1 << 32)) != 0
     fp, key = F.col("fp"), F.col("key")
@@ -99,7 +102,7 @@ def links(distinct: DataFrame) -> DataFrame:
     one = stage(active.select("fp", fp.alias("z")).unionByName(own).unionByName(moved).distinct(), "ball")
     hubs = one.groupBy("z").agg(F.min("fp").alias("a"), F.count("*").alias("n"))
     two = active.select("fp", F.explode(F.when(upper, F.transform(_flips(0, 2), lambda m: fp.bitwiseXOR(m))).otherwise(F.transform(_flips(1, 2), lambda m: fp.bitwiseXOR(m)))).alias("z"))
-    met = one.join(hubs.where("n > 1"), "z").select("a", "fp").unionByName(two.join(hubs.select("z", "a"), "z").select("a", "fp"))
+    met = one.join(hubs.where("n > 1").hint("merge"), "z").select("a", "fp").unionByName(two.join(hubs.select("z", "a").hint("merge"), "z").select("a", "fp"))
     return met.where("a <> fp").select("a", F.col("fp").alias("b")).distinct().where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 3)
 
 
