@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import cochran_var, log_se, mean_ci, paste, percent_label, ratio_pct, wmean, wpct
+from ..functions import centers, cochran_var, log_se, mean_ci, paste, percent_label, ratio_pct, wmean, wpct
 from ..operators import agg, panel, reshape, topk
 from ..session import stage
 from .base import LINES_SQL, lines, q, query, r, rounded, table
@@ -499,7 +499,8 @@ SELECT k, {q('any_value(n) / ((any_value(n) - 1) * pow(any_value(sw), 2)) * (sum
 FROM li JOIN m ON l_suppkey = k GROUP BY k""")
 def cochran(spark, sf):
     li = table(spark, sf, "lineitem")
-    return li.groupBy(F.col("l_suppkey").alias("k")).agg(r(cochran_var("l_extendedprice", "l_quantity"), 1).alias("var"))
+    return li.groupBy(F.col("l_suppkey").alias("k")).agg(
+        r(cochran_var("l_extendedprice", "l_quantity", centers(li, "l_extendedprice")[0]), 1).alias("var"))
 
 
 @query("q_delta_log_se", f"""

@@ -8,7 +8,7 @@ from .recode import (
     recode, sentinel_null, signed_sum, valid_when,
 )
 from .stats import (
-    cochran_var, growth_pct, log_se, logistic, logit, mean_ci, pct_effect, ratio_pct, wmean,
+    centers, cochran_var, growth_pct, log_se, logistic, logit, mean_ci, pct_effect, ratio_pct, wmean,
     wpct, wvar,
 )
 from .text import (

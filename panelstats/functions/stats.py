@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .nulls import col
 
@@ -26,20 +26,27 @@ def wpct(cond: Column, w: Column | str) -> Column:
     return F.lit(100.0) * wmean(cond.cast("double"), w)
 
 
-def wvar(x: Column | str, w: Column | str) -> Column:
-    """Weighted population variance."""
-    x = _dbl(x)
+def centers(df: DataFrame, *cols: Column | str) -> list[Column]:
+    """Means of columns as one scalar subquery, 0 where nothing is known: offsets that keep sums of squares from cancelling."""
+    row = df.agg(F.struct(*[F.coalesce(F.avg(_dbl(c)), F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(cols)]).alias("row")).scalar()
+    return [row.getField(f"c{i}") for i in range(len(cols))]
+
+
+def wvar(x: Column | str, w: Column | str, center: Column | float = 0.0) -> Column:
+    """Weighted population variance. Give a ``center`` near the mean for a column of a large level."""
+    x = _dbl(x) - (center if isinstance(center, Column) else F.lit(center))
     m = wmean(x, w)
-    return F.try_divide(F.sum(x * x * _dbl(w)), F.sum(_w(x, w))) - m * m
+    return F.greatest(F.try_divide(F.sum(x * x * _dbl(w)), F.sum(_w(x, w))) - m * m, F.lit(0.0))
 
 
-def cochran_var(x: Column | str, w: Column | str) -> Column:
+def cochran_var(x: Column | str, w: Column | str, center: Column | float = 0.0) -> Column:
     """Variance of a weighted mean, ``n/(n-1) * sum w^2 (x-m)^2 / (sum w)^2``.
 
     The three-term textbook form collapses to this one, so five sums in a single
-    aggregate are enough. Null with fewer than two known values.
+    aggregate are enough. Null with fewer than two known values. Give a ``center`` near the
+    mean for a column of a large level.
     """
-    x, wt = _dbl(x), _dbl(w)
+    x, wt = _dbl(x) - (center if isinstance(center, Column) else F.lit(center)), _dbl(w)
     ww = _w(x, w)
     n = F.count(x).cast("double")
     sw = F.sum(ww)

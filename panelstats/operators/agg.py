@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions import centers, wvar
 from ..session import stage
 from .joins import attach, rjoin
 
@@ -232,13 +233,13 @@ def summary_table(df: DataFrame, numeric: Sequence[str] = (), categorical: Seque
                                   F.col("q75").alias("stat_3")))
     elif numeric:
         aggs = []
-        for c in numeric:
+        offsets = centers(df, *numeric) if w else [F.lit(0.0)] * len(numeric)
+        for c, offset in zip(numeric, offsets):
             x = F.col(c).cast("double")
             ww = F.sum(F.when(x.isNotNull(), weight))
             m = F.try_divide(F.sum(x * weight), ww)
-            var = F.try_divide(F.sum(x * x * weight), ww) - m * m
             n = F.count(x)
-            sd = F.stddev_samp(x) if not w else F.sqrt(F.greatest(var, F.lit(0.0)) * n / F.nullif(n - 1, F.lit(0)))
+            sd = F.stddev_samp(x) if not w else F.sqrt(wvar(x, weight, offset) * n / F.nullif(n - 1, F.lit(0)))
             aggs.append(F.struct(F.lit(c).alias("variable"), F.lit(None).cast("string").alias("level"),
                                  m.alias("stat_1"), sd.alias("stat_2"),
                                  F.lit(None).cast("double").alias("stat_3")))

@@ -13,6 +13,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions import centers
 from ..models.dist import t_quantile
 from .joins import attach, rjoin
 
@@ -67,13 +68,15 @@ class SurveyDesign:
                   level: float = 0.95, center: Mapping[str, float] | None = None) -> DataFrame:
         """Domain means of many columns as ``by, variable, mean, mean_se``; nulls drop per column.
 
-        ``center`` names an offset to take off a column with a large level before squaring.
+        ``center`` names an offset to take off a column before squaring, so that a large level does not drown the spread;
+        by default each column's own mean.
         """
-        center = dict(center or {})
+        own = [c for c in cols if c not in (center or {})]
+        offset = {c: F.lit(float(v)) for c, v in (center or {}).items()} | dict(zip(own, centers(self.df, *own) if own else []))
         w = F.col(self.w).cast("double")
         aggs: list[Column] = []
         for i, c in enumerate(cols):
-            x = F.col(c).cast("double") - F.lit(float(center.get(c, 0.0)))
+            x = F.col(c).cast("double") - offset[c]
             ww = F.when(x.isNotNull(), w)
             if self.psu is None:
                 aggs += [F.sum(ww).alias(f"a{i}"), F.sum(w * x).alias(f"b{i}"),
@@ -91,7 +94,7 @@ class SurveyDesign:
                 second += [F.sum(a).alias(f"a{i}"), F.sum(b).alias(f"b{i}"), F.sum(a * a).alias(f"aa{i}"),
                            F.sum(a * b).alias(f"ab{i}"), F.sum(b * b).alias(f"bb{i}")]
             sums = per_psu.groupBy(*by).agg(*second)
-        rows = F.array(*[F.struct(F.lit(c).alias("variable"), F.lit(float(center.get(c, 0.0))).alias("__c"),
+        rows = F.array(*[F.struct(F.lit(c).alias("variable"), offset[c].alias("__c"),
                                   *[F.col(f"{k}{i}").alias(f"__{k}") for k in ("a", "b", "aa", "ab", "bb")])
                          for i, c in enumerate(cols)])
         long = sums.select(*by, F.inline(rows))

@@ -3,7 +3,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from panelstats.functions import cochran_var
+from panelstats.functions import centers, cochran_var
 from panelstats.operators import agg, joins, panel, reshape, segregation as seg, topk
 from panelstats.operators.survey import SurveyDesign, clip_interval
 from panelstats.sources import io
@@ -221,3 +221,21 @@ def test_sources(spark, tmp_path):
     assert [r["sex_label"] for r in io.add_labels(codes, book, ["sex"]).orderBy("sex").collect()] == ["male", "female", None]
     io.save_table(codes.withColumn("v", F.lit(1)), str(tmp_path / "p"), ["sex"])
     assert io.load_table(spark, str(tmp_path / "p")).count() == 3
+
+
+def test_spread_survives_a_large_level(spark):
+    rng = np.random.default_rng(9)
+    x, w = rng.normal(size=400), rng.uniform(1, 3, 400)
+    df = spark.createDataFrame([(float(1e9 + a), float(b), i % 40) for i, (a, b) in enumerate(zip(x, w))], "x double, w double, psu int")
+    m = (w * x).sum() / w.sum()
+    r = SurveyDesign(df, "w").mean("x", vartype=("se", "ci")).first()
+    se = np.sqrt(400 / 399 * ((w * (x - m)) ** 2).sum()) / w.sum()
+    assert r["x_se"] == pytest.approx(se, rel=1e-5) and r["x"] - 1e9 == pytest.approx(m, abs=1e-5)
+    assert r["x_low"] < r["x"] < r["x_upp"]
+    z = np.bincount(np.arange(400) % 40, w * (x - m))
+    r = SurveyDesign(df, "w", "psu").mean("x").first()
+    assert r["x_se"] == pytest.approx(np.sqrt(40 / 39 * (z ** 2).sum()) / w.sum(), rel=1e-5)
+    s = agg.summary_table(df, ["x"], w="w").first()
+    assert s["stat_2"] == pytest.approx(np.sqrt((w * (x - m) ** 2).sum() / w.sum() * 400 / 399), rel=1e-5)
+    v = df.agg(cochran_var("x", "w", centers(df, "x")[0])).first()[0]
+    assert v == pytest.approx(400 / 399 * ((w * (x - m)) ** 2).sum() / w.sum() ** 2, rel=1e-5)
