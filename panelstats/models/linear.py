@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.joins import rjoin
+from ..session import stage
 from .accumulate import accumulate, group_sums
 from .design import Formula, ModelFrame, model_frame, variable_column
 from .fit import Fit, cluster_map, independent_columns, inverse, table_frame
@@ -40,14 +41,14 @@ def solve_gram(flat: np.ndarray, k: int):
 
 def ols(df: DataFrame, formula: str, weights: str | None = None, cluster: Sequence[str] = (),
         levels: Mapping[str, Sequence] | None = None, compress: bool | None = None,
-        absorb: str | None = None) -> Fit:
+        absorb: str | Sequence[str] | None = None) -> Fit:
     """Linear model, weighted if asked.
 
-    Name columns for later clustering in ``cluster``. ``absorb`` takes one factor of many levels
-    out by its group means instead of dummy columns.
+    Name columns for later clustering in ``cluster``. ``absorb`` takes factors of any number of
+    levels out by their group means instead of dummy columns.
     """
     if absorb is not None:
-        return _absorbed(df, formula, weights, cluster, levels, absorb)
+        return _absorbed(df, formula, weights, cluster, levels, [absorb] if isinstance(absorb, str) else list(absorb))
     frame = model_frame(df, formula, weights, cluster, levels, compress)
     return fit_frame(frame, cluster)
 
@@ -74,26 +75,58 @@ def fit_frame(frame: ModelFrame, cluster: Sequence[str] = (), lost_df: int = 0)
                clusters=dict(cluster_map(cluster)), n_par=len(keep) + lost_df + 1)
 
 
+#: Sweeps over the absorbed factors, and the largest group mean left, in units of a column's spread.
+MAX_SWEEPS, MEAN_LEFT = 2000, 1e-10
+
+
 def _absorbed(df: DataFrame, formula: str, weights: str | None, cluster: Sequence[str],
-              levels: Mapping[str, Sequence] | None, absorb: str) -> Fit:
-    """Within transformation: group means by aggregate and join, then least squares without intercept."""
+              levels: Mapping[str, Sequence] | None, absorb: Sequence[str]) -> Fit:
+    """Within transformation: columns less the effects of the factors, then least squares without intercept.
+
+    Effects live on the cells that the factors span, one aggregate of the rows. With several factors the cell means are
+    freed of one factor's means after the other until none is left; rows then take their cell's shift in one join.
+    No level list reaches the driver, so factors may have any number of levels. Degrees of freedom count the levels of
+    all factors less one for each factor after the first, as for factors that connect.
+    """
     f = Formula(formula)
     plain = model_frame(df, formula, weights, (), levels, compress=False)
     d = plain.design
     cols = [(n, c) for n, c in zip(d.names, d.columns(df)) if n != "(Intercept)"]
     y, _ = variable_column(df, f.response)
     w = F.col(weights).cast("double") if weights else F.lit(1.0)
+    groups = [f"g{i}" for i in range(len(absorb))]
     base = df.select(*[c.alias(f"c{i}") for i, (_, c) in enumerate(cols)], y.cast("double").alias("cy"),
-                     w.alias("cw"), F.col(absorb).alias("cg"),
+                     w.alias("cw"), *[F.col(a).alias(g) for g, a in zip(groups, absorb)],
                      *[F.col(c).alias(f"k{i}") for i, c in enumerate(cluster)])
     values = [f"c{i}" for i in range(len(cols))] + ["cy"]
-    base = base.dropna(subset=[*values, "cw"])
-    means = base.groupBy("cg").agg(*[(F.sum(F.col(v) * F.col("cw")) / F.sum("cw")).alias(f"{v}_m") for v in values])
-    n_groups = means.count()
-    within = rjoin(base, means, "cg").withColumns({v: F.col(v) - F.col(f"{v}_m") for v in values})
+    base = base.dropna(subset=[*values, "cw"]).where("cw <> 0")
+
+    def less_means(table: DataFrame, g: str, weight: str) -> DataFrame:
+        means = table.groupBy(g).agg(*[(F.sum(F.col(v) * F.col(weight)) / F.sum(weight)).alias(f"{v}_m") for v in values])
+        return rjoin(table, means, [g]).withColumns({v: F.col(v) - F.col(f"{v}_m") for v in values}).drop(*[f"{v}_m" for v in values])
+
+    cells = base.groupBy(*groups).agg(F.sum("cw").alias("ww"), *[(F.sum(F.col(v) * F.col("cw")) / F.sum("cw")).alias(v) for v in values])
+    cells = stage(cells.withColumns({f"{v}_0": F.col(v) for v in values}))
+    spread = base.agg(*[F.coalesce(F.stddev_pop(v), F.lit(0.0)).alias(v) for v in values]).first()
+    for _ in range(MAX_SWEEPS):
+        for g in groups:
+            cells = less_means(cells, g, "ww")
+        if len(groups) == 1:
+            break
+        cells = stage(cells)
+        left = cells.groupBy(groups[0]).agg(*[F.abs(F.sum(F.col(v) * F.col("ww")) / F.sum("ww")).alias(v) for v in values])
+        most = left.agg(*[F.max(v).alias(v) for v in values]).first()
+        if all((most[v] or 0.0) <= MEAN_LEFT * (spread[v] or 1.0) for v in values):
+            break
+    else:
+        raise RuntimeError("the absorbed effects did not converge")
+    shift = cells.select(*groups, *[(F.col(f"{v}_0") - F.col(v)).alias(f"{v}_m") for v in values])
+    lost = base.agg(*[(F.count_distinct(g) + F.max(F.col(g).isNull().cast("int"))).alias(g) for g in groups]).first()
+    lost_df = sum(lost) - (len(groups) - 1)
+    within = rjoin(base, shift, groups).withColumns({v: F.col(v) - F.col(f"{v}_m") for v in values})
     rhs = " + ".join(["0", *[f"c{i}" for i in range(len(cols))]])
-    frame = model_frame(within, f"cy ~ {rhs}", "cw", [f"k{i}" for i in range(len(cluster))], compress=False)
-    fit = fit_frame(frame, [f"k{i}" for i in range(len(cluster))], n_groups)
+    frame = model_frame(within, f"cy ~ {rhs}", "cw", [f"k{i}" for i in range(len(cluster))], compress=False, iterative=True)
+    fit = fit_frame(frame, [f"k{i}" for i in range(len(cluster))], lost_df)
     fit.names = [n for n, _ in cols]
     fit.clusters = {c: f"e{i}" for i, c in enumerate(cluster)}
     return fit

@@ -400,3 +400,17 @@ def test_a_panel_without_a_fit_keeps_its_row(spark):
     got = {r.k: r for r in sweep.sweep(df, ["k"], "n ~ p + u + t", "n", ["u", "t"], "u", ["p"]).collect()}
     assert got["good"].estimate is not None and got["good"].problem is None and got["good"].cells == 25
     assert got["empty"].term == "p" and got["empty"].estimate is None and got["empty"].cells == 9
+
+
+def test_several_factors_of_many_levels_are_absorbed(spark, data):
+    df, p = data
+    a = linear.ols(df, "y ~ z + f", weights="w", cluster=["h"], absorb=["g", "h"])
+    b = linear.ols(df, "y ~ z + f + factor(g) + factor(h)", weights="w", cluster=["h"], compress=False)
+    assert a.df_resid == b.df_resid
+    for x, y in ((a, b), (a.cluster("h"), b.cluster("h"))):
+        x, y = x.table().set_index("term"), y.table().set_index("term")
+        for t in ("z", "fTRUE"):
+            assert x.loc[t].to_list() == pytest.approx(y.loc[t].to_list(), rel=1e-5)
+    wide = spark.range(60000).selectExpr("id % 20000 as unit", "cast(id / 20000 as int) as t", "sin(id * 1.7) as x", "cos(id * 2.3) as e").selectExpr("*", "2 * x + unit % 7 + t + e as y")
+    fit = linear.ols(wide, "y ~ x", absorb=["unit", "t"])
+    assert fit.df_resid == 60000 - 20002 - 1 and fit.param("x") == pytest.approx(2, abs=0.05)
