@@ -242,6 +242,42 @@ def response_means(spark, sf):
     return rounded(effects.response_means(fit, p, {"same_sex": [True, False]}, ["year"]), "fit", digits=4)
 
 
+_SQUARE = """
+z AS (SELECT l_quantity AS x, l_quantity * l_quantity AS x2, l_extendedprice AS y, l_returnflag FROM lineitem),
+m AS (SELECT avg(x) AS mx, avg(x2) AS mz, avg(y) AS my, covar_pop(x, x) AS a, covar_pop(x, x2) AS b, covar_pop(x2, x2) AS c, covar_pop(x, y) AS d, covar_pop(x2, y) AS e FROM z),
+b AS (SELECT mx, mz, my, (d * c - b * e) / (a * c - b * b) AS b1, (a * e - b * d) / (a * c - b * b) AS b2 FROM m)"""
+
+
+def _square(spark, sf):
+    li = table(spark, sf, "lineitem")
+    return li, linear.ols(li, "l_extendedprice ~ l_quantity + I(l_quantity^2)", compress=True)
+
+
+@query("q_counterfactual_square", f"""WITH {_SQUARE}
+SELECT v AS l_quantity, {q('my + b1 * (v - mx) + b2 * (v * v - mz)', 2)} AS fit FROM b, (SELECT unnest([1.0, 25.0, 50.0])::DOUBLE AS v)""")
+def counterfactual_square(spark, sf):
+    """A set value reaches the squared term too."""
+    li, fit = _square(spark, sf)
+    return rounded(effects.counterfactual(fit, li, {"l_quantity": [1.0, 25.0, 50.0]}).select("l_quantity", "fit"), "fit", digits=2)
+
+
+@query("q_contrast_square", f"""WITH {_SQUARE}
+SELECT l_returnflag, {q('any_value(b1) + any_value(b2) * (2 * avg(x) + 1)', 2)} AS estimate FROM z, b GROUP BY l_returnflag""")
+def contrast_square(spark, sf):
+    li, fit = _square(spark, sf)
+    return rounded(effects.contrast(fit, li, ["l_quantity"], "l_returnflag").select("l_returnflag", "estimate"), "estimate", digits=2)
+
+
+@query("q_response_means_product", f"""WITH {LINES_SQL}, {_PANEL},
+m AS (SELECT post, same_sex, avg(n) AS a FROM pn GROUP BY ALL)
+SELECT year, m.post, {q('avg(a)', 3)} AS fit FROM pn JOIN m ON m.same_sex = pn.same_sex GROUP BY ALL""")
+def response_means_product(spark, sf):
+    """A set flag reaches the product term of a count model."""
+    p = panel(spark, sf)
+    fit = glm.quasi_poisson(p, "n ~ post + same_sex + I(post*same_sex)")
+    return rounded(effects.response_means(fit, p, {"post": [False, True]}, ["year"]).select("year", "post", "fit"), "fit", digits=3)
+
+
 @query("q_contrast")
 def contrast(spark, sf):
     p = panel(spark, sf).withColumn("policy_score", F.col("policy").cast("double"))
