@@ -270,12 +270,12 @@ def contrast_square(spark, sf):
 
 @query("q_response_means_product", f"""WITH {LINES_SQL}, {_PANEL},
 m AS (SELECT post, same_sex, avg(n) AS a FROM pn GROUP BY ALL)
-SELECT year, m.post, {q('avg(a)', 3)} AS fit FROM pn JOIN m ON m.same_sex = pn.same_sex GROUP BY ALL""")
+SELECT year, m.post, {q('ln(avg(a))')} AS log_fit FROM pn JOIN m ON m.same_sex = pn.same_sex GROUP BY ALL""")
 def response_means_product(spark, sf):
     """A set flag reaches the product term of a count model."""
     p = panel(spark, sf)
     fit = glm.quasi_poisson(p, "n ~ post + same_sex + I(post*same_sex)")
-    return rounded(effects.response_means(fit, p, {"post": [False, True]}, ["year"]).select("year", "post", "fit"), "fit", digits=3)
+    return rounded(effects.response_means(fit, p, {"post": [False, True]}, ["year"]).select("year", "post", F.ln("fit").alias("log_fit")), "log_fit")
 
 
 @query("q_contrast")
