@@ -10,9 +10,11 @@ from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from .accumulate import accumulate
+from ..operators.joins import rjoin
+from ..session import stage
+from .accumulate import accumulate, group_sums
 from .design import Design, model_frame
 from .fit import Fit, cluster_map, independent_columns, inverse
 
@@ -100,11 +102,94 @@ def _glm(kind: str, df: DataFrame, formula: str, weights: str | None, cluster: S
 
 
 def quasi_poisson(df: DataFrame, formula: str, weights: str | None = None, cluster: Sequence[str] = (),
-                  levels: Mapping[str, Sequence] | None = None, compress: bool | None = None) -> Fit:
-    """Log-link count model; the covariance carries the Pearson dispersion."""
+                  levels: Mapping[str, Sequence] | None = None, compress: bool | None = None, absorb: str | None = None) -> Fit:
+    """Log-link count model; the covariance carries the Pearson dispersion.
+
+    ``absorb`` takes a factor of any number of levels out instead of one column for each level.
+    """
+    if absorb is not None:
+        return _absorbed(df, formula, weights, cluster, levels, compress, absorb)
     return _glm("poisson", df, formula, weights, cluster, levels, compress)
 
 
+def _absorbed(df: DataFrame, formula: str, weights: str | None, cluster: Sequence[str], levels: Mapping[str, Sequence] | None,
+              compress: bool | None, absorb: str, max_iter: int = 60) -> Fit:
+    """Count model whose level effects are put in closed form: at given slopes each level's fitted total equals its count.
+
+    What is left is a fit on the regressors less their fitted mean in the level: an aggregate by level and one over the rows for each
+    step. Levels stay a DataFrame. Levels without any count fit perfectly and are left out. The fit gives coefficients, errors and
+    statistics; it has no intercept and predicts nothing.
+    """
+    frame = model_frame(df, formula, weights, [absorb, *cluster], levels, compress, iterative=True)
+    d, k, level = frame.design, frame.design.k - 1, frame.extra[0]
+    sums = ["__e", *[f"__x{i}" for i in range(k)]]
+    totals = frame.df.groupBy(level).agg(F.sum("__wy").alias("__total")).where("__total > 0")
+    rows = stage(rjoin(frame.df, totals, [level], "inner"))
+    levels_left = totals.count()
+
+    def joined(beta: np.ndarray) -> DataFrame:
+        def part(pdf):
+            x = d.matrix(pdf)[:, 1:]
+            e = pdf["__w"].to_numpy(dtype=float) * np.exp(np.clip(x @ beta, -700, 700))
+            return np.column_stack([e, x * e[:, None]])
+
+        return rjoin(rows, group_sums(rows, [level], part, 1 + k, sums), [level])
+
+    def parts(pdf, beta):
+        """Centred regressors, fitted totals and observed totals of the rows."""
+        x = d.matrix(pdf)[:, 1:]
+        e = pdf["__e"].to_numpy(dtype=float)
+        mean = pdf[sums[1:]].to_numpy(dtype=float) / e[:, None]
+        mu = pdf["__total"].to_numpy(dtype=float) / e * pdf["__w"].to_numpy(dtype=float) * np.exp(np.clip(x @ beta, -700, 700))
+        return x, x - mean, mu, pdf["__wy"].to_numpy(dtype=float)
+
+    size = k * k + 2 * k + 4
+
+    def sums_at(beta):
+        def block(pdf):
+            x, xc, mu, wy = parts(pdf, beta)
+            w = pdf["__w"].to_numpy(dtype=float)
+            fit = mu / w
+            dev = 2.0 * (pdf["__wyl"].to_numpy(dtype=float) - wy * np.log(fit) - (wy - mu)).sum()
+            pearson = ((pdf["__wyy"].to_numpy(dtype=float) - 2 * fit * wy + fit * mu) / fit).sum()
+            return np.concatenate([(xc.T @ (xc * mu[:, None])).ravel(), xc.T @ (wy - mu), (x * x).T @ mu, [dev, pearson, pdf["__n"].sum(), wy.sum()]])
+
+        return accumulate(joined(beta), block, size, True)
+
+    beta, before = np.zeros(k), np.inf
+    flat = sums_at(beta)
+    gram = flat[: k * k].reshape(k, k).copy()
+    still = np.diag(gram) <= 1e-12 * flat[k * k + k: k * k + 2 * k]  # columns that a level fixes
+    gram[still], gram[:, still] = 0.0, 0.0
+    keep = independent_columns(gram)
+    for _ in range(max_iter):
+        info, slope = flat[: k * k].reshape(k, k)[np.ix_(keep, keep)], flat[k * k: k * k + k][keep]
+        bread = inverse(info)
+        step = bread @ slope
+        gain = float(slope @ step) / max(flat[-1], 1.0)
+        if gain <= 1e-20 or (gain < 1e-9 and gain > 0.25 * before):
+            break
+        before = gain
+        beta = beta.copy()
+        beta[keep] += step
+        flat = sums_at(beta)
+    else:
+        raise RuntimeError("the fit did not converge")
+    dev, pearson, n = flat[-4], flat[-3], int(round(flat[-2]))
+    dfr = n - len(keep) - levels_left
+    phi = pearson / dfr
+    undo = np.diag(1.0 / d.unit[1:])
+    m = undo[np.ix_(keep, keep)]
+
+    def score(pdf):
+        _, xc, mu, wy = parts(pdf, beta)
+        return xc * (wy - mu)[:, None]
+
+    frame.df = stage(joined(beta)) if cluster else rows
+    return Fit("poisson", frame, d.names[1:], keep, m @ beta[keep], phi * (m @ bread @ m.T), bread, undo, score, n, dfr, phi, deviance=dev,
+               clusters={c: f"e{i + 1}" for i, c in enumerate(cluster)})
+
+
 def logit(df: DataFrame, formula: str, weights: str | None = None, cluster: Sequence[str] = (),
           levels: Mapping[str, Sequence] | None = None, compress: bool | None = None) -> Fit:
     """Binomial logit of a 0/1 or logical response."""

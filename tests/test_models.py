@@ -414,3 +414,17 @@ def test_several_factors_of_many_levels_are_absorbed(spark, data):
     wide = spark.range(60000).selectExpr("id % 20000 as unit", "cast(id / 20000 as int) as t", "sin(id * 1.7) as x", "cos(id * 2.3) as e").selectExpr("*", "2 * x + unit % 7 + t + e as y")
     fit = linear.ols(wide, "y ~ x", absorb=["unit", "t"])
     assert fit.df_resid == 60000 - 20002 - 1 and fit.param("x") == pytest.approx(2, abs=0.05)
+
+
+def test_count_model_with_an_absorbed_factor(spark, data):
+    df, _ = data
+    a = glm.quasi_poisson(df, "c ~ z + f + factor(h)", cluster=["h"], compress=False, absorb="g")
+    b = glm.quasi_poisson(df, "c ~ z + f + factor(h) + factor(g)", cluster=["h"], compress=False)
+    assert a.df_resid == b.df_resid and a.deviance == pytest.approx(b.deviance, rel=1e-8)
+    for x, y in ((a, b), (a.cluster("h"), b.cluster("h"))):
+        x, y = x.table().set_index("term"), y.table().set_index("term")
+        for t in ("z", "fTRUE", "factor(h)3"):
+            assert x.loc[t].to_list() == pytest.approx(y.loc[t].to_list(), rel=1e-5)
+    wide = spark.range(40000).selectExpr("id % 8000 as unit", "cast(id % 3 as double) as x", "cast(3 + 2 * (id % 3) + (id * 7919) % 5 as int) as y")
+    fit = glm.quasi_poisson(wide, "y ~ x", absorb="unit")
+    assert len(fit.names) == 1 and 0.2 < fit.param("x") < 0.6
