@@ -35,6 +35,16 @@ def survey_mean(spark, sf):
     return rounded(out, "l_extendedprice", "l_extendedprice_se", digits=3)
 
 
+@query("q_survey_mean_ci", f"""WITH {LINES_SQL}, {_G}, {_mean_sql('l_extendedprice', 'year, same_sex', 'l_orderkey')}
+SELECT year, same_sex, {q('m', 3)} AS middle, {q('se', 3)} AS l_extendedprice_se, CAST(3.92 AS DOUBLE) AS width FROM el_extendedprice""")
+def survey_mean_ci(spark, sf):
+    """The interval's middle, and its width in standard errors: twice the t quantile, which is 1.96 to two digits for this many orders."""
+    out = design(spark, sf).mean("l_extendedprice", ["year", "same_sex"], vartype=("se", "ci"))
+    low, upp, se = (F.col(f"l_extendedprice_{x}") for x in ("low", "upp", "se"))
+    out = out.select("year", "same_sex", ((low + upp) / 2).alias("middle"), se.alias("l_extendedprice_se"), F.round((upp - low) / se, 2).alias("width"))
+    return rounded(out, "middle", "l_extendedprice_se", digits=3)
+
+
 @query("q_survey_mean_weights", f"""WITH {_NUMBERED}, {_GN}, {_mean_sql('l_discount', 'state', None, 'num')}
 SELECT state, {q('m')} AS l_discount, {q('se')} AS l_discount_se FROM el_discount""")
 def survey_mean_weights(spark, sf):
