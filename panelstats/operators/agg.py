@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -162,25 +163,30 @@ def trend(df: DataFrame, y: str, x: str, by: Sequence[str] = ()) -> DataFrame:
                                F.regr_count(y, x).alias("n"))
 
 
-def quantiles(df: DataFrame, by: Sequence[str], c: str, probs: Sequence[float],
-              splits: int = 32) -> DataFrame:
+#: Distinct values of a group that one range should hold, and the ranges that placing by comparisons allows.
+RANGE_VALUES, MAX_RANGES = 100_000, 1024
+
+
+def quantiles(df: DataFrame, by: Sequence[str], c: str, probs: Sequence[float]) -> DataFrame:
     """Exact interpolated quantiles (h = (n-1)p) that survive a group of any size.
 
     Values are counted first; sketched split points cut the distinct values of a group into
-    ranges of like size. Range counts locate the two ranks each quantile needs, and only the
-    ranges that hold them are ordered. No task sorts a whole group.
+    ranges of like size, as many as the largest group's distinct values ask for. Range counts
+    locate the two ranks each quantile needs, and only the ranges that hold them are ordered.
     """
     by = list(by)
     x = F.col(c).cast("double")
     known = df.where(x.isNotNull()).select(*by, x.alias("__x"))
-    counts = known.groupBy(*by, "__x").agg(F.count(F.lit(1)).alias("__n"))
+    counts = stage(known.groupBy(*by, "__x").agg(F.count(F.lit(1)).alias("__n")))
+    most = counts.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    splits = max(8, min(MAX_RANGES, math.ceil(most / RANGE_VALUES)))
     marks = [i / splits for i in range(1, splits)]
     edges = counts.groupBy(*by).agg(
-        F.percentile_approx("__x", marks, F.lit(1000)).alias("__edges"), F.sum("__n").alias("__total"))
+        F.percentile_approx("__x", marks, F.lit(30 * splits)).alias("__edges"), F.sum("__n").alias("__total"))
     cells = attach(counts, edges, by)
     # compiled comparisons; a lambda over the array would run interpreted per row
     place = sum(((F.col("__edges")[i] < F.col("__x")).cast("int") for i in range(len(marks))), F.lit(0))
-    cells = stage(cells.withColumn("__range", place).drop("__edges"))
+    cells = cells.withColumn("__range", place).drop("__edges")
     ranges = cells.groupBy(*by, "__range", "__total").agg(F.sum("__n").alias("__rn"))
     upto = F.sum("__rn").over(Window.partitionBy(*by).orderBy("__range"))
     ranges = ranges.withColumn("__start", upto - F.col("__rn"))
