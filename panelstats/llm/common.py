@@ -28,7 +28,17 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(key, before)
-    return spark.read.schema(df.schema).parquet(path)
+    copy = spark.read.schema(df.schema).parquet(path)
+    copy._llm_path = path
+    return copy
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete the files of staged tables that no table still to be computed reads."""
+    for df in staged:
+        jvm, session = df.sparkSession._jvm, df.sparkSession._jsparkSession
+        folder = jvm.org.apache.hadoop.fs.Path(df._llm_path)
+        folder.getFileSystem(session.sparkContext().hadoopConfiguration()).delete(folder, True)
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -4,8 +4,9 @@ Every string of ``length`` bytes is a window, the depth to which suffixes are so
 
 1. Texts are cut where their content says so, and pieces (with the ``length - 1`` bytes that follow, so that each window lies in one piece) meet by a 128-bit hash. A piece
    that a smaller document holds as a whole needs no further look, and copies of whole documents end here. Only hashes are shuffled, combined before the shuffle.
-2. Windows of the other pieces go to the bucket of their smallest 16-gram (by hash): equal windows have equal smallest 16-grams. Neighbours of one bucket travel as one string, and a
-   task sends equal strings once, with a list of places.
+2. Windows of the other pieces belong to the bucket of their smallest 16-gram (by hash): equal windows have equal smallest 16-grams. Sorted arrays of bucket numbers are exchanged
+   first, and only windows of buckets that occur in more than one document go on. Neighbours of one bucket travel as one string, and a task sends equal strings once, with a
+   list of places.
 3. A bucket's strings are sorted by bucket-pointer refinement: initial buckets by q-gram, then buckets of depth 2q, 4q, ... by sorting on the pair of a
    suffix's own bucket and the bucket of its later offset, each refinement being used by the next, up to ``length``. Suffixes alone in their bucket drop out at once.
    The smallest document of a final bucket decides for all its windows.
@@ -17,18 +18,24 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import map_arrow, slices, stage, utf8
+from .common import discard, map_arrow, slices, stage, utf8
 
 LENGTH = 50
 Q = 16
 #: Bytes of a content-defined piece, on average and at most.
 PIECE, PIECE_MAX = 160, 4096
 #: Bytes of window strings that one bucket group should hold.
-GROUP_BYTES = 12 << 20
+GROUP_BYTES = 6 << 20
 #: Text bytes after which a task sends what it has gathered.
-SEND_BYTES = 24 << 20
+SEND_BYTES = 12 << 20
+#: Bytes that arrays of eight bytes per position are made for at once.
+ARRAY_BYTES = 2 << 20
+#: Bytes of a bucket number while buckets of one document are sorted out; numbers that coincide only let more windows through.
+SLOT_BYTES = 5
+#: Bytes of new text whose bucket numbers are exchanged together.
+CHUNK_BYTES = 8 << 20
 ADDED = ("kept", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
 
 
@@ -100,7 +107,7 @@ def _texts(batch: pa.RecordBatch, at: int) -> tuple[bytes, np.ndarray]:
     column = utf8(batch.column(at))
     ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
     data = column.buffers()[2]
-    return (data.to_pybytes()[ends[0]:ends[-1]] if data is not None else b""), (ends - ends[0]).astype(np.int64)
+    return (data.slice(int(ends[0]), int(ends[-1] - ends[0])).to_pybytes() if data is not None else b""), (ends - ends[0]).astype(np.int64)
 
 
 def _rank(*keys: np.ndarray) -> np.ndarray:
@@ -162,7 +169,7 @@ def _occurrences(base: DataFrame, length: int) -> DataFrame:
     def cut(batches):
         import xxhash
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", ARRAY_BYTES):
             raw, bounds = _texts(batch, 2)
             doc, pos, sizes = _pieces(raw, bounds, length)
             begin = bounds[doc] + pos
@@ -174,16 +181,137 @@ def _occurrences(base: DataFrame, length: int) -> DataFrame:
     return map_arrow(base, cut, "doc_id bigint, mark bigint, pos bigint, n int, h1 bigint, h2 bigint")
 
 
-def _send(joined: DataFrame, length: int, groups: int) -> DataFrame:
-    """Window strings of the new pieces, one row per task, round and bucket group."""
+def _regions(joined: DataFrame, length: int) -> DataFrame:
+    """Runs of new windows with their bytes, in numbered chunks: chunk, doc_id, copy, pos, bytes."""
+
+    def cut(batches):
+        from pyspark import TaskContext
+
+        chunk, filled = TaskContext.get().partitionId() << 32, 0
+        for batch in slices(batches, "text"):
+            raw, bounds = _texts(batch, 2)
+            doc, pos, sizes = [], [], []
+            for k, spans in enumerate(batch.column(3).to_pylist()):
+                last = -1
+                for at, n in sorted((s["pos"], s["n"]) for s in spans):
+                    if at == last:
+                        sizes[-1] += n
+                    elif at > last:
+                        doc.append(k)
+                        pos.append(at)
+                        sizes.append(n)
+                    last = max(last, at + n)
+            rows = pa.array(doc, pa.int64())
+            parts = [raw[bounds[k] + at:bounds[k] + at + n + length - 1] for k, at, n in zip(doc, pos, sizes)]
+            yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(doc), pa.int64()), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(pos, pa.int64()), pa.array(parts, pa.binary())],
+                                             names=["chunk", "doc_id", "copy", "pos", "bytes"])
+            filled += sum(map(len, parts))
+            if filled > CHUNK_BYTES:
+                chunk, filled = chunk + 1, 0
+
+    return map_arrow(joined, cut, "chunk bigint, doc_id bigint, copy int, pos bigint, bytes binary")
+
+
+def _buckets(column: pa.Array, length: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(all bytes, begin of each region, windows of each, begin of each run of windows of one bucket, its bucket's hash) of the regions of a batch."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+    raw = column.buffers()[2].slice(int(ends[0]), int(ends[-1] - ends[0])).to_pybytes()
+    base, sizes = ends[:-1] - ends[0], np.diff(ends) - length + 1
+    low = _lows(_grams(_eights(np.frombuffer(raw + b"\0" * (length + 16), np.uint8))), length - Q + 1)[:len(raw)]
+    head = np.ones(len(low), bool)
+    head[1:] = low[1:] != low[:-1]
+    head[base] = True
+    inside = np.zeros(len(raw) + 1, np.int8)
+    inside[base] += 1
+    inside[base + sizes] -= 1
+    first = np.flatnonzero(head & (np.cumsum(inside[:-1]) > 0)[:len(low)])
+    return raw, base, sizes, first, low[first]
+
+
+def _slot(low: np.ndarray) -> np.ndarray:
+    return _mix(low, 0xBF58476D1CE4E5B9) >> np.uint64(64 - 8 * SLOT_BYTES)
+
+
+def _narrow(slots: np.ndarray) -> bytes:
+    return slots.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SLOT_BYTES].tobytes()
+
+
+def _wide(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // SLOT_BYTES, 8), np.uint8)
+    out[:, :SLOT_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, SLOT_BYTES)
+    return out.view("<u8").ravel()
+
+
+def _shared_slots(regions: DataFrame, length: int, parts: int) -> DataFrame:
+    """(chunk, slots): the bucket numbers of a chunk that occur in more than one document."""
+
+    def numbers(batches):
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def flush(chunk):
+            slots, docs = (np.concatenate(x) for x in zip(*held.pop(chunk)))
+            order = np.lexsort((docs, slots))
+            slots, docs = slots[order], docs[order]
+            head = np.concatenate([[True], slots[1:] != slots[:-1]])
+            first = np.flatnonzero(head)
+            several = np.zeros(len(first), bool)
+            several[(np.cumsum(head) - 1)[1:][(slots[1:] == slots[:-1]) & (docs[1:] != docs[:-1])]] = True
+            slots = slots[first]
+            part = (slots % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            cuts = np.searchsorted(part[order], np.arange(parts + 1))
+            rows = [(p, chunk, _narrow(slots[own]), np.packbits(several[own]).tobytes()) for p, own in enumerate(np.split(order, cuts[1:-1])) if len(own)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["part", "chunk", "slots", "several"])
+
+        for batch in slices(batches, "bytes", ARRAY_BYTES):
+            raw, base, sizes, first, low = _buckets(batch.column(3), length)
+            owner = np.searchsorted(base, first, "right") - 1
+            chunks = batch.column(0).to_numpy(zero_copy_only=False)
+            docs = batch.column(1).to_numpy(zero_copy_only=False)  # rows of one id never count against each other
+            for chunk in np.unique(chunks).tolist():
+                own = chunks[owner] == chunk
+                held.setdefault(chunk, []).append((_slot(low[own]), docs[owner[own]]))
+            for chunk in [c for c in held if c != chunks[-1]]:
+                yield flush(chunk)
+        for chunk in list(held):
+            yield flush(chunk)
+
+    def meet(batches):
+        def settle(rows):
+            slots = [_wide(r[1]) for r in rows]
+            several = np.concatenate([np.unpackbits(np.frombuffer(r[2], np.uint8), count=len(s)) for r, s in zip(rows, slots)]).astype(bool)
+            every = np.concatenate(slots)
+            found, which, counts = np.unique(every, return_inverse=True, return_counts=True)
+            shared = counts > 1
+            shared[which[several]] = True
+            keep = np.split(shared[which], np.cumsum([len(s) for s in slots])[:-1])
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([_narrow(s[k]) for s, k in zip(slots, keep)], pa.binary())], names=["chunk", "slots"])
+
+        part, rows = None, []
+        for batch in batches:
+            for p, chunk, slots, several in zip(*(c.to_pylist() for c in batch.columns)):
+                if rows and p != part:
+                    yield settle(rows)
+                    rows = []
+                part = p
+                rows.append((chunk, slots, several))
+        if rows:
+            yield settle(rows)
+
+    sent = map_arrow(regions.select("chunk", "doc_id", "copy", "bytes"), numbers, "part int, chunk bigint, slots binary, several binary")
+    return map_arrow(sent.repartition("part").sortWithinPartitions("part"), meet, "chunk bigint, slots binary")
+
+
+def _send(regions: DataFrame, shared: DataFrame, length: int, groups: int) -> DataFrame:
+    """Window strings of shared buckets, one row per task, round and bucket group."""
 
     def pack(found):
-        """found: (group, string, document, its mark, place) by array and list."""
+        """found: (group, string, document, its copy, place) by array and list."""
         import zstandard
 
-        packer = zstandard.ZstdCompressor(level=1)
-        group, strings, ids, marks, places = found
-        order = np.argsort(group, kind="stable")
+        packer = zstandard.ZstdCompressor(level=3)
+        group, strings, ids, copies, places = found
+        order = np.lexsort((places, ids, group))
         cuts = np.flatnonzero(np.diff(group[order])) + 1
         rows = []
         for part in np.split(order, cuts):
@@ -192,76 +320,85 @@ def _send(joined: DataFrame, length: int, groups: int) -> DataFrame:
             known: dict[bytes, int] = {}
             which = np.array([known.setdefault(strings[k], len(known)) for k in part.tolist()], np.int32)
             sizes = np.array(list(map(len, known)), np.int32)
-            blob = b"".join([sizes.tobytes(), which.tobytes(), ids[part].tobytes(), marks[part].tobytes(), places[part].tobytes(), *known])
+            own = ids[part]
+            blob = b"".join([sizes.tobytes(), which.tobytes(), np.diff(own, prepend=0).tobytes(), copies[part].tobytes(), places[part].tobytes(), *known])
             rows.append((int(group[part[0]]), len(known), len(part), packer.compress(blob)))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["group", "strings", "places", "blob"])
 
     def send(batches):
-        held, size = [], 0
+        held, size, chunk, parts, wanted = [], 0, None, [], None
 
         def flush():
-            parts = list(zip(*held))
-            return pack((np.concatenate(parts[0]), [s for p in parts[1] for s in p], *(np.concatenate(parts[k]) for k in (2, 3, 4))))
+            columns = list(zip(*held))
+            return pack((np.concatenate(columns[0]), [s for p in columns[1] for s in p], *(np.concatenate(columns[k]) for k in (2, 3, 4))))
+
+        def take(batch):
+            raw, base, sizes, first, low = _buckets(batch.column(5), length)
+            stop = np.append(first[1:], len(raw))
+            owner = np.searchsorted(base, first, "right") - 1
+            count = np.minimum(stop, base[owner] + sizes[owner]) - first
+            slots = _slot(low)
+            at = np.minimum(np.searchsorted(wanted, slots), len(wanted) - 1)
+            live = np.flatnonzero(wanted[at] == slots)
+            where, count, row = _cut(first[live], count[live], PIECE_MAX)
+            owner, low = owner[live][row], low[live][row]
+            group = (_mix(low, 0x94D049BB133111EB) >> np.uint64(24)) % np.uint64(groups)
+            strings = [raw[a:b] for a, b in zip(where.tolist(), (where + count + length - 1).tolist())]
+            ids, copies, pos = (batch.column(c).to_numpy(zero_copy_only=False)[owner] for c in (2, 3, 4))
+            held.append((group.astype(np.int64), strings, ids.astype(np.int64), copies.astype(np.int32), pos + where - base[owner]))
+            return sum(map(len, strings))
 
-        for batch in slices(batches, "text"):
-            raw, bounds = _texts(batch, 2)
-            new = batch.column(3).to_pylist()
-            doc, pos, sizes = [], [], []
-            for k, spans in enumerate(new):
-                last = -1
-                for s in sorted((s["pos"], s["n"]) for s in spans):
-                    if s[0] == last:
-                        sizes[-1] += s[1]
-                    elif s[0] > last:
-                        doc.append(k)
-                        pos.append(s[0])
-                        sizes.append(s[1])
-                    last = max(last, s[0] + s[1])
-            doc, pos, sizes = (np.array(x, np.int64) for x in (doc, pos, sizes))
-            begin = bounds[doc] + pos
-            regions = b"".join([raw[a:b] for a, b in zip(begin.tolist(), (begin + sizes + length - 1).tolist())])
-            base = np.cumsum(sizes + length - 1) - (sizes + length - 1)
-            data = np.frombuffer(regions + b"\0" * (length + 16), np.uint8)
-            low = _lows(_grams(_eights(data)), length - Q + 1)
-            at = np.repeat(base, sizes) + _within(sizes)
-            region = np.repeat(np.arange(len(sizes)), sizes)
-            low = low[at]
-            first = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (region[1:] != region[:-1])])) if len(low) else np.empty(0, np.int64)
-            runs = np.diff(np.append(first, len(low)))
-            start, count, row = _cut(first, runs, PIECE_MAX)
-            where, owner = at[start], region[start]
-            group = (_mix(low[start], 0xBF58476D1CE4E5B9) >> np.uint64(24)) % np.uint64(groups)
-            strings = [regions[a:b] for a, b in zip(where.tolist(), (where + count + length - 1).tolist())]
-            ids, marks = (batch.column(c).to_numpy(zero_copy_only=False)[doc[owner]].astype(np.int64) for c in (0, 1))
-            held.append((group.astype(np.int64), strings, ids, marks, pos[owner] + where - base[owner]))
-            size += len(regions)
-            if size > SEND_BYTES:
-                yield flush()
-                held, size = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+            for a, b in zip(cuts, cuts[1:]):
+                if keys[a] != chunk:
+                    chunk, parts, wanted = keys[a], [], None
+                own = batch.slice(a, b - a)
+                lists = int(own.column(1).true_count)
+                parts += [_wide(x) for x in own.column(6).slice(0, lists).to_pylist()]
+                if lists == len(own):
+                    continue
+                if wanted is None:
+                    wanted = np.sort(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
+                    parts = []
+                if len(wanted):
+                    for piece in slices([own.slice(lists)], "bytes", ARRAY_BYTES):
+                        size += take(piece)
+                        if size > SEND_BYTES:
+                            yield flush()
+                            held, size = [], 0
         if held and sum(len(h[0]) for h in held):
             yield flush()
 
-    return map_arrow(joined, send, "group int, strings int, places int, blob binary")
+    rows = regions.select("chunk", F.lit(False).alias("list"), "doc_id", "copy", "pos", "bytes", F.lit(None).cast("binary").alias("slots"))
+    lists = shared.select("chunk", F.lit(True).alias("list"), F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("int").alias("copy"), F.lit(None).cast("bigint").alias("pos"),
+                          F.lit(None).cast("binary").alias("bytes"), "slots")
+    dealt = lists.unionByName(rows).repartition("chunk").sortWithinPartitions("chunk", F.desc("list"))
+    return map_arrow(dealt, send, "group int, strings int, places int, blob binary")
 
 
 def _decide(sent: DataFrame, length: int) -> DataFrame:
-    """Spans (doc_id, mark, start, stop) of windows that a smaller document holds."""
+    """Spans (doc_id, copy, start, stop) of windows that a smaller document holds."""
 
     def settle(parts):
         known: dict[bytes, int] = {}
-        which, ids, marks, places = [], [], [], []
+        which, ids, copies, places = [], [], [], []
         for count, n, blob in parts:
             sizes = np.frombuffer(blob, np.int32, count)
             at = 4 * count
             own = np.frombuffer(blob, np.int32, n, at)
             at += 4 * n
-            for out in (ids, marks, places):
-                out.append(np.frombuffer(blob, np.int64, n, at))
-                at += 8 * n
+            for out, kind in ((ids, np.int64), (copies, np.int32), (places, np.int64)):
+                out.append(np.frombuffer(blob, kind, n, at))
+                at += kind().itemsize * n
+            ids[-1] = np.cumsum(ids[-1])
             ends = at + np.cumsum(sizes, dtype=np.int64)
             strings = np.array([known.setdefault(blob[a:b], len(known)) for a, b in zip((ends - sizes).tolist(), ends.tolist())], np.int64)
             which.append(strings[own])
-        which, ids, marks, places = map(np.concatenate, (which, ids, marks, places))
+        which, ids, copies, places = map(np.concatenate, (which, ids, copies, places))
         sizes = np.fromiter(map(len, known), np.int64, len(known))
         data = np.frombuffer(b"".join([*known, b"\0" * 8]), np.uint8)
         del known
@@ -295,7 +432,7 @@ def _decide(sent: DataFrame, length: int) -> DataFrame:
         a, b = _runs(spaced)
         a, b = origin[a], origin[b - 1]
         offset = places[row] + _within(windows[string])
-        return pa.RecordBatch.from_arrays([pa.array(ids[row[a]]), pa.array(marks[row[a]]), pa.array(offset[a]), pa.array(offset[b] + length)], names=["doc_id", "mark", "start", "stop"])
+        return pa.RecordBatch.from_arrays([pa.array(ids[row[a]]), pa.array(copies[row[a]]), pa.array(offset[a]), pa.array(offset[b] + length)], names=["doc_id", "copy", "start", "stop"])
 
     def decide(batches):
         import zstandard
@@ -312,7 +449,7 @@ def _decide(sent: DataFrame, length: int) -> DataFrame:
         if parts:
             yield settle(parts)
 
-    return map_arrow(sent.repartition("group").sortWithinPartitions("group"), decide, "doc_id bigint, mark bigint, start bigint, stop bigint")
+    return map_arrow(sent.repartition("group").sortWithinPartitions("group"), decide, "doc_id bigint, copy int, start bigint, stop bigint")
 
 
 def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -323,15 +460,19 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     base = _keyed(docs, id_col, text_col)
     pieces = stage(_occurrences(base, length), "pieces")
     firsts = stage(pieces.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "firsts")
-    fresh = pieces.join(firsts, ["h1", "h2"], "left").where("first is null or first = doc_id")
-    fresh = stage(fresh.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("pos", "n")).alias("fresh")), "fresh")
-    total = fresh.agg(F.sum(F.aggregate("fresh", F.lit(0).cast("bigint"), lambda a, s: a + s["n"]))).first()[0] or 0
-    groups = max(64, 4 * total // GROUP_BYTES)
-    keys = ["doc_id", "mark"]
-    sent = _send(base.join(fresh, keys).select("doc_id", "mark", "text", "fresh"), length, groups)
-    spans = stage(_decide(sent, length), "spans")
-    listed = spans.groupBy(*keys).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return stage(fresh.join(listed, keys, "left"), "verdicts")
+    fresh = pieces.join(firsts, ["h1", "h2"], "left").where("first is null or first = doc_id").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("pos", "n")).alias("fresh"))
+    # documents of one id are told apart by a small number
+    fresh = stage(fresh.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id").orderBy("mark"))), "fresh")
+    discard(pieces, firsts)
+    regions = stage(_regions(base.join(fresh, ["doc_id", "mark"]).select("doc_id", "copy", "text", "fresh"), length), "regions")
+    total = regions.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
+    shared = stage(_shared_slots(regions, length, max(64, total // (64 << 20))), "shared")
+    spans = stage(_decide(_send(regions, shared, length, max(64, 2 * total // GROUP_BYTES)), length), "spans")
+    discard(regions, shared)
+    listed = spans.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    found = stage(fresh.join(listed, ["doc_id", "copy"], "left").select("doc_id", "mark", "fresh", "spans"), "verdicts")
+    discard(fresh, spans)
+    return found
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, names: tuple[str, ...] = ADDED) -> DataFrame:
