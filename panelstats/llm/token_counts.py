@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import map_arrow, slices
+from .common import map_arrow, slices, stage
 from .tokens import broadcast_file, encoder
 
 #: Lengths whose suffix sums one window partition makes.
@@ -35,7 +35,7 @@ def length_report(lengths: DataFrame) -> DataFrame:
     at the limit; total: ids of all documents; quantile: share of documents within the limit. A limit between two rows has the documents over it of the row
     below, and truncated_total lies on the line between both rows, so the rows answer every limit. An empty table has no rows.
     """
-    histogram = lengths.groupBy("n_tokens").agg(F.sum("n").alias("n_docs")).withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
+    histogram = stage(lengths.groupBy("n_tokens").agg(F.sum("n").alias("n_docs")).withColumn("block", F.floor(F.col("n_tokens") / BLOCK)), "histogram")
     blocks = histogram.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("t"))
     later = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)  # as many rows as the longest text has blocks
     whole = Window.partitionBy()
