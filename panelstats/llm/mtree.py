@@ -17,17 +17,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import shards
 
-PAGE = 64
+PAGE = 512
 SCALE = 256
 
 
 class Page:
     """Entries with their distance to the page's routing object; ``children`` is None in a leaf."""
 
-    __slots__ = ("own", "parent", "radius", "children")
+    __slots__ = ("own", "rows", "parent", "radius", "children")
 
-    def __init__(self, own, parent, radius=None, children=None):
-        self.own, self.parent, self.radius, self.children = own, parent, radius, children
+    def __init__(self, own, rows, parent, radius=None, children=None):
+        self.own, self.rows, self.parent, self.radius, self.children = own, rows, parent, radius, children
 
 
 class Tree:
@@ -49,7 +49,7 @@ class Tree:
     def page(self, own: np.ndarray, routing: int | None) -> Page:
         """Bulk load: objects go to the nearest of a few routing objects, until a page holds them."""
         if len(own) <= PAGE:
-            return Page(own, self.far(own, routing) if routing is not None else None)
+            return Page(own, self.rows[own], self.far(own, routing) if routing is not None else None)
         heads = self.rng.choice(own, min(PAGE, max(2, -(-2 * len(own) // PAGE))), replace=False)
         squares = (self.full ** 2).sum(1)
         near = (squares[heads][None, :] - 2 * self.full[own] @ self.full[heads].T).argmin(1)
@@ -58,13 +58,13 @@ class Tree:
             groups = [(part[0], part) for part in np.array_split(own, 2)]
         routes = np.array([h for h, _ in groups])
         radius = np.array([self.far(part, h).max() for h, part in groups])
-        return Page(routes, self.far(routes, routing) if routing is not None else None, radius, [self.page(part, h) for h, part in groups])
+        return Page(routes, self.rows[routes], self.far(routes, routing) if routing is not None else None, radius, [self.page(part, h) for h, part in groups])
 
-    def score(self, own: np.ndarray, query: np.ndarray) -> np.ndarray:
+    def score(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
         """Whole-number products; in doubles while these hold them exactly."""
         if self.exact:
-            return self.rows[own] @ query
-        return np.array([sum(int(a) * int(b) for a, b in zip(row, query)) for row in self.rows[own]], object)
+            return rows @ query
+        return np.array([sum(int(a) * int(b) for a, b in zip(row, query)) for row in rows], object)
 
     def find(self, ids: np.ndarray, queries: np.ndarray) -> list[list[tuple[float, int]]]:
         queries = np.floor(SCALE * queries)
@@ -82,24 +82,29 @@ class Tree:
             bound, _, page, parent = heapq.heappop(queue)
             if bound > limit:
                 break
-            slack = page.radius if page.children is not None else 0.0
-            live = np.arange(len(page.own))
+            own, rows, live = page.own, page.rows, None
             if parent is not None and limit < np.inf:
-                live = live[np.abs(parent - page.parent) - slack <= limit]
-            if not len(live):
+                near = np.abs(parent - page.parent) - (page.radius if page.children is not None else 0.0) <= limit
+                if not near.all():
+                    live = np.flatnonzero(near)
+                    own, rows = own[live], rows[live]
+            if not len(own):
                 continue
-            score = self.score(page.own[live], query)
+            score = self.score(rows, query)
             if page.children is not None:
                 away = np.sqrt(np.maximum(length - 2 * score.astype(float), 0))
-                least = np.maximum(away - page.radius[live], 0)
+                least = np.maximum(away - (page.radius if live is None else page.radius[live]), 0)
                 for j in np.flatnonzero(least <= limit).tolist():
                     turn += 1
-                    heapq.heappush(queue, (float(least[j]), turn, page.children[live[j]], float(away[j])))
+                    heapq.heappush(queue, (float(least[j]), turn, page.children[j if live is None else live[j]], float(away[j])))
                 continue
+            if len(found) < self.k and len(own) > 4 * self.k:  # only these can stay; one may be the query itself
+                good = np.flatnonzero(score >= np.partition(score, -self.k - 1)[-self.k - 1])
+                own, score = own[good], score[good]
             if len(found) == self.k:
                 good = np.flatnonzero(score >= found[0][0])
-                live, score = live[good], score[good]
-            for row, s in zip(page.own[live].tolist(), score.tolist()):
+                own, score = own[good], score[good]
+            for row, s in zip(own.tolist(), score.tolist()):
                 for name in self.ids[self.bounds[row]:self.bounds[row + 1]].tolist():
                     if name == me:
                         continue
