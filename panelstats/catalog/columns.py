@@ -44,6 +44,12 @@ def cut_bins(spark, sf):
     return p.groupBy("p_type", b.alias("bin")).agg(F.count("*").alias("n"))
 
 
+@query("q_zero_to_null", "SELECT p_partkey, nullif(p_size % 5, 0) AS size5, nullif(p_partkey % 2, 0) AS odd FROM part")
+def zero_to_null(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", (F.col("p_size") % 5).alias("size5"), (F.col("p_partkey") % 2).alias("odd"))
+    return reshape.across(p, ["size5", "odd"], fn.zero_to_null)
+
+
 @query("q_floor_bins", f"""
 SELECT CAST(floor(year(o_orderdate) / 2) * 2 AS INTEGER) AS year_bin, count(*) AS n,
        {q('sum(o_totalprice)', 2)} AS total FROM orders GROUP BY ALL""")

@@ -373,6 +373,18 @@ def marriage_before(spark, sf):
     return rounded(p, "n", "n_ar", digits=2)
 
 
+@query("q_marriage_after", _panel_sql("mixed", "yrmarr - yrimmigmod >= 0 OR (married AND NOT mixed)"))
+def marriage_after(spark, sf):
+    p = counts.marriage_split(base_rows(spark, sf), quality=counts.good_answers())["after"]
+    return rounded(p, "n", "n_ar", digits=2)
+
+
+@query("q_marriage_gap", f"""WITH {COUPLES_SQL}, {_BASE}
+SELECT yrmarr - yrimmigmod AS marr_minus_imm, count(*) AS k FROM base GROUP BY ALL""")
+def marriage_gap(spark, sf):
+    return counts.marriage_gap(base_rows(spark, sf)).groupBy("marr_minus_imm").agg(F.count("*").alias("k"))
+
+
 @query("q_policy_trends", f"""WITH {COUPLES_SQL}, {_BASE},
 l AS (SELECT year, perwt, 'equal_age' AS cat, equal_age AS v FROM base WHERE mixed AND same_sex UNION ALL SELECT year, perwt, 'legal', legal FROM base WHERE mixed AND same_sex
   UNION ALL SELECT year, perwt, 'marriage_ban', marriage_ban FROM base WHERE mixed AND same_sex)

@@ -83,9 +83,14 @@ def policy_trends(base: DataFrame, policies: Sequence[str], keep: str, progressi
     return out.withColumns({"policy_name": recode("cat", names), "progressive": F.col("cat").isin(list(progressive))})
 
 
+def marriage_gap(base: DataFrame) -> DataFrame:
+    """Years from entry to marriage, ``marr_minus_imm``."""
+    return base.withColumn("marr_minus_imm", F.expr("yrmarr - yrimmigmod"))
+
+
 def marriage_split(base: DataFrame, w: str = "perwt", quality: Column | None = None) -> dict[str, DataFrame]:
     """Panels of couples married before or after entry, same-status married couples in both."""
-    gap = "yrmarr - yrimmigmod"
+    base, gap = marriage_gap(base), "marr_minus_imm"
     same = "(married and not mixed)"
     return {"before": count_panel(base, f"({gap}) < 0 or {same}", w=w, quality=quality),
             "after": count_panel(base, f"({gap}) >= 0 or {same}", w=w, quality=quality)}
