@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, infill, language, licenses, merkle, mtree, packing, simhash, suffix_dedup, token_counts, token_store, vptree
+from . import byte_bpe, infill, language, licenses, merkle, mtree, packing, simhash, suffix_dedup, token_counts, token_store, toxicity, vptree
 from .common import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +163,11 @@ FROM v{levels} v JOIN s{levels} s ON s.k = v.g CROSS JOIN t{levels} t"""
 
 
 ORACLES["op12_merkle"] = _merkle_sql()
+
+
+@query
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs, labels.where(~toxicity.held_out()))
+    found = toxicity.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
