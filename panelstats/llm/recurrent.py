@@ -183,12 +183,12 @@ def gradients(network: Network, rows: np.ndarray, grams: np.ndarray, counts: np.
     return loss, g, logit
 
 
-def train(windows: list[list[str]], labels: np.ndarray, documents: np.ndarray, vocabulary: list[str], epochs: int = 5, batch: int = 256, rate: float = 0.01, dropped: float = 0.3,
+def train(windows: list[list[str]], labels: np.ndarray, documents: np.ndarray, vocabulary: list[str], steps: int = 200, batch: int = 128, rate: float = 0.02, dropped: float = 0.3,
           seed: int = 1) -> Network:
-    """A network fitted to windows and the labels of their documents.
+    """A network fitted to windows and the labels of their documents, in so many steps of Adam.
 
-    A window of a document with label 1 need not show why. After two rounds such a window counts only if the network itself gives it over one half, or more than the document's other windows.
-    Words lose their own vector in a share ``dropped`` of all batches, so that n-grams must do without it too. Steps follow Adam.
+    A window of a document with label 1 need not show why. After a third of the steps such a window counts only if the network itself gives it over one half, or more than the document's other
+    windows. Words lose their own vector in a share ``dropped`` of all batches, so that n-grams must do without it too.
     """
     rng, network = np.random.default_rng(seed), Network.fresh(vocabulary, seed)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in network.p.items()}
@@ -200,15 +200,15 @@ def train(windows: list[list[str]], labels: np.ndarray, documents: np.ndarray, v
     all_first = np.cumsum(all_counts) - all_counts
     lengths = np.array([len(w) for w in windows])
     counts_for, latest, step = np.ones(len(windows), bool), np.zeros(len(windows)), 0
-    for epoch in range(epochs):
-        if epoch > 1:
+    while step < steps:
+        if 3 * step >= steps:
             best = np.full(documents.max() + 1, -np.inf)
             np.maximum.at(best, documents, latest)
             counts_for = (labels == 0) | (latest > 0) | (latest >= best[documents])
         order = np.flatnonzero(counts_for)
         order = order[np.argsort(lengths[order] // 16 + rng.random(len(order)), kind="stable")]  # like lengths together
         parts = [order[k:k + batch] for k in range(0, len(order), batch)]
-        for k in rng.permutation(len(parts)):
+        for k in rng.permutation(len(parts))[:steps - step]:
             at = parts[k]
             seen, places = np.unique(np.concatenate([coded[i] for i in at]), return_inverse=True)
             matrix = np.zeros((int(lengths[at].max()), len(at)), np.int64)
@@ -220,9 +220,9 @@ def train(windows: list[list[str]], labels: np.ndarray, documents: np.ndarray, v
             weights = np.where(labels[at] == 1, 1 / max(1, classes[1]), 1 / max(1, classes[0]))
             _, g, latest[at] = gradients(network, rows, grams, counts, matrix, lengths[at], labels[at], weights)
             step += 1
-            size = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
+            shrink = np.float32(min(1.0, 1 / max(1e-9, np.sqrt(sum(float(np.vdot(v, v)) for v in g.values())))))
             for name, value in g.items():
-                value *= min(1.0, 1 / max(size, 1e-9))
+                value *= shrink
                 m, v = moments[name]
                 m += 0.1 * (value - m)
                 v += 0.01 * (value * value - v)

@@ -6,6 +6,7 @@ and two numbers fitted on documents that the network didn't see turn it into a p
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,14 +21,15 @@ from .language import held_out
 #: Labelled documents of each class that the fit reads, about, by the hash of their id; one of CALIBRATE of them is for calibration.
 SAMPLE_DOCS, CALIBRATE = 2500, 4
 #: Windows of a sampled document that the network is fitted to, at most; scores read all of them.
-FIT_WINDOWS = 4
+FIT_WINDOWS = 3
 #: Words of a window, and words between the starts of two.
 WINDOW, STEP = 128, 64
 #: Times that a word occurs in the fitted windows to get a vector of its own.
 LEAST = 3
 #: Words of which a worker remembers the projections; letters of a word, longer ones are read in parts.
-CACHE_WORDS, LETTERS = 120_000, 32
+CACHE_WORDS, LETTERS = 200_000, 32
 BATCH = 2048
+_RUN = re.compile(r"\w+")
 
 
 @dataclass
@@ -42,9 +44,10 @@ class Model:
 
 def words_of(chunk: str) -> list[str]:
     """Runs of letters, digits and underscores in lower case; very long runs in parts."""
-    import regex
-
-    return [run[k:k + LETTERS] for run in regex.findall(r"[\w\p{M}]+", chunk.lower()) for k in range(0, len(run), LETTERS)]
+    chunk = chunk.lower()
+    if len(chunk) <= LETTERS and chunk.isalnum():
+        return [chunk]
+    return [run[k:k + LETTERS] for run in _RUN.findall(chunk) for k in range(0, len(run), LETTERS)]
 
 
 def starts(n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,7 +104,9 @@ class Reader:
                         row = rows[word] = len(rows)
                         fresh.append(word)
                     numbers.append(row)
-                found = self.chunks[chunk] = np.array(numbers, np.int32).tobytes()
+                found = np.array(numbers, np.int32).tobytes()
+                if len(chunk) <= 2 * LETTERS:
+                    self.chunks[chunk] = found
             known.append(found)
         if fresh:
             self._add(fresh)
@@ -217,7 +222,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[
     else:
         logit = "".join(docs.columns) + "_logit"
         p = 1 / (1 + F.exp(-F.least(F.greatest(F.lit(model.slope) * F.col(logit) + F.lit(model.offset), F.lit(-500.0)), F.lit(500.0))))
-        scored = _max_logits(docs, model.network, text_col, logit).withColumn(names[0], F.coalesce(p, F.lit(model.base))).drop(logit)
+        scored = _max_logits(docs, model.network, text_col, logit).withColumn(names[0], F.when(F.col(logit).isNull(), F.lit(model.base)).otherwise(p)).drop(logit)
     return scored.withColumn(names[1], (F.col(names[0]) >= 0.5).cast("int"))
 
 
