@@ -152,16 +152,13 @@ def full_outer(spark, sf):
 
 
 @query("q_left_plus_unmatched", """
-WITH a AS (SELECT n_name AS name, n_regionkey FROM nation WHERE n_nationkey < 18),
-     b AS (SELECT CASE n_nationkey WHEN 20 THEN 'Other' ELSE n_name END AS name, count(*) AS n FROM customer
-           JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey > 4 GROUP BY 1)
-SELECT coalesce(a.name, b.name) AS name, n_regionkey, n FROM a FULL JOIN b ON a.name = b.name""")
+WITH a AS (SELECT n_nationkey AS code, n_name, n_regionkey FROM nation),
+     b AS (SELECT c_nationkey + 5 AS code, count(*) AS n FROM customer GROUP BY 1)
+SELECT coalesce(a.code, b.code) AS code, n_name, n_regionkey, n FROM a FULL JOIN b ON a.code = b.code""")
 def left_plus_unmatched(spark, sf):
-    n = table(spark, sf, "nation")
-    a = n.where("n_nationkey < 18").select(F.col("n_name").alias("name"), "n_regionkey")
-    c = table(spark, sf, "customer").join(n.where("n_nationkey > 4"), F.col("c_nationkey") == F.col("n_nationkey"))
-    b = c.groupBy(F.when(F.col("n_nationkey") == 20, "Other").otherwise(F.col("n_name")).alias("name")).agg(F.count("*").alias("n"))
-    return joins.left_plus_unmatched(a, b, "name")
+    a = table(spark, sf, "nation").select(F.col("n_nationkey").alias("code"), "n_name", "n_regionkey")
+    b = table(spark, sf, "customer").groupBy((F.col("c_nationkey") + 5).alias("code")).agg(F.count("*").alias("n"))
+    return joins.left_plus_unmatched(a, b, "code")
 
 
 @query("q_deflate", f"""
