@@ -356,6 +356,41 @@ def mixed_crossed(spark, sf):
     return mx.variance_table(mx.mixed(li, "n ~ score", ["state", "year"]))
 
 
+@query("q_mixed_balanced", f"""WITH {LINES_SQL},
+g AS (SELECT state, year, coalesce(n, 0) AS y FROM (SELECT DISTINCT state FROM li) CROSS JOIN (SELECT DISTINCT year FROM li)
+      LEFT JOIN (SELECT state, year, sum(l_quantity) AS n FROM li GROUP BY ALL) USING (state, year)),
+m AS (SELECT *, avg(y) OVER (PARTITION BY state) AS ms, avg(y) OVER (PARTITION BY year) AS my, avg(y) OVER () AS mm FROM g),
+c AS (SELECT count(DISTINCT state) AS i, count(DISTINCT year) AS j, sum((y - ms - my + mm) ** 2) AS se, sum((ms - mm) ** 2) AS sa, sum((my - mm) ** 2) AS sb, any_value(mm) AS mm FROM m),
+v AS (SELECT i, j, mm, se / ((i - 1) * (j - 1)) AS e, sa / (i - 1) AS a, sb / (j - 1) AS b FROM c)
+SELECT 'state' AS component, {q('(a - e) / j / e', 3)} AS ratio FROM v UNION ALL SELECT 'year', {q('(b - e) / i / e', 3)} FROM v UNION ALL SELECT 'residual', 1.0 FROM v""")
+def mixed_balanced(spark, sf):
+    """Crossed intercepts of a complete table, whose estimates are those of its analysis of variance."""
+    n = lines(spark, sf).groupBy("state", "year").agg(F.sum("l_quantity").alias("n"))
+    fit = mx.mixed(reshape.complete(stage(n), ["state", "year"]).withColumn("n", F.coalesce("n", F.lit(0.0))), "n ~ 1", ["state", "year"])
+    return mx.variance_table(fit).select("component", r(F.col("variance") / F.lit(float(fit.variances["residual"])), 3).alias("ratio"))
+
+
+@query("q_ols_nested", f"""WITH {LINES_SQL},
+w AS (SELECT l_extendedprice - avg(l_extendedprice) OVER (PARTITION BY l_suppkey) AS y, l_quantity - avg(l_quantity) OVER (PARTITION BY l_suppkey) AS x, l_suppkey FROM li),
+b AS (SELECT sum(x * y) / sum(x * x) AS b, sum(x * x) AS sxx, sum(y * y) AS syy, sum(x * y) AS sxy, count(*) - count(DISTINCT l_suppkey) - 1 AS df FROM w)
+SELECT 'l_quantity' AS term, {q('b', 5)} AS estimate, {q('sqrt((syy - b * sxy) / df / sxx)', 5)} AS std_error, CAST(df AS DOUBLE) AS df FROM b""")
+def ols_nested(spark, sf):
+    """Suppliers lie in one state each, so taking out both takes out no more than the suppliers."""
+    fit = linear.ols(lines(spark, sf), "l_extendedprice ~ l_quantity", absorb=["l_suppkey", "state"])
+    return coef(fit.tidy(), 5).withColumn("df", F.lit(float(fit.df_resid)))
+
+
+@query("q_count_two_effects", f"""WITH {LINES_SQL},
+t AS (SELECT state % 2 = 1 AS treated, year > 1997 AS late, sum(l_quantity) AS n FROM li GROUP BY ALL)
+SELECT 'cut' AS term, {q("sum(ln(n) * CASE WHEN late THEN 1 ELSE -1 END * CASE WHEN treated THEN 1 ELSE -1 END)")} AS estimate FROM t""")
+def count_two_effects(spark, sf):
+    """Difference in differences of counts with supplier and period effects taken out; two periods make it a ratio of totals."""
+    n = lines(spark, sf).groupBy("l_suppkey", "state", (F.col("year") > 1997).alias("late")).agg(F.sum("l_quantity").alias("n"))
+    n = n.withColumn("cut", (F.col("late") & (F.col("state") % 2 == 1)).cast("int"))
+    fit = glm.quasi_poisson(n, "n ~ cut", absorb=["l_suppkey", "late"])
+    return fit.tidy().select("term", r("estimate").alias("estimate"))
+
+
 # -- sweeps ------------------------------------------------------------------------------------
 
 

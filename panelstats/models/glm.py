@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.joins import rjoin
 from ..session import stage
+from . import absorbed
 from .accumulate import accumulate, group_sums
 from .design import Design, model_frame
 from .fit import Fit, cluster_map, independent_columns, inverse
@@ -102,13 +103,19 @@ def _glm(kind: str, df: DataFrame, formula: str, weights: str | None, cluster: S
 
 
 def quasi_poisson(df: DataFrame, formula: str, weights: str | None = None, cluster: Sequence[str] = (),
-                  levels: Mapping[str, Sequence] | None = None, compress: bool | None = None, absorb: str | None = None) -> Fit:
+                  levels: Mapping[str, Sequence] | None = None, compress: bool | None = None,
+                  absorb: str | Sequence[str] | None = None) -> Fit:
     """Log-link count model; the covariance carries the Pearson dispersion.
 
-    ``absorb`` takes a factor of any number of levels out instead of one column for each level.
+    ``absorb`` takes one factor or two of any number of levels out instead of one column for each level.
     """
-    if absorb is not None:
-        return _absorbed(df, formula, weights, cluster, levels, compress, absorb)
+    absorb = [absorb] if isinstance(absorb, str) else list(absorb or [])
+    if len(absorb) > 2:
+        raise ValueError("absorb the two largest factors and write the others into the formula")
+    if len(absorb) == 2:
+        return absorbed.quasi_poisson(df, formula, weights, cluster, levels, compress, absorb)
+    if absorb:
+        return _absorbed(df, formula, weights, cluster, levels, compress, absorb[0])
     return _glm("poisson", df, formula, weights, cluster, levels, compress)
 
 

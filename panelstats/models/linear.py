@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.joins import rjoin
-from ..session import stage
+from ..session import stage_table
+from .absorbed import level_effects, rank
 from .accumulate import accumulate, group_sums
 from .design import Formula, ModelFrame, model_frame, variable_column
 from .fit import Fit, cluster_map, independent_columns, inverse, table_frame
@@ -83,10 +84,11 @@ def _absorbed(df: DataFrame, formula: str, weights: str | None, cluster: Sequenc
               levels: Mapping[str, Sequence] | None, absorb: Sequence[str]) -> Fit:
     """Within transformation: columns less the effects of the factors, then least squares without intercept.
 
-    Effects live on the cells that the factors span, one aggregate of the rows. With several factors the cell means are
-    freed of one factor's means after the other until none is left; rows then take their cell's shift in one join.
-    No level list reaches the driver, so factors may have any number of levels. Degrees of freedom count the levels of
-    all factors less one for each factor after the first, as for factors that connect.
+    Effects live on the cells that the factors span, one aggregate of the rows. The effects of two factors come from one
+    solve over their levels (:mod:`absorbed`); with more, the cell means are freed of one factor's means after the other
+    until none is left. Rows then take their shift in a join.
+    No level list reaches the driver, so factors may have any number of levels. Degrees of freedom count the effects
+    that the factors span together: nested or unconnected factors span fewer than their levels say.
     """
     f = Formula(formula)
     plain = model_frame(df, formula, weights, (), levels, compress=False)
@@ -105,31 +107,49 @@ def _absorbed(df: DataFrame, formula: str, weights: str | None, cluster: Sequenc
         means = table.groupBy(g).agg(*[(F.sum(F.col(v) * F.col(weight)) / F.sum(weight)).alias(f"{v}_m") for v in values])
         return rjoin(table, means, [g]).withColumns({v: F.col(v) - F.col(f"{v}_m") for v in values}).drop(*[f"{v}_m" for v in values])
 
-    cells = base.groupBy(*groups).agg(F.sum("cw").alias("ww"), *[(F.sum(F.col(v) * F.col("cw")) / F.sum("cw")).alias(v) for v in values])
-    cells = stage(cells.withColumns({f"{v}_0": F.col(v) for v in values}))
+    cells = stage_table(base.groupBy(*groups).agg(F.sum("cw").alias("size"), *[F.sum(F.col(v) * F.col("cw")).alias(v) for v in values]))
+    if len(groups) == 2:
+        within = _less_both(base, cells, groups, values)
+    else:
+        within = rjoin(base, _swept(cells, groups, values, less_means, base), groups).withColumns({v: F.col(v) - F.col(f"{v}_m") for v in values})
+    lost_df = rank(cells, groups)
+    rhs = " + ".join(["0", *[f"c{i}" for i in range(len(cols))]])
+    frame = model_frame(within, f"cy ~ {rhs}", "cw", [f"k{i}" for i in range(len(cluster))], compress=False, iterative=True)
+    fit = fit_frame(frame, [f"k{i}" for i in range(len(cluster))], lost_df)
+    fit.names = [n for n, _ in cols]
+    fit.clusters = {c: f"e{i}" for i, c in enumerate(cluster)}
+    return fit
+
+
+def _less_both(base: DataFrame, cells: DataFrame, groups: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """``base`` with ``values`` less the effects of two factors."""
+    counts = [cells.select(g).distinct().count() for g in groups]
+    big, small = groups if counts[0] >= counts[1] else groups[::-1]
+    on_a, on_b = level_effects(cells, big, small, list(values), [f"{v}_m" for v in values])
+    out = base
+    for side, key, g in ((on_a, "a", big), (on_b, "b", small)):
+        out = rjoin(out, side.select(F.col(key).alias(g), *[f"{v}_m" for v in values]), [g])
+        out = out.withColumns({v: F.col(v) - F.col(f"{v}_m") for v in values}).drop(*[f"{v}_m" for v in values])
+    return out
+
+
+def _swept(cells: DataFrame, groups: Sequence[str], values: Sequence[str], less_means, base: DataFrame) -> DataFrame:
+    """Each cell's shift, by taking the factors' means out in turn."""
+    cells = stage_table(cells.withColumns({v: F.col(v) / F.col("size") for v in values}).withColumns({f"{v}_0": F.col(v) for v in values}))
     spread = base.agg(*[F.coalesce(F.stddev_pop(v), F.lit(0.0)).alias(v) for v in values]).first()
     for _ in range(MAX_SWEEPS):
         for g in groups:
-            cells = less_means(cells, g, "ww")
+            cells = less_means(cells, g, "size")
         if len(groups) == 1:
             break
-        cells = stage(cells)
-        left = cells.groupBy(groups[0]).agg(*[F.abs(F.sum(F.col(v) * F.col("ww")) / F.sum("ww")).alias(v) for v in values])
+        cells = stage_table(cells)
+        left = cells.groupBy(groups[0]).agg(*[F.abs(F.sum(F.col(v) * F.col("size")) / F.sum("size")).alias(v) for v in values])
         most = left.agg(*[F.max(v).alias(v) for v in values]).first()
         if all((most[v] or 0.0) <= MEAN_LEFT * (spread[v] or 1.0) for v in values):
             break
     else:
         raise RuntimeError("the absorbed effects did not converge")
-    shift = cells.select(*groups, *[(F.col(f"{v}_0") - F.col(v)).alias(f"{v}_m") for v in values])
-    lost = base.agg(*[(F.count_distinct(g) + F.max(F.col(g).isNull().cast("int"))).alias(g) for g in groups]).first()
-    lost_df = sum(lost) - (len(groups) - 1)
-    within = rjoin(base, shift, groups).withColumns({v: F.col(v) - F.col(f"{v}_m") for v in values})
-    rhs = " + ".join(["0", *[f"c{i}" for i in range(len(cols))]])
-    frame = model_frame(within, f"cy ~ {rhs}", "cw", [f"k{i}" for i in range(len(cluster))], compress=False, iterative=True)
-    fit = fit_frame(frame, [f"k{i}" for i in range(len(cluster))], lost_df)
-    fit.names = [n for n, _ in cols]
-    fit.clusters = {c: f"e{i}" for i, c in enumerate(cluster)}
-    return fit
+    return cells.select(*groups, *[(F.col(f"{v}_0") - F.col(v)).alias(f"{v}_m") for v in values])
 
 
 def ols_variants(df: DataFrame, formula: str, variants: Mapping[str, Mapping[str, str]],
