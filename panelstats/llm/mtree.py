@@ -13,7 +13,7 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from . import shards
 
@@ -116,15 +116,14 @@ class Tree:
                         break  # later ids of an equal vector are larger
             if len(found) == self.k:
                 limit = np.sqrt(max(length - 2 * float(found[0][0]), 0.0)) + self.margin
-        return [(s, -i) for s, i in sorted(found, reverse=True)]
+        return [(int(s), -i) for s, i in sorted(found, reverse=True)]
 
 
 def top_products(vectors: DataFrame, step: int = 50, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each vector whose id is divisible by ``step`` the k other vectors of the largest inner product after floor(256 * component).
 
-    Exact; ties go to the smaller vec_id. Vectors that are null, empty, or hold null or non-finite components take no part, zero vectors do; null ids are left out; of several vectors
-    under one id the smallest in array order counts; an empty table has no rows; other columns are not read. Products must stay below 2^53, as they do for components below 10^5.
+    Exact; ties go to the smaller vec_id. Vectors that are null, empty, of another length than most, or hold null or non-finite components take no part, zero vectors do; null ids are left out. Rows that
+    repeat an id are queries and candidates of their own, each for all rows but itself. An empty table has no rows; other columns are not read. Products from 2^63 on are refused.
     """
     own = shards.clean(vectors, id_col, vec_col, zero=True)
-    found = shards.search(own, shards.queries_of(own, step), lambda ids, rows: Tree(ids, rows, k), lambda tree, ids, rows: tree.find(ids, rows), k)
-    return found.withColumn("score", F.col("score").cast("bigint"))
+    return shards.search(own, shards.queries_of(own, step), lambda ids, rows: Tree(ids, rows, k), lambda tree, ids, rows: tree.find(ids, rows), k, whole=True)

@@ -115,8 +115,8 @@ class Tree:
 def nearest(vectors: DataFrame, step: int = 20, k: int = 20, relax: float = RELAX, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each vector whose id is divisible by ``step`` its k nearest others found (all others, if fewer).
 
-    The score is the inner product in double precision on the vectors as given. Vectors that are null, empty, zero, or hold null or non-finite components take no part, neither do null
-    ids; of several vectors under one id the smallest in array order counts; an empty table has no rows; other columns are not read.
+    The score is the inner product in double precision on the vectors as given. Vectors that are null, empty, zero, of another length than most, or hold null or non-finite components take
+    no part, neither do null ids. Rows that repeat an id are queries and candidates of their own, each for all rows but itself. An empty table has no rows; other columns are not read.
     """
     own = shards.clean(vectors, id_col, vec_col, zero=False)
     return shards.search(own, shards.queries_of(own, step), lambda ids, rows: Tree(ids, rows, k, relax), lambda tree, ids, rows: tree.find(ids, rows), k)

@@ -64,13 +64,40 @@ def odd(spark):
 
 def test_odd_vectors(spark, odd):
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in vptree.nearest(odd).collect())
-    assert got == [(0, 1, 5, 5.0), (0, 2, 20, 5.0), (0, 3, 7, 0.0), (20, 1, 0, 5.0), (20, 2, 5, 5.0), (20, 3, 7, 0.0)]
+    assert got == [(0, 1, 5, 5.0), (0, 2, 5, 5.0), (0, 3, 20, 5.0), (0, 4, 7, 0.0), (20, 1, 0, 5.0), (20, 2, 5, 5.0), (20, 3, 5, 5.0), (20, 4, 7, 0.0)]
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in mtree.top_products(odd).collect())
-    assert got[:4] == [(0, 1, 5, 5 * 65536), (0, 2, 20, 5 * 65536), (0, 3, 7, 0), (0, 4, 50, 0)]
-    assert [g[:3] for g in got[4:]] == [(50, 1, 0), (50, 2, 5), (50, 3, 7), (50, 4, 20)]
+    assert got[:5] == [(0, 1, 5, 5 * 65536), (0, 2, 5, 5 * 65536), (0, 3, 20, 5 * 65536), (0, 4, 7, 0), (0, 5, 50, 0)]
+    assert [g[:3] for g in got[5:]] == [(50, 1, 0), (50, 2, 5), (50, 3, 5), (50, 4, 7), (50, 5, 20)]
     assert vptree.nearest(odd.where("false")).count() == mtree.top_products(odd.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("shard_rows", [4096, 60])
+def test_rows_that_repeat_an_id(spark, monkeypatch, shard_rows):
+    monkeypatch.setattr(shards, "SHARD_ROWS", shard_rows)
+    rng = np.random.default_rng(6)
+    ids, rows = rng.integers(0, 120, 400), np.round(rng.normal(size=(400, 3)), 1) + 0.05
+    df = spark.createDataFrame([(int(i), r.tolist()) for i, r in zip(ids, rows)] + [(0, [1.0]), (20, [1.0, 2.0])], "vec_id bigint, embedding array<double>").repartition(5)
+
+    def want(step, k, values):
+        out = []
+        for q in np.flatnonzero(ids % step == 0):
+            score = (values * values[q]).sum(1)
+            order = [j for j in np.lexsort((ids, -score)) if j != q][:k]
+            out += [(int(ids[q]), n + 1, int(ids[j]), score[j]) for n, j in enumerate(order)]
+        return sorted(out)
+
+    got = sorted(tuple(r) for r in vptree.nearest(df, relax=1.0).collect())
+    assert [g[:3] for g in got] == [w[:3] for w in want(20, 20, rows)] and np.allclose([g[3] for g in got], [w[3] for w in want(20, 20, rows)])
+    assert sorted(tuple(r) for r in mtree.top_products(df).collect()) == want(50, 5, np.floor(256 * rows))
+
+
+def test_products_beyond_doubles_and_beyond_longs(spark):
+    df = spark.createDataFrame([(0, [2.0 ** 21, 1.0]), (1, [2.0 ** 21, 3.0])], "vec_id bigint, embedding array<double>")
+    assert mtree.top_products(df).first().score == 2 ** 58 + 256 * 768
+    with pytest.raises(Exception, match="long number"):
+        mtree.top_products(df.selectExpr("vec_id", "transform(embedding, x -> x * 1048576) as embedding")).collect()
+
+
 def test_many_shards(spark, many, monkeypatch):
     monkeypatch.setattr(shards, "SHARD_ROWS", 300)
     monkeypatch.setattr(shards, "BLOCK_QUERIES", 20)
