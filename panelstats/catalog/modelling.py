@@ -361,8 +361,9 @@ g AS (SELECT state, year, coalesce(n, 0) AS y FROM (SELECT DISTINCT state FROM l
       LEFT JOIN (SELECT state, year, sum(l_quantity) AS n FROM li GROUP BY ALL) USING (state, year)),
 m AS (SELECT *, avg(y) OVER (PARTITION BY state) AS ms, avg(y) OVER (PARTITION BY year) AS my, avg(y) OVER () AS mm FROM g),
 c AS (SELECT count(DISTINCT state) AS i, count(DISTINCT year) AS j, sum((y - ms - my + mm) ** 2) AS se, sum((ms - mm) ** 2) AS sa, sum((my - mm) ** 2) AS sb, any_value(mm) AS mm FROM m),
-v AS (SELECT i, j, mm, se / ((i - 1) * (j - 1)) AS e, sa / (i - 1) AS a, sb / (j - 1) AS b FROM c)
-SELECT 'state' AS component, {q('(a - e) / j / e', 3)} AS ratio FROM v UNION ALL SELECT 'year', {q('(b - e) / i / e', 3)} FROM v UNION ALL SELECT 'residual', 1.0 FROM v""")
+v AS (SELECT *, se / ((i - 1) * (j - 1)) AS e0, sa / (i - 1) AS a, sb / (j - 1) AS b FROM c),
+u AS (SELECT *, CASE WHEN a <= e0 THEN (se + sa) / ((i - 1) * j) WHEN b <= e0 THEN (se + sb) / ((j - 1) * i) ELSE e0 END AS e FROM v)
+SELECT 'state' AS component, {q('greatest((a - e) / j / e, 0)', 3)} AS ratio FROM u UNION ALL SELECT 'year', {q('greatest((b - e) / i / e, 0)', 3)} FROM u UNION ALL SELECT 'residual', 1.0 FROM u""")
 def mixed_balanced(spark, sf):
     """Crossed intercepts of a complete table, whose estimates are those of its analysis of variance."""
     n = lines(spark, sf).groupBy("state", "year").agg(F.sum("l_quantity").alias("n"))
