@@ -242,12 +242,21 @@ def simulate(fit: Fit, df: DataFrame, grid: Mapping[str, Sequence], draws: int =
         return np.append(out.ravel(), len(pdf))
 
     if kind == "linear":
-        # the mean of linear predictions is the prediction at the mean design row, one for each point
-        def mean_rows(pdf):
-            return np.append(np.concatenate([_at(d, pdf, point, again, i).sum(0) for i, point in enumerate(points)]), len(pdf))
-
-        flat = accumulate(src, mean_rows, len(points) * k + 1)
-        means = (flat[:-1].reshape(len(points), k) / flat[-1] @ thetas[:, :k].T)[:, None, :]
+        # the mean of linear predictions is the prediction at the mean design row
+        if again:
+            def mean_rows(pdf):
+                return np.append(np.concatenate([_at(d, pdf, point, again, i).sum(0) for i, point in enumerate(points)]), len(pdf))
+
+            flat = accumulate(src, mean_rows, len(points) * k + 1)
+            design = flat[:-1].reshape(len(points), k) / flat[-1]
+        else:
+            # a set variable is a constant factor of its columns: one mean row serves every point
+            def mean_row(pdf):
+                return np.append(d.matrix(pdf, plain=True, without=list(grid)).sum(0), len(pdf))
+
+            flat = accumulate(src, mean_row, k + 1)
+            design = np.array([d.constants(point) for point in points]) * flat[:-1] / flat[-1]
+        means = (design @ thetas[:, :k].T)[:, None, :]
     else:
         flat = accumulate(src, block, len(points) * len(classes) * draws + 1)
         means = flat[:-1].reshape(len(points), len(classes), draws) / flat[-1]

@@ -36,6 +36,19 @@ def independent_columns(gram: np.ndarray, tol: float = 1e-10) -> np.ndarray:
     return np.array(keep, dtype=int)
 
 
+def nonnegative(a: np.ndarray, tol: float = 1e-12) -> np.ndarray:
+    """The symmetric matrix without its negative eigenvalues; rounding below ``tol`` of the largest one is left alone.
+
+    Rows and columns are brought to like size first, so that a regressor's unit does not decide what counts as negative.
+    """
+    size = np.sqrt(np.abs(np.diag(a)))
+    size = np.where(size > 0, size, 1.0)
+    value, vector = np.linalg.eigh((a + a.T) / 2 / np.outer(size, size))
+    if not len(value) or value[0] >= -tol * np.abs(value).max():
+        return a
+    return (vector * np.maximum(value, 0.0)) @ vector.T * np.outer(size, size)
+
+
 def inverse(a: np.ndarray) -> np.ndarray:
     """Inverse of a symmetric positive matrix, scaled to a unit diagonal first."""
     d = np.sqrt(np.clip(np.diag(a), 1e-300, None))
@@ -98,7 +111,8 @@ class Fit:
     def cluster(self, *cols: str) -> "Fit":
         """Sandwich covariance clustered on one or several columns (inclusion-exclusion).
 
-        Factor G/(G-1) per clustering, for least squares also (n-1) over the residual degrees of freedom.
+        Factor G/(G-1) per clustering, for least squares also (n-1) over the residual degrees of freedom. With several
+        columns the inclusion-exclusion need not be a covariance; its negative directions are then set to zero.
         """
         if self.score is None or not self.clusters:
             raise ValueError("name the cluster columns when fitting")
@@ -122,6 +136,8 @@ class Fit:
                 flat = accumulate(sums, block, width * width + 1)
                 g = flat[-1]
                 meat += (-1) ** (r + 1) * g / (g - 1.0) * flat[:-1].reshape(width, width)
+        if len(fields) > 1:
+            meat = nonnegative(meat)
         if self.use_t:
             meat *= (self.n - 1.0) / self.df_resid  # absorbed levels count too
         v = self.bread @ meat @ self.bread

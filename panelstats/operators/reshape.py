@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import stage
 from .joins import rjoin
 
 
@@ -132,12 +133,16 @@ def product(sides: Sequence[DataFrame]) -> DataFrame:
 
     A row of one side owns a tile row and is copied along it, a row of the other owns a tile
     column: each pair meets in exactly one of tiles x tiles cells. The grid thus comes from an
-    equality join whose work is even over the tasks, however unequal the sides. Tiles follow the sizes of the sides.
+    equality join whose work is even over the tasks, however unequal the sides. Tiles follow the sizes of the sides,
+    which are written once: what counts them and what copies them reads the written rows.
     """
     def own(df: DataFrame, tiles: int) -> Column:
         return F.pmod(F.xxhash64(*df.columns), F.lit(tiles)).cast("int")
 
-    out, rows = sides[0], sides[0].count() if len(sides) > 1 else 0
+    if len(sides) == 1:
+        return sides[0]
+    sides = [stage(side) for side in sides]
+    out, rows = sides[0], sides[0].count()
     for side in sides[1:]:
         rows *= side.count()
         tiles = max(2, math.ceil(math.sqrt(rows / TILE_ROWS)))

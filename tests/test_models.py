@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -428,3 +429,46 @@ def test_count_model_with_an_absorbed_factor(spark, data):
     wide = spark.range(40000).selectExpr("id % 8000 as unit", "cast(id % 3 as double) as x", "cast(3 + 2 * (id % 3) + (id * 7919) % 5 as int) as y")
     fit = glm.quasi_poisson(wide, "y ~ x", absorb="unit")
     assert len(fit.names) == 1 and 0.2 < fit.param("x") < 0.6
+
+
+def test_two_way_clusters_leave_no_negative_variance(spark):
+    from panelstats.models.fit import nonnegative
+    bad = np.array([[4.0, 0.0, 1.0], [0.0, -0.5, 0.0], [1.0, 0.0, 9.0]])
+    mended = nonnegative(bad)
+    assert np.linalg.eigvalsh(mended).min() > -1e-12 and mended[np.ix_([0, 2], [0, 2])] == pytest.approx(bad[np.ix_([0, 2], [0, 2])])
+    scale = np.diag([1e6, 1.0, 1e-3])
+    assert nonnegative(scale @ bad @ scale) == pytest.approx(scale @ mended @ scale)
+    good = np.array([[2.0, 1.0], [1.0, 2.0]])
+    assert nonnegative(good) is good
+    # within a row of the square, scores cancel, and within a column: each one-way meat is near zero, their overlap is not
+    rows = [(i, j, float((-1) ** (i + j) * (1 + 0.01 * i)), float(1 if (i + j) % 2 else -1) * 3 + 0.1 * ((i * 7 + j * 3) % 5)) for i in range(6) for j in range(6)]
+    df = spark.createDataFrame(rows, "a int, b int, x double, y double")
+    x = np.column_stack([np.ones(36), [r[2] for r in rows]])
+    y = np.array([r[3] for r in rows])
+    bread = np.linalg.inv(x.T @ x)
+    u = y - x @ (bread @ x.T @ y)
+
+    def meat(label):
+        s = np.array([(x * u[:, None])[[k for k, r in enumerate(rows) if label(r) == g]].sum(0) for g in sorted({label(r) for r in rows})])
+        return len(s) / (len(s) - 1) * s.T @ s
+
+    plain = meat(lambda r: r[0]) + meat(lambda r: r[1]) - meat(lambda r: (r[0], r[1]))
+    assert np.linalg.eigvalsh(plain).min() < 0
+    fit = linear.ols(df, "y ~ x", cluster=["a", "b"]).cluster("a", "b")
+    assert np.linalg.eigvalsh(fit.vcov).min() > -1e-12
+    assert fit.vcov.max() > 0
+
+
+def test_simulated_means_of_a_linear_fit_are_the_draws_at_the_mean_row(spark):
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"x": rng.normal(size=400), "z": rng.normal(size=400), "g": rng.integers(0, 3, 400)})
+    pdf["y"] = 1 + pdf.x - pdf.z * pdf.x + pdf.g + rng.normal(size=400)
+    df = spark.createDataFrame(pdf)
+    grid = {"x": [-1.0, 0.5]}
+    plain = linear.ols(df, "y ~ x*z + factor(g)")
+    squared = linear.ols(df, "y ~ x + I(x*x) + z + factor(g)")
+    for fit in (plain, squared):
+        out = effects.simulate(fit, df, grid, 400, 3).orderBy("x").toPandas()
+        at = effects.counterfactual(fit, df, grid).orderBy("x").toPandas()
+        assert np.abs(out.fit - at.fit).max() < 5 * out.sd.max() / math.sqrt(400)
+        assert (out.fit_low < out.fit).all() and (out.fit < out.fit_high).all()
