@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -163,55 +162,135 @@ def trend(df: DataFrame, y: str, x: str, by: Sequence[str] = ()) -> DataFrame:
                                F.regr_count(y, x).alias("n"))
 
 
-#: Distinct values of a group that one range should hold, and the ranges that placing by comparisons allows.
-RANGE_VALUES, MAX_RANGES = 100_000, 1024
+#: Values a sketch level keeps, and the part of the rows by which a bracket is wider than its rank on each side: over twice the sketch's usual error.
+SKETCH_WIDTH, SLACK = 2048, 0.0035
+#: Distinct values of one wanted rank that a single task orders; more are cut further.
+ROOM = 1 << 20
+_CUTS = 64
 
 
-def quantiles(df: DataFrame, by: Sequence[str], c: str, probs: Sequence[float]) -> DataFrame:
-    """Exact interpolated quantiles (h = (n-1)p) that survive a group of any size.
+def quantile_rows(df: DataFrame, by: Sequence[str], cols: Sequence[str], probs: Sequence[float], overall: bool = False,
+                  slack: float = SLACK, room: int = ROOM) -> DataFrame:
+    """Exact interpolated quantiles (h = (n-1)p) of several columns: rows ``by, variable, q..``.
 
-    Values are counted first; sketched split points cut the distinct values of a group into
-    ranges of like size, as many as the largest group's distinct values ask for. Range counts
-    locate the two ranks each quantile needs, and only the ranges that hold them are ordered.
+    One pass sketches all columns and groups; sketches merge, so ``overall`` (a group ``Overall`` of all rows beside those
+    of one key) needs no copy of the rows. The sketch brackets each rank, and a second pass counts what lies below a
+    bracket and keeps the values inside. Counts are exact, so a bracket that missed its rank is seen and widened. Kept
+    values beyond ``room`` for one rank are cut by sketches again until one task can order them. Groups without a known value have no row.
     """
-    by = list(by)
-    x = F.col(c).cast("double")
-    known = df.where(x.isNotNull()).select(*by, x.alias("__x"))
-    counts = stage(known.groupBy(*by, "__x").agg(F.count(F.lit(1)).alias("__n")))
-    most = counts.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    splits = max(8, min(MAX_RANGES, math.ceil(most / RANGE_VALUES)))
-    marks = [i / splits for i in range(1, splits)]
-    edges = counts.groupBy(*by).agg(
-        F.percentile_approx("__x", marks, F.lit(30 * splits)).alias("__edges"), F.sum("__n").alias("__total"))
-    cells = attach(counts, edges, by)
-    # compiled comparisons; a lambda over the array would run interpreted per row
-    place = sum(((F.col("__edges")[i] < F.col("__x")).cast("int") for i in range(len(marks))), F.lit(0))
-    cells = cells.withColumn("__range", place).drop("__edges")
-    ranges = cells.groupBy(*by, "__range", "__total").agg(F.sum("__n").alias("__rn"))
-    upto = F.sum("__rn").over(Window.partitionBy(*by).orderBy("__range"))
-    ranges = ranges.withColumn("__start", upto - F.col("__rn"))
-    want = F.array(*[F.struct(F.lit(i).alias("p"), F.lit(float(p)).alias("prob")) for i, p in enumerate(probs)])
-    h = (F.col("__total") - 1) * F.col("prob")
-    need = (ranges.select("*", F.inline(want))
-            .withColumns({"__lo": F.floor(h), "__hi": F.ceil(h), "__frac": h - F.floor(h)}))
-    end = F.col("__start") + F.col("__rn")
-    need = need.where(F.col("__lo").between(F.col("__start"), end - 1) | F.col("__hi").between(F.col("__start"), end - 1))
-    need = need.groupBy(*by, "__range", "__start").agg(F.collect_list(F.struct("p", "__lo", "__hi", "__frac")).alias("__want"))
-    hot = rjoin(cells.drop("__total"), need, [*by, "__range"], "inner")
-    run = F.sum("__n").over(Window.partitionBy(*by, "__range").orderBy("__x"))
-    placed = hot.withColumn("__end", F.col("__start") + run).withColumn("__begin", F.col("__end") - F.col("__n"))
-    hits = placed.select(*by, "__x", "__begin", "__end", F.inline("__want"))
-    inside = lambda c: (F.col(c) >= F.col("__begin")) & (F.col(c) < F.col("__end"))
-    hits = hits.where(inside("__lo") | inside("__hi"))
-
-    def at(rank: str) -> Column:
-        return F.max(F.when(inside(rank), F.col("__x")))
-
-    solved = hits.groupBy(*by, "p", "__frac").agg(at("__lo").alias("a"), at("__hi").alias("b"))
-    value = F.col("a") + F.col("__frac") * (F.col("b") - F.col("a"))
+    by, cols = list(by), list(cols)
+    if overall and len(by) != 1:
+        raise ValueError("an overall group stands beside those of one key")
+    groups = [F.col(c).cast("string").alias(c) if overall else F.col(c) for c in by]
+    src = df.select(*groups, F.array(*[F.col(c).cast("double") for c in cols]).alias("__xs"))
+    known = stage(src.groupBy(*by).agg(
+        *[F.kll_sketch_agg_double(F.col("__xs")[i], F.lit(SKETCH_WIDTH)).alias(f"__s{i}") for i in range(len(cols))],
+        *[F.count(F.col("__xs")[i]).alias(f"__n{i}") for i in range(len(cols))]))
+    edges = F.array(*[F.lit(min(max(e, 0.0), 1.0)) for p in probs for e in (p - slack, p + slack)])
+
+    def brackets(whole: bool) -> Column:
+        """A struct for each column and probability; without a sketched value (all NaN) the bracket is the whole line, whose upper end is NaN."""
+        out = []
+        for i in range(len(cols)):
+            at = F.when(F.kll_sketch_get_n_double(f"__s{i}") > 0, F.kll_sketch_get_quantile_double(f"__s{i}", edges))
+            out += [F.struct(F.lit(i).alias("__c"), F.lit(j).alias("__p"), F.lit(whole).alias("__all"), F.col(f"__n{i}").alias("__n"),
+                             F.coalesce(at[2 * j], F.lit(float("-inf"))).alias("__a"),
+                             F.coalesce(at[2 * j + 1], F.lit(float("nan"))).alias("__b")) for j in range(len(probs))]
+        return F.array(*out)
+
+    own = known.select(*by, brackets(False).alias("__marks")) if by else None
+    whole = []
+    if overall or not by:
+        total = known.agg(*[F.kll_merge_agg_double(f"__s{i}", F.lit(SKETCH_WIDTH)).alias(f"__s{i}") for i in range(len(cols))],
+                          *[F.coalesce(F.sum(f"__n{i}"), F.lit(0)).alias(f"__n{i}") for i in range(len(cols))])
+        whole = total.select(brackets(True).alias("m")).first()["m"]  # a row for each column and probability
+
+    keys = [*by, "__all", "__c", "__p", "__n"]
+    counts = _bracketed(src, by, own, whole, overall)
+    lo, hi, frac = _ranks(probs)
+    seen = stage(counts.groupBy(*keys, "__a", "__b").agg(
+        F.coalesce(F.sum(F.when(F.col("__x").isNull(), F.col("__k"))), F.lit(0)).alias("__under"),
+        F.sum("__k").alias("__upto"), F.count("__x").alias("__size")))
+    early, late = lo < F.col("__under"), hi >= F.col("__upto")
+    worst = seen.agg(F.max((early | late).cast("int")), F.max("__size")).first()
+    most = worst[1] or 0
+    if worst[0]:
+        missed = seen.where(early | late)
+        again = missed.select(*keys, F.struct(
+            "__c", "__p", "__all", "__n", F.when(early, F.lit(float("-inf"))).otherwise(F.col("__a")).alias("__a"),
+            F.when(late, F.lit(float("nan"))).otherwise(F.col("__b")).alias("__b")).alias("m"))
+        wide = [r["m"] for r in again.where("__all").collect()]
+        groups = again.where(~F.col("__all")).groupBy(*by).agg(F.collect_list("m").alias("__marks")) if by else None
+        if by and wide:
+            groups = rjoin(known.select(*by), groups, by)
+        wider = _bracketed(src, by, groups, wide, overall)
+        counts = rjoin(counts, missed.select(*keys), keys, "left_anti").unionByName(wider)
+        most = max(most, wider.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0)
+    counts = counts.drop("__a", "__b")
+    while most > max(room, 4 * _CUTS):
+        counts = stage(_cut(counts, keys, lo, hi))
+        most = counts.groupBy(*keys).agg(F.count("__x").alias("d")).agg(F.max("d")).first()[0]
+    run = F.sum("__k").over(Window.partitionBy(*keys).orderBy(F.col("__x").asc_nulls_first()))
+    placed = counts.withColumn("__end", run).withColumn("__begin", F.col("__end") - F.col("__k")).where(F.col("__x").isNotNull())
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((rank >= F.col("__begin")) & (rank < F.col("__end")), F.col("__x")))
+
+    solved = placed.groupBy(*keys).agg(at(lo).alias("__lo"), at(hi).alias("__hi"))
+    value = F.col("__lo") + frac * (F.col("__hi") - F.col("__lo"))
     names = [f"q{str(round(p * 100, 4)).rstrip('0').rstrip('.').replace('.', '_')}" for p in probs]
-    return solved.groupBy(*by).agg(*[
-        F.max(F.when(F.col("p") == i, value)).alias(n) for i, n in enumerate(names)])
+    variable = F.array(*[F.lit(c) for c in cols])[F.col("__c")].alias("variable")
+    return solved.groupBy(*by, "__all", variable).agg(*[
+        F.max(F.when(F.col("__p") == j, value)).alias(n) for j, n in enumerate(names)]).drop("__all")
+
+
+def _ranks(probs: Sequence[float]) -> tuple[Column, Column, Column]:
+    """The two ranks that a quantile lies between, and its place between them."""
+    h = (F.col("__n") - 1) * F.array(*[F.lit(float(p)) for p in probs])[F.col("__p")]
+    return F.floor(h), F.ceil(h), h - F.floor(h)
+
+
+def _bracketed(src: DataFrame, by: Sequence[str], own: DataFrame | None, whole: Sequence, overall: bool) -> DataFrame:
+    """Counts of values up to each bracket's end: one row of all that lies below it (null value), one for each value inside.
+
+    What lies below meets in one row per task, so only values inside brackets are shuffled.
+    """
+    fixed = F.array(*[F.struct(*[F.lit(m[f]).alias(f) for f in ("__c", "__p", "__all")], F.lit(m["__n"]).cast("long").alias("__n"),
+                               *[F.lit(m[f]).cast("double").alias(f) for f in ("__a", "__b")]) for m in whole]) if whole else None
+    marks = fixed
+    if own is not None:
+        src = rjoin(src, own, by, "inner")
+        marks = F.col("__marks")
+        if whole:
+            marks = F.concat(F.coalesce(marks, F.slice(fixed, 1, 0)), fixed)
+    rows = src.select(*by, "__xs", F.inline(marks))
+    x = F.col("__xs")[F.col("__c")]
+    rows = rows.where(x.isNotNull() & (x <= F.col("__b")))
+    group = [F.when(F.col("__all"), F.lit("Overall")).otherwise(F.col(by[0])).alias(by[0])] if overall else list(by)
+    return stage(rows.groupBy(*group, "__all", "__c", "__p", "__n", "__a", "__b", F.when(x >= F.col("__a"), x).alias("__x"))
+                 .agg(F.count(F.lit(1)).alias("__k")))
+
+
+def _cut(counts: DataFrame, keys: Sequence[str], lo: Column, hi: Column) -> DataFrame:
+    """Of each rank's values only those between the two cuts around it; what lies below adds to the row of smaller values."""
+    keys = list(keys)
+    sketch = counts.groupBy(*keys).agg(F.kll_sketch_agg_double("__x", F.lit(SKETCH_WIDTH)).alias("__s"))
+    cuts = F.when(F.kll_sketch_get_n_double("__s") > 0, F.kll_sketch_get_quantile_double("__s", F.array(*[F.lit(i / _CUTS) for i in range(1, _CUTS)])))
+    cells = rjoin(counts, sketch.select(*keys, cuts.alias("__cuts")), keys)
+    place = sum((F.coalesce((F.col("__cuts")[i] < F.col("__x")).cast("int"), F.lit(0)) for i in range(_CUTS - 1)), F.lit(0))
+    cells = stage(cells.withColumn("__place", F.when(F.col("__x").isNull(), F.lit(-1)).otherwise(place)).drop("__cuts"))
+    sums = cells.groupBy(*keys, "__place").agg(F.sum("__k").alias("__rows"))  # at most _CUTS + 1 for a rank
+    end = F.sum("__rows").over(Window.partitionBy(*keys).orderBy("__place"))
+    sums = sums.withColumn("__end", end).withColumn("__begin", F.col("__end") - F.col("__rows"))
+    holds = lambda rank: (rank >= F.col("__begin")) & (rank < F.col("__end"))
+    hot = sums.where(holds(lo) | holds(hi)).groupBy(*keys).agg(F.min("__place").alias("__first"), F.max("__place").alias("__last"))
+    kept = rjoin(cells, hot, keys, "inner").where(F.col("__place") <= F.col("__last"))
+    return kept.groupBy(*keys, F.when(F.col("__place") >= F.col("__first"), F.col("__x")).alias("__x")).agg(F.sum("__k").alias("__k"))
+
+
+def quantiles(df: DataFrame, by: Sequence[str], c: str, probs: Sequence[float]) -> DataFrame:
+    """Exact interpolated quantiles of one column, side by side."""
+    return quantile_rows(df, by, [c], probs).drop("variable")
 
 
 def summary_table(df: DataFrame, numeric: Sequence[str] = (), categorical: Sequence[str] = (),
@@ -232,11 +311,9 @@ def summary_table(df: DataFrame, numeric: Sequence[str] = (), categorical: Seque
     if numeric and stat == "median_iqr":
         if w:
             raise ValueError("weighted quartiles are not part of the summary table")
-        for c in numeric:
-            q = quantiles(src, keys, c, [0.25, 0.5, 0.75])
-            parts.append(q.select(*keys, F.lit(c).alias("variable"), F.lit(None).cast("string").alias("level"),
-                                  F.col("q50").alias("stat_1"), F.col("q25").alias("stat_2"),
-                                  F.col("q75").alias("stat_3")))
+        q = quantile_rows(df, keys, numeric, [0.25, 0.5, 0.75], overall and by is not None)
+        parts.append(q.select(*keys, "variable", F.lit(None).cast("string").alias("level"), F.col("q50").alias("stat_1"),
+                              F.col("q25").alias("stat_2"), F.col("q75").alias("stat_3")))
     elif numeric:
         aggs = []
         offsets = centers(df, *numeric) if w else [F.lit(0.0)] * len(numeric)
@@ -254,9 +331,12 @@ def summary_table(df: DataFrame, numeric: Sequence[str] = (), categorical: Seque
     if categorical:
         rows = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("level"))
                          for c in categorical])
-        cells = (src.select(*keys, weight.alias("__w"), F.inline(rows))
+        cells = (df.select(*keys, weight.alias("__w"), F.inline(rows))
                  .where(F.col("level").isNotNull())
                  .groupBy(*keys, "variable", "level").agg(F.sum("__w").alias("stat_1")))
+        if by and overall:  # cells are few; their sums make the overall group
+            cells = (cells.withColumn(by, F.explode(F.array(F.col(by).cast("string"), F.lit("Overall"))))
+                     .groupBy(by, "variable", "level").agg(F.sum("stat_1").alias("stat_1")))
         pct = share(cells, "stat_1", [*keys, "variable"], "stat_2", 100.0)
         parts.append(pct.withColumn("stat_3", F.lit(None).cast("double")))
     return reduce(lambda a, b: a.unionByName(b), parts)

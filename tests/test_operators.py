@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
@@ -21,6 +23,40 @@ def test_quantiles_equal_numpy_also_for_a_hot_group(spark):
     assert whole == pytest.approx(np.quantile([x for _, x in data], 0.3))
 
 
+@pytest.mark.parametrize("slack, room", [(agg.SLACK, agg.ROOM), (0.0, 1), (0.3, 300)])
+def test_quantiles_of_all_columns_and_groups_at_once(spark, slack, room):
+    """Also where brackets miss their ranks, and where kept values must be cut."""
+    rng = np.random.default_rng(8)
+    n = 6000
+    k = rng.choice(["a", "b", None], n, p=[0.9, 0.09, 0.01])
+    x, ties = rng.normal(1e6, 3, n), rng.integers(0, 3, n).astype(float)
+    gaps = [None if g == "b" or i % 7 == 0 else float(v) for i, (g, v) in enumerate(zip(k, rng.exponential(size=n)))]
+    data = [(g, float(a), float(b), c) for g, a, b, c in zip(k, x, ties, gaps)]
+    data += [("nan", float("nan"), 1.0, None), ("nan", 2.0, 1.0, None), ("none", None, None, None), ("inf", float("inf"), 0.0, 1.0)]
+    df = spark.createDataFrame(data, "k string, x double, ties double, gaps double")
+    probs = [0.0, 0.1, 0.5, 0.999, 1.0]
+    out = agg.quantile_rows(df, ["k"], ["x", "ties", "gaps"], probs, overall=True, slack=slack, room=room).collect()
+    found = {(r["k"], r["variable"]): [r[c] for c in ("q0", "q10", "q50", "q99_9", "q100")] for r in out}
+    assert len(found) == len(out)
+    for j, c in enumerate(("x", "ties", "gaps"), 1):
+        for g in ("a", "b", None, "inf", "none", "Overall"):
+            v = np.array([r[j] for r in data if r[j] is not None and (g == "Overall" or r[0] == g)])
+            if not len(v):
+                assert (g, c) not in found
+            elif g == "Overall" and c == "x":  # infinity and NaN come last
+                v = np.sort(v)
+                assert found[g, c][:3] == pytest.approx([v[0], *[np.interp(p * (len(v) - 1), np.arange(len(v) - 2), v[:-2]) for p in (0.1, 0.5)]], abs=1e-9)
+            elif g != "inf" or c != "x":
+                assert found[g, c] == pytest.approx(list(np.quantile(v, probs)), abs=1e-9)
+    assert found["nan", "x"][0] == 2.0 and math.isnan(found["nan", "x"][-1])
+
+
+def test_quantiles_of_nothing(spark):
+    empty = spark.createDataFrame([], "k string, x double")
+    assert agg.quantiles(empty, ["k"], "x", [0.5]).count() == 0
+    assert agg.quantiles(empty, [], "x", [0.5]).count() == 0
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.one_of(st.none(), st.integers(-50, 50)), min_size=3, max_size=12))
 def test_interpolation_passes_known_points(spark, values):
