@@ -43,6 +43,35 @@ def dissimilarity_boot(spark, sf):
     return seg.dissimilarity(rows(spark, sf), "grp", ("R", "A"), UNIT, "w", ["year"], boot=50, seed=11)
 
 
+@query("q_boot_totals", f"""WITH {_ROWS}
+SELECT year, CAST(rep AS INTEGER) AS rep, CAST(round(sum(w)) AS BIGINT) AS total
+FROM rows_ CROSS JOIN (SELECT unnest(range(50)) AS rep) WHERE grp IN ('R', 'A') GROUP BY ALL""")
+def boot_totals(spark, sf):
+    reps = seg.replicates(rows(spark, sf), "grp", ("R", "A"), UNIT, "w", ["year"], boot=50, seed=11)
+    return reps.select("year", "rep", (F.col("a") + F.col("b")).alias("total"))
+
+
+# Moments of a multinomial: Pearson's distance has mean K - 1 over K cells, a group's total has the variance of a binomial.
+@query("q_boot_moments", f"""WITH {_ROWS},
+c AS (SELECT year, s_nationkey, p_brand, grp, sum(w) AS n FROM rows_ WHERE grp IN ('R', 'A') GROUP BY ALL HAVING sum(w) > 0)
+SELECT year, count(*) - 1 AS chi2_mean, true AS chi2_near, {q("sum(CASE WHEN grp = 'R' THEN n ELSE 0 END) / sum(n)")} AS share, true AS share_near, true AS share_sd_near
+FROM c GROUP BY year""")
+def boot_moments(spark, sf):
+    from ..operators.joins import rjoin
+    df, boot = rows(spark, sf), 50
+    reps = seg.replicates(df, "grp", ("R", "A"), UNIT, "w", ["year"], boot=boot, seed=11)
+    found = reps.groupBy("year").agg(F.avg("chi2").alias("chi2"), F.avg(F.col("a") / (F.col("a") + F.col("b"))).alias("p"),
+                                     F.stddev_samp(F.col("a") / (F.col("a") + F.col("b"))).alias("sd"))
+    cells = df.where(F.col("grp").isin("R", "A")).groupBy("year", *UNIT, "grp").agg(F.sum("w").alias("n")).where(F.col("n") > 0)
+    known = cells.groupBy("year").agg((F.count("*") - 1).alias("chi2_mean"), F.sum("n").alias("all"),
+                                      (F.sum(F.when(F.col("grp") == "R", F.col("n")).otherwise(0.0)) / F.sum("n")).alias("share"))
+    sd = F.sqrt(F.col("share") * (1 - F.col("share")) / F.col("all"))
+    return rounded(rjoin(known, found, ["year"]).select(
+        "year", "chi2_mean", (F.abs(F.col("chi2") / F.greatest("chi2_mean", F.lit(1)) - 1) < 0.15).alias("chi2_near"), "share",
+        (F.abs(F.col("p") - F.col("share")) <= 5 * sd / boot ** 0.5).alias("share_near"),
+        (F.col("sd").between(0.5 * sd, 1.5 * sd)).alias("share_sd_near")), "share")
+
+
 @query("q_index_subgroups", f"""WITH {_ROWS},
 l AS (SELECT year // 5 * 5 AS bin, s_nationkey, p_brand, grp, w, 'status' AS variable, status AS value FROM rows_
       UNION ALL SELECT year // 5 * 5, s_nationkey, p_brand, grp, w, 'line', line FROM rows_), {_d_sql('bin, variable, value', src='l')}

@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import stage
-from .joins import attach
+from ..session import ship, stage
+from .joins import attach, rjoin
 
 
 def _pair_cells(df: DataFrame, group: str, pair: Sequence, unit: Sequence[str], w: str,
@@ -48,43 +49,128 @@ def dissimilarity(df: DataFrame, group: str, pair: Sequence, unit: Sequence[str]
     d = _fold(_with_totals(cells, by), by, D=0.5 * F.sum(_gap()))
     if not boot:
         return d
-    return _bootstrap(cells, d, by, unit, boot, seed)
+    stats = _fold(_replicates(cells, by, unit, boot, seed), by, __mean=F.avg("D"), se=F.stddev_samp("D"))
+    out = attach(d, stats, by)
+    bias = F.col("__mean") - F.col("D")
+    return out.select(*by, (F.col("D") - bias).alias("D"), "se", bias.alias("bias"))
 
 
-def _bootstrap(cells: DataFrame, d: DataFrame, by: Sequence[str], unit: Sequence[str], boot: int,
-               seed: int) -> DataFrame:
-    """Resample the rounded cell counts as a multinomial of the period total.
+def replicates(df: DataFrame, group: str, pair: Sequence, unit: Sequence[str], w: str, by: Sequence[str] = (), boot: int = 50,
+               seed: int = 0) -> DataFrame:
+    """Bootstrap replicates ``by, rep, a, b, D, chi2``: both groups' totals, the dissimilarity, and Pearson's distance from the observed counts.
 
-    Cells draw independent Poisson counts with the observed mean, which given their sum is that
-    multinomial, and D depends on the counts through shares only. So replicates need no
-    gathering of a period: each cell draws alone, seeded by its own key, and the aggregates do
-    the rest. Replicates travel as one array per cell until the sums per replicate.
+    A replicate redistributes the rounded total of a period over its unit x group cells: a multinomial, so ``a + b`` is that total each time.
     """
-    keys = [*by, *unit]
-    ticket = cells.withColumn("__key", F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]))
-    slim = ticket.select(*by, "__key", "__a", "__b")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name in by)
-    schema = (fields + ", " if fields else "") + "a array<double>, b array<double>"
+    return _replicates(stage(_pair_cells(df, group, pair, unit, w, by)), by, unit, boot, seed)
+
+
+#: Children of a node of the bootstrap's tree, on average.
+FAN = 64
+
 
+def _replicates(cells: DataFrame, by: Sequence[str], unit: Sequence[str], boot: int, seed: int) -> DataFrame:
+    """Split each period's total down a tree over its units.
+
+    The root draws the two groups' totals; a node deals its counts to its children, which are again multinomials given the node's count.
+    Nodes are hash buckets of units, so every node is drawn by itself, seeded by its place, in one vector block for all replicates. The last
+    level draws the units and sums them within its task: what is shuffled grows with nodes, and with tasks at the end, not with units x replicates.
+    """
+    ship(cells.sparkSession)
+    by = list(by)
+    both = [F.sum("__a").alias("__a"), F.sum("__b").alias("__b")]
+    top = (cells.groupBy(*by) if by else cells.groupBy()).agg(*both, F.count(F.lit(1)).alias("__size"))
+    top = top.where(F.col("__a") + F.col("__b") > 0).withColumns(
+        {"__root": F.monotonically_increasing_id(), "__seed": F.xxhash64(F.lit(seed), *by)})
+    roots = stage(top)
+    most = roots.agg(F.max("__size")).first()[0] or 0
+    depth = 0
+    while most > FAN ** (depth + 1):
+        depth += 1
+    tag = roots.select(*by, "__root", "__seed")
+    units = rjoin(cells, tag, by, "inner") if by else attach(cells, tag, by)
+    units = units.select("__root", "__seed", F.xxhash64(F.col("__seed"), *unit).alias("__node"), "__a", "__b")
+    place = lambda level: F.pmod("__node", F.lit(FAN ** level)) if level else F.lit(0).cast("long")
+    levels = {depth + 1: units}  # nodes of each level; the last one's are the units
+    for level in range(depth, 0, -1):
+        levels[level] = stage(levels[level + 1].groupBy("__root", "__seed", place(level).alias("__node")).agg(*both))
+    drawn = stage(roots.select("__root", "__seed", F.lit(0).cast("long").alias("__node"), "__a", "__b").mapInPandas(
+        _root_draws(boot), "__root long, __node long, a array<long>, b array<long>"))
+    whole = drawn.select("__root", F.col("a").alias("__ta"), F.col("b").alias("__tb"))
+    for level in range(depth + 1):
+        kids = levels[level + 1].groupBy("__root", "__seed", place(level).alias("__parent")).agg(
+            F.array_sort(F.collect_list(F.struct("__node", "__a", "__b"))).alias("kids"))
+        kids = kids.join(drawn.withColumnRenamed("__node", "__parent"), ["__root", "__parent"])
+        kids = kids.select("__root", "__seed", F.col("__parent").alias("parent"), F.col("kids.__node").alias("node"),
+                           F.col("kids.__a").alias("wa"), F.col("kids.__b").alias("wb"), "a", "b")
+        if level < depth:
+            drawn = stage(kids.mapInPandas(_node_draws(boot, level), "__root long, __node long, a array<long>, b array<long>"))
+    mass = roots.select("__root", F.col("__a").alias("ma"), F.col("__b").alias("mb"))
+    sums = kids.join(whole, "__root").join(mass, "__root").mapInPandas(
+        _unit_draws(boot, depth), "__root long, a array<double>, b array<double>, gap array<double>, chi2 array<double>")
+    parts = sums.select("__root", F.posexplode(F.arrays_zip("a", "b", "gap", "chi2")).alias("rep", "z"))
+    reps = parts.groupBy("__root", "rep").agg(*[F.sum(f"z.{c}").alias(c) for c in ("a", "b", "gap", "chi2")])
+    share = F.when(~F.isnan("gap"), 0.5 * F.col("gap")).alias("D")
+    return reps.join(roots.select("__root", *by), "__root").select(
+        *by, "rep", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), share, "chi2")
+
+
+def _generator(seed: int, level: int, node: int):
+    mask = (1 << 64) - 1
+    return np.random.default_rng([int(seed) & mask, level, int(node) & mask])
+
+
+def _deal(rng, counts, weights) -> np.ndarray:
+    """Counts (one for each replicate) over the weights: a row for each replicate."""
+    weights = np.asarray(weights, dtype=float)
+    total = weights.sum()
+    if total <= 0:
+        return np.zeros((len(counts), len(weights)), dtype=np.int64)
+    return rng.multinomial(np.asarray(counts, dtype=np.int64), weights / total)
+
+
+def _root_draws(boot: int):
     def draw(batches):
         for pdf in batches:
-            left, right = [], []
-            for key, a, b in zip(pdf["__key"], pdf["__a"], pdf["__b"]):
-                rng = np.random.default_rng(int(key) & 0xFFFFFFFFFFFFFFFF)
-                left.append(rng.poisson(round(a), boot).astype(float))
-                right.append(rng.poisson(round(b), boot).astype(float))
-            out = pdf[list(by)].copy()
-            out["a"], out["b"] = left, right
-            yield out
-
-    drawn = stage(slim.mapInPandas(draw, schema))
-    rows = drawn.select(*by, F.posexplode(F.arrays_zip("a", "b")).alias("rep", "__z")).select(
-        *by, "rep", F.col("__z.a").alias("__a"), F.col("__z.b").alias("__b"))
-    reps = _fold(_with_totals(rows, [*by, "rep"]), [*by, "rep"], __d=0.5 * F.sum(_gap()))
-    stats = _fold(reps, by, __mean=F.avg("__d"), se=F.stddev_samp("__d"))
-    out = attach(d, stats, by)
-    bias = F.col("__mean") - F.col("D")
-    return out.select(*by, (F.col("D") - bias).alias("D"), "se", bias.alias("bias"))
+            a, b = [], []
+            for key, left, right in zip(pdf["__seed"], pdf["__a"], pdf["__b"]):
+                n = int(round(left + right))
+                a.append(_generator(key, 0, 0).binomial(n, left / (left + right), boot))
+                b.append(n - a[-1])
+            yield pdf[["__root", "__node"]].assign(a=a, b=b)
+    return draw
+
+
+def _both_dealt(row, level: int):
+    rng = _generator(row["__seed"], level + 1, row["parent"])
+    return _deal(rng, row["a"], row["wa"]), _deal(rng, row["b"], row["wb"])
+
+
+def _node_draws(boot: int, level: int):
+    def draw(batches):
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                a, b = _both_dealt(row, level)
+                yield pd.DataFrame({"__root": row["__root"], "__node": row["node"], "a": list(a.T), "b": list(b.T)})
+    return draw
+
+
+def _unit_draws(boot: int, level: int):
+    def draw(batches):
+        found: dict[int, np.ndarray] = {}  # of the periods that a task sees
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                a, b = _both_dealt(row, level)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    gap = np.abs(a / np.asarray(row["__ta"])[:, None] - b / np.asarray(row["__tb"])[:, None]).sum(1)
+                mass = row["ma"] + row["mb"]
+                n, chi2 = round(mass), np.zeros(boot)
+                for x, weights in ((a, row["wa"]), (b, row["wb"])):
+                    mean = n * np.asarray(weights, dtype=float) / mass
+                    chi2 += ((x - mean)[:, mean > 0] ** 2 / mean[mean > 0]).sum(1)
+                found[row["__root"]] = found.get(row["__root"], 0.0) + np.stack([a.sum(1), b.sum(1), gap, chi2])
+        if found:
+            yield pd.DataFrame({"__root": list(found), **{c: [v[i] for v in found.values()] for i, c in enumerate(("a", "b", "gap", "chi2"))}})
+    return draw
 
 
 def exposure(df: DataFrame, group: str, groups: Sequence, unit: Sequence[str], w: str,

@@ -225,6 +225,35 @@ def test_index_properties(spark):
     assert seg.dissimilarity(apart, "g", ("a", "b"), ["u"], "w").first()["D"] == 1.0
 
 
+def test_bootstrap_is_a_multinomial_of_the_period_total(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(int(y), int(u), g, float(rng.gamma(2, 3))) for y in (1, 2) for u in range(40) for g in "ab" if rng.random() > 0.1]
+    rows += [(2, 99, "a", 4000.0), (None, 1, "a", 7.0), (None, 2, "b", 5.0), (3, 1, "a", 6.0)]
+    df = spark.createDataFrame(rows, "y int, u int, g string, w double")
+    flat = seg.replicates(df, "g", ("a", "b"), ["u"], "w", ["y"], boot=400, seed=3).toPandas()
+    monkeypatch.setattr(seg, "FAN", 4)  # a tree of several levels
+    deep = seg.replicates(df, "g", ("a", "b"), ["u"], "w", ["y"], boot=400, seed=3).toPandas()
+    for out in (flat, deep):
+        assert len(out) == 4 * 400
+        for y in (1, 2, 3, None):
+            part = out[out.y.isna()] if y is None else out[out.y == y]
+            own = [r for r in rows if r[0] == y]
+            n = round(sum(r[3] for r in own))
+            assert (part.a + part.b == n).all()
+            if y == 3:  # no second group: D is unknown
+                assert part.D.isna().all() and (part.b == 0).all()
+                continue
+            share = sum(r[3] for r in own if r[2] == "a") / sum(r[3] for r in own)
+            sd = math.sqrt(share * (1 - share) / n)
+            assert abs((part.a / n).mean() - share) < 5 * sd / 20 and 0.8 < (part.a / n).std() / sd < 1.2
+            assert part.chi2.mean() == pytest.approx(len(own) - 1, rel=0.2)
+    one = deep[deep.y == 1].D.to_numpy()
+    p = np.array([[sum(r[3] for r in rows if r[:3] == (1, u, g)) for g in "ab"] for u in range(40)])
+    draws = np.random.default_rng(0).multinomial(round(p.sum()), (p / p.sum()).ravel(), 4000).reshape(-1, 40, 2)
+    plain = 0.5 * np.abs(draws[..., 0] / draws[..., 0].sum(1, keepdims=True) - draws[..., 1] / draws[..., 1].sum(1, keepdims=True)).sum(1)
+    assert one.mean() == pytest.approx(plain.mean(), abs=5 * plain.std() / 20) and one.std() == pytest.approx(plain.std(), rel=0.2)
+
+
 def test_no_operator_plans_a_cross_join(spark):
     df = _seg(spark)
     whole = agg.share(df.groupBy("u").agg(F.sum("w").alias("n")), "n")
