@@ -1,7 +1,8 @@
 """Per-key time series: shifts, gap filling, running sums, standard scores.
 
-Windows here run over aggregated panels, one row per key and period, so a partition is as
-long as the calendar and not as long as the data.
+A window orders all rows of a key in one task. That is right for panels, whose keys are as long as the calendar; a key beyond
+``LONG_KEY`` rows is spread instead: rows are laid into blocks by ranges of key and order, each block is worked on by itself, and what
+a block must know of the others (a sum, the last and next known point, a number of rows) is carried over its key's blocks as one row each.
 """
 
 from __future__ import annotations
@@ -13,24 +14,72 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..session import stage
 from .joins import attach, rjoin
 
+#: Rows of a key that one task orders.
+LONG_KEY = 2_000_000
+#: Rows of a piece in which a long key is shifted, unless the shift is longer.
+PIECE = 100_000
+
+
+def _is_long(df: DataFrame, key: Sequence[str]) -> bool:
+    sizes = df.groupBy(*key).count() if key else df.groupBy().count()
+    return (sizes.agg(F.max("count")).first()[0] or 0) > LONG_KEY
+
+
+def _blocks(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The rows, staged, with ``__block``: ranges of (key, order), rising with the order; rows of equal order share one."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stage(df.repartitionByRange(n, *key, *order).withColumn("__block", F.spark_partition_id()))
+
+
+def _carry(df: DataFrame, key: Sequence[str], ahead: bool = False, **sums: tuple[Column, Column]) -> DataFrame:
+    """Attach to each row what its key's earlier blocks (``ahead``: later ones) give: per name an aggregate by block, and one of those over blocks."""
+    parts = df.groupBy(*key, "__block").agg(*[first.alias(n) for n, (first, _) in sums.items()])
+    along = Window.partitionBy(*key).orderBy("__block")  # a row for each block
+    w = along.rowsBetween(1, Window.unboundedFollowing) if ahead else along.rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*key, "__block", *[second.over(w).alias(n) for n, (_, second) in sums.items()])
+    return rjoin(df, parts, [*key, "__block"])
+
 
 def shift(df: DataFrame, key: Sequence[str], order: str, c: str, k: int = 1, out: str | None = None,
           default=None) -> DataFrame:
     """Value k rows later (k > 0) or earlier (k < 0) along a stated order."""
-    w = Window.partitionBy(*key).orderBy(order)
-    col = F.lead(c, k, default) if k >= 0 else F.lag(c, -k, default)
-    return df.withColumn(out or f"{c}_shift{k}", col.over(w))
+    name = out or f"{c}_shift{k}"
+    move = F.lead(c, k, default) if k >= 0 else F.lag(c, -k, default)
+    if not k or not _is_long(df, key):
+        return df.withColumn(name, move.over(Window.partitionBy(*key).orderBy(order)))
+    rows = _carry(_blocks(df, key, [order]), key, __before=(F.count(F.lit(1)), F.sum("__before")))
+    at = F.row_number().over(Window.partitionBy(*key, "__block").orderBy(order)) + F.coalesce(F.col("__before"), F.lit(0))
+    rows = rows.withColumn("__at", (at - 1).cast("long"))
+    length = max(PIECE, abs(k))
+    # rows that the neighbouring piece looks at go there too
+    piece, within = F.floor(F.col("__at") / length), F.pmod("__at", F.lit(length))
+    near, other = (within < k, piece - 1) if k > 0 else (within >= length + k, piece + 1)
+    none = F.lit(None).cast("long")
+    copies = F.filter(F.array(piece, F.when(near & (other >= 0), other).otherwise(none)), lambda x: x.isNotNull())
+    rows = rows.withColumns({"__home": piece, "__piece": F.explode(copies)})
+    rows = rows.withColumn(name, move.over(Window.partitionBy(*key, "__piece").orderBy("__at")))
+    return rows.where(F.col("__home") == F.col("__piece")).select(*[x for x in df.columns if x != name], name)
 
 
 def cumsum(df: DataFrame, key: Sequence[str], order: Sequence[str], c: str, out: str = "cum") -> DataFrame:
-    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out, F.sum(c).over(w))
+    if not _is_long(df, key):
+        w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(out, F.sum(c).over(w))
+    rows = _carry(_blocks(df, key, order), key, __sum=(F.sum(c), F.sum("__sum")))
+    w = Window.partitionBy(*key, "__block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    own, before = F.sum(c).over(w), F.col("__sum")
+    return rows.withColumn(out, F.coalesce(own + before, own, before)).drop("__block", "__sum")
 
 
 def locf(df: DataFrame, key: Sequence[str], order: str, c: str, out: str | None = None) -> DataFrame:
     """Last known value carried forward."""
-    w = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out or c, F.last(c, ignorenulls=True).over(w))
+    if not _is_long(df, key):
+        w = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(out or c, F.last(c, ignorenulls=True).over(w))
+    last = F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(order)))
+    rows = _carry(_blocks(df, key, [order]), key, __last=(last, F.last("__last", ignorenulls=True)))
+    w = Window.partitionBy(*key, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn(out or c, F.coalesce(F.last(c, ignorenulls=True).over(w), F.col("__last"))).drop("__block", "__last")
 
 
 def interpolate(df: DataFrame, key: Sequence[str], order: str, c: str, out: str | None = None) -> DataFrame:
@@ -38,23 +87,34 @@ def interpolate(df: DataFrame, key: Sequence[str], order: str, c: str, out: str
 
     Keys with fewer than two known points keep their column as it is.
     """
-    base = Window.partitionBy(*key).orderBy(order)
-    back = base.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = base.rowsBetween(0, Window.unboundedFollowing)
-    whole = Window.partitionBy(*key)
     point = F.when(F.col(c).isNotNull(), F.struct(F.col(order).cast("double").alias("t"),
                                                   F.col(c).cast("double").alias("v")))
+    spread = _is_long(df, key)
+    columns, by = df.columns, list(key)
+    if spread:
+        df = _blocks(df, key, [order])
+        df = _carry(df, key, __p0=(F.max(point), F.last("__p0", ignorenulls=True)), __k0=(F.count(c), F.sum("__k0")))
+        df = _carry(df, key, True, __q0=(F.min(point), F.first("__q0", ignorenulls=True)), __k1=(F.count(c), F.sum("__k1")))
+        by.append("__block")
+    base = Window.partitionBy(*by).orderBy(order)
+    back = base.rowsBetween(Window.unboundedPreceding, 0)
+    ahead = base.rowsBetween(0, Window.unboundedFollowing)
+    whole = Window.partitionBy(*by)
     df = df.withColumns({"__p": F.last(point, ignorenulls=True).over(back),
                          "__q": F.first(point, ignorenulls=True).over(ahead),
                          "__known": F.count(c).over(whole)})
     t = F.col(order).cast("double")
-    p, q = F.col("__p"), F.col("__q")
+    p, q, known = F.col("__p"), F.col("__q"), F.col("__known")
+    if spread:
+        p, q = F.coalesce(p, F.col("__p0")), F.coalesce(q, F.col("__q0"))
+        known = known + F.coalesce(F.col("__k0"), F.lit(0)) + F.coalesce(F.col("__k1"), F.lit(0))
     slope = F.try_divide(q["v"] - p["v"], q["t"] - p["t"])
     value = (F.when(F.col(c).isNotNull(), F.col(c).cast("double"))
              .when(p.isNull(), q["v"]).when(q.isNull(), p["v"])
              .otherwise(p["v"] + slope * (t - p["t"])))
-    filled = F.when(F.col("__known") >= 2, value).otherwise(F.col(c).cast("double"))
-    return df.withColumn(out or c, filled).drop("__p", "__q", "__known")
+    filled = F.when(known >= 2, value).otherwise(F.col(c).cast("double"))
+    out = out or c
+    return df.withColumn(out, filled).select(*columns, *([] if out in columns else [out]))
 
 
 def zscore(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), suffix: str = "_std") -> DataFrame:

@@ -69,6 +69,34 @@ def test_interpolation_passes_known_points(spark, values):
         assert out == pytest.approx(list(np.interp(range(len(values)), known, [values[i] for i in known])))
 
 
+def test_a_long_key_is_spread_with_the_same_answers(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    keys = ["hot"] * 900 + ["b"] * 40 + [None] * 30 + ["one"]
+    data = [(k, i, None if rng.random() < 0.6 else float(rng.integers(0, 50)), i % 7) for i, k in enumerate(keys)]
+    data += [("empty", i, None, 0) for i in range(25)] + [("lone", i, 4.0 if i == 3 else None, 0) for i in range(9)]
+    data = [data[i] for i in rng.permutation(len(data))]
+    df = spark.createDataFrame(data, "k string, t int, v double, x int")
+
+    def rows(out):
+        return sorted((tuple(r) for r in out.select(sorted(out.columns)).collect()), key=str)
+
+    calls = {f"shift {k}": lambda k=k, d=d: panel.shift(df, ["k"], "t", "x", k, default=d)
+             for k, d in ((1, None), (-1, 99), (45, None), (-130, None), (400, 5))}
+    calls |= {"sum": lambda: panel.cumsum(df, ["k"], ["t"], "v"), "locf": lambda: panel.locf(df, ["k"], "t", "v"),
+              "line": lambda: panel.interpolate(df, ["k"], "t", "v"), "named": lambda: panel.interpolate(df, ["k"], "t", "v", "w"),
+              "replaced": lambda: panel.interpolate(df, ["k"], "t", "v", "x"), "no key": lambda: panel.cumsum(df, [], ["t", "k"], "x")}
+    plain = {n: f() for n, f in calls.items()}
+    kept = {n: (rows(o), o.columns) for n, o in plain.items()}
+    monkeypatch.setattr(panel, "LONG_KEY", 10)
+    monkeypatch.setattr(panel, "PIECE", 50)
+    for n, f in calls.items():
+        out = f()
+        assert sorted(out.columns) == sorted(kept[n][1]), n
+        assert rows(out) == kept[n][0], n
+    blocks = panel._blocks(df, ["k"], ["t"])
+    assert blocks.where("k = 'hot'").select("__block").distinct().count() > 4
+
+
 def test_allocation_keeps_totals(spark):
     points = spark.createDataFrame([(1, "a", 10.0), (1, "b", 5.0), (1, "a", 2.0)], "y int, zip string, v double")
     cw = spark.createDataFrame([("a", "p", 0.25), ("a", "q", 0.75), ("b", "q", 1.0)], "zip string, area string, ratio double")
