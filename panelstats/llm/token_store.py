@@ -118,10 +118,19 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """One row per document: id, place of its frame, count of ids, ids of the store before it. Payloads stay unread."""
     blocks = spark.read.parquet(f"{path}/blocks").select("shard", "block", "before", "ids", "ends", "counts")
-    rows = blocks.select("shard", "block", "before", "counts", F.posexplode(F.arrays_zip("ids", "ends", "counts")).alias("at", "d"))
-    earlier = F.aggregate(F.slice("counts", F.lit(1), F.col("at")), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    placed = rows.select("shard", "block", F.col("d.ids").alias("doc_id"), F.col("d.ends").alias("frame_end"), F.col("d.counts").alias("n_tokens"),
-                         (F.col("before") + earlier).alias("own_start"))
+    id_type = blocks.schema["ids"].dataType.elementType.simpleString()
+
+    def places(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                shard, block, before, keys, ends, counts = (batch.column(c)[k] for c in range(6))
+                counts = counts.values.to_numpy(zero_copy_only=False).astype(np.int64)
+                starts = before.as_py() + np.cumsum(counts) - counts
+                n = len(counts)
+                yield pa.RecordBatch.from_arrays([pa.array([shard.as_py()] * n, pa.int32()), pa.array([block.as_py()] * n, pa.int32()), keys.values, ends.values,
+                                                  pa.array(counts), pa.array(starts)], names=["shard", "block", "doc_id", "frame_end", "n_tokens", "own_start"])
+
+    placed = map_arrow(blocks, places, f"shard int, block int, doc_id {id_type}, frame_end bigint, n_tokens bigint, own_start bigint")
     return placed.join(spark.read.parquet(f"{path}/shards"), "shard").withColumn("start", F.col("shard_start") + F.col("own_start")).drop("own_start", "shard_start")
 
 
@@ -169,9 +178,8 @@ def fetch(spark: SparkSession, path: str, doc_id) -> list[np.ndarray]:
     row = spark.read.parquet(f"{path}/dictionary").first()
     known = zstandard.ZstdCompressionDict(bytes(row["dictionary"])) if row["dictionary"] else None
     blocks = spark.read.parquet(f"{path}/blocks")
-    wanted = blocks.where(F.array_contains("ids", F.lit(doc_id))).select("ends", F.explode(F.sequence(F.lit(1), F.size("ids"))).alias("k"), "ids", "payload") \
-        .where(F.element_at("ids", F.col("k")) == F.lit(doc_id))
-    begin = F.when(F.col("k") > 1, F.element_at("ends", (F.col("k") - 1).cast("int"))).otherwise(0)
-    cut = wanted.select(
-        F.substring("payload", (begin + 1).cast("int"), (F.element_at("ends", F.col("k")) - begin).cast("int")).alias("frame"))
+    hits = F.filter(F.sequence(F.lit(1), F.size("ids")), lambda k: F.element_at("ids", k) == F.lit(doc_id))
+    begin = lambda k: F.when(k > 1, F.element_at("ends", k - 1)).otherwise(F.lit(0).cast("bigint"))
+    frames = F.transform(hits, lambda k: F.substring("payload", (begin(k) + 1).cast("int"), (F.element_at("ends", k) - begin(k)).cast("int")))
+    cut = blocks.where(F.array_contains("ids", F.lit(doc_id))).select(F.explode(frames).alias("frame"))
     return [np.frombuffer(zstandard.ZstdDecompressor(dict_data=known).decompress(bytes(r.frame)), f"<u{row['width']}") for r in cut.collect()]

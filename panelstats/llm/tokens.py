@@ -3,8 +3,8 @@
 The vocabulary file is read on the driver and broadcast (a few MB, whatever the corpus), so executors need no copy of it.
 
 A file that lower-cases, drops white space and splits words by a pattern that never matches white space gives the same ids for a text as for its
-blank-separated chunks, one after the other. Such files are detected, and each task then encodes a chunk once and keeps its ids in a
-bounded cache; every other file gets the whole text.
+blank-separated chunks, one after the other. A file with exactly the rules below is known to do so, and each task then encodes a chunk once and
+keeps its ids in a bounded cache; every other file, however like it, gets the whole text.
 """
 
 from __future__ import annotations
@@ -26,6 +26,20 @@ CACHE_WORDS = 400_000
 _PLAIN = re.compile("[!-&(-~À-ÖØ-öø-ÿ]{1,200}")
 _RUNS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
+# The rules of the vocabulary for which chunks may stand for texts, as its file states them.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
+
+def _by_chunks(parts: dict) -> bool:
+    """Whether a file splits as above and does nothing else that looks beyond a chunk."""
+    model = parts.get("model") or {}
+    plain = model.get("type") == "BPE" and not model.get("dropout") and not parts.get("truncation") and not parts.get("padding")
+    special = any(" " in t["content"] or not t["content"].startswith("<|") or t.get("lstrip") or t.get("rstrip") for t in parts.get("added_tokens", []))
+    return plain and not special and parts.get("normalizer") == _NORMALIZER and parts.get("pre_tokenizer") == _SPLIT
+
 
 def broadcast_file(spark: SparkSession, path: str):
     """The text of a vocabulary file, for ``encoder`` on the workers."""
@@ -83,11 +97,7 @@ class Encoder:
         parts = json.loads(definition)
         self.library = Tokenizer.from_str(definition)
         self.dtype = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
-        steps = [s.get("type") for s in (parts.get("normalizer") or {}).get("normalizers", [])]
-        split = ((parts.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
-        drops = steps == ["NFC", "Replace", "Lowercase"] and split.get("behavior") == "Removed" and split.get("invert") is True
-        special = any(" " in t["content"] or not t["content"].startswith("<|") for t in parts.get("added_tokens", []))
-        self.chunks = _Chunks(self.library, self.dtype) if drops and not special else None
+        self.chunks = _Chunks(self.library, self.dtype) if _by_chunks(parts) else None
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and n + 1 bounds of each text's ids. Null texts count as empty."""

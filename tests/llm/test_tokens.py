@@ -30,6 +30,28 @@ def odd(spark):
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 
+def test_only_the_known_rules_are_taken_by_chunks():
+    import json
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    with open(queries.WORDS, encoding="utf-8") as f:
+        known = json.load(f)
+    assert Encoder(json.dumps(known)).chunks is not None
+    digits, spaces, cut = (json.loads(json.dumps(known)) for _ in range(3))
+    digits["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = known["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace("[\\p{N}]|", "[\\p{N}]+|")
+    spaces["normalizer"]["normalizers"][1]["content"] = "_"
+    cut["truncation"] = {"direction": "Right", "max_length": 3, "strategy": "LongestFirst", "stride": 0}
+    for other in (digits, spaces, cut):
+        assert other != known
+        code = Encoder(json.dumps(other))
+        assert code.chunks is None
+        text = "in 2024 we paid 1234 of 99"
+        ids, _ = code.encode(pa.array([text]))
+        assert ids.tolist() == Tokenizer.from_str(json.dumps(other)).encode(text, add_special_tokens=False).ids
+
+
 def test_chunks_encode_as_whole_texts():
     rng = random.Random(2)
     letters = "abzAZéÉßẞñ'’ \n\t09.,!*<|>#́­　ﬁⅣσΣ"
