@@ -82,6 +82,18 @@ def ols_absorb(spark, sf):
     return coef(fit.cluster("l_suppkey").tidy(), 5)
 
 
+@query("q_ols_levels", f"""WITH l AS (SELECT l_partkey AS level, count(*) AS n, avg(l_quantity) AS mx, avg(l_extendedprice) AS my FROM lineitem GROUP BY ALL),
+b AS (SELECT sum((l_quantity - mx) * (l_extendedprice - my)) / sum(pow(l_quantity - mx, 2)) AS b, sum(pow(l_quantity - mx, 2)) AS sxx FROM lineitem JOIN l ON l_partkey = level),
+e AS (SELECT sum(pow(l_extendedprice - my - b * (l_quantity - mx), 2)) / (count(*) - count(DISTINCT level) - 1) AS s2 FROM lineitem JOIN l ON l_partkey = level, b),
+z AS (SELECT level AS l0, n AS n0, mx AS mx0, my AS my0 FROM l ORDER BY level LIMIT 1)
+SELECT level, CAST(n AS DOUBLE) AS n, {q('my - b * mx', 3)} AS effect, {q('CASE WHEN level = l0 THEN 0 ELSE my - my0 - b * (mx - mx0) END', 3)} AS estimate,
+       {q('CASE WHEN level = l0 THEN 0 ELSE sqrt(s2 * (1.0 / n + 1.0 / n0 + pow(mx - mx0, 2) / sxx)) END', 3)} AS std_error FROM l, b, e, z""")
+def ols_levels(spark, sf):
+    """Coefficients of a factor of any number of levels, a row each."""
+    fit = linear.ols(table(spark, sf, "lineitem"), "l_extendedprice ~ l_quantity", absorb="l_partkey")
+    return rounded(linear.level_table(fit), "effect", "estimate", "std_error", digits=3).drop("conf_low", "conf_high")
+
+
 @query("q_wls", f"""WITH w AS (SELECT l_quantity AS w, l_discount AS x, l_extendedprice AS y FROM lineitem),
 m AS (SELECT sum(w) AS sw, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my, count(*) AS n FROM w),
 b AS (SELECT sum(w * (x - mx) * (y - my)) / sum(w * pow(x - mx, 2)) AS b, sum(w * pow(x - mx, 2)) AS sxx, any_value(mx) AS mx, any_value(my) AS my, any_value(n) AS n FROM w, m),

@@ -68,6 +68,13 @@ class Formula:
         found = [t for t in found if t not in (("0",), ("1",))]
         self.terms = sorted(found, key=len)
 
+    def without(self, variable: str) -> str | None:
+        """The formula less a variable that stands only for itself; None if products use it."""
+        if (variable,) not in self.terms or any(variable in t and len(t) > 1 for t in self.terms):
+            return None
+        rest = [":".join(t) for t in self.terms if t != (variable,)]
+        return f"{self.response} ~ " + " + ".join(["1" if self.intercept else "0", *rest])
+
     @property
     def variables(self) -> list[str]:
         return list(dict.fromkeys(v for t in self.terms for v in t))
@@ -248,8 +255,17 @@ def _ylogy() -> Column:
     return F.when(F.col("__y") > 0, F.col("__w") * F.col("__y") * F.ln("__y")).otherwise(F.lit(0.0))
 
 
+#: Levels that a factor may have as columns of its own.
 MAX_LEVELS = 5000
 
+
+class TooManyLevels(ValueError):
+    """A factor whose levels would be too many columns; ``variable`` names it."""
+
+    def __init__(self, variable: str, count: int):
+        super().__init__(f"{variable} has about {count} levels, too many for a column each")
+        self.variable = variable
+
 _NUMBERS = ("double", "float", "integer", "long", "short", "byte")
 
 
@@ -329,7 +345,7 @@ def _describe(frame: DataFrame, variables: Sequence[str], field_of: Mapping[str,
     row = frame.agg(*aggs).first().asDict() if aggs else {}
     for v in open_factors:
         if row[field_of[v]] > MAX_LEVELS:
-            raise ValueError(f"{v} has about {row[field_of[v]]} levels: absorb it instead of one column each")
+            raise TooManyLevels(v, row[field_of[v]])
     if open_factors:
         sets = [F.sort_array(F.collect_set(field_of[v])).alias(field_of[v]) for v in open_factors]
         row.update(frame.agg(*sets).first().asDict())

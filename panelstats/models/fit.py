@@ -82,6 +82,8 @@ class Fit:
     use_t: bool = False
     clusters: dict[str, str] | None = None
     n_par: int | None = None
+    level_sums: DataFrame | None = None
+    clustered: bool = False
 
     @property
     def design(self) -> Design:
@@ -142,7 +144,7 @@ class Fit:
             meat *= (self.n - 1.0) / self.df_resid  # absorbed levels count too
         v = self.bread @ meat @ self.bread
         m = self.undo[np.ix_(keep, keep)]
-        return replace(self, vcov=m @ v @ m.T)
+        return replace(self, vcov=m @ v @ m.T, clustered=True)
 
     # -- tables -----------------------------------------------------------------------------
 

@@ -16,7 +16,7 @@ from ..operators.joins import rjoin
 from ..session import stage
 from . import absorbed
 from .accumulate import accumulate, group_sums
-from .design import Design, model_frame
+from .design import Design, Formula, TooManyLevels, model_frame, reads
 from .fit import Fit, cluster_map, independent_columns, inverse
 
 
@@ -107,9 +107,22 @@ def quasi_poisson(df: DataFrame, formula: str, weights: str | None = None, clust
                   absorb: str | Sequence[str] | None = None) -> Fit:
     """Log-link count model; the covariance carries the Pearson dispersion.
 
-    ``absorb`` takes one factor or two of any number of levels out instead of one column for each level.
+    ``absorb`` takes one factor or two of any number of levels out instead of one column for each level. A factor of the
+    formula with too many levels for columns is absorbed too, unless products use it.
     """
     absorb = [absorb] if isinstance(absorb, str) else list(absorb or [])
+    try:
+        return _count_model(df, formula, weights, cluster, levels, compress, absorb)
+    except TooManyLevels as big:
+        rest = Formula(formula).without(big.variable)
+        if rest is None:
+            raise
+        more = [c for c in reads(big.variable, df.columns) if c not in absorb]
+        return quasi_poisson(df, rest, weights, cluster, levels, compress, [*absorb, *more])
+
+
+def _count_model(df: DataFrame, formula: str, weights: str | None, cluster: Sequence[str], levels: Mapping[str, Sequence] | None,
+                 compress: bool | None, absorb: list[str]) -> Fit:
     if len(absorb) > 2:
         raise ValueError("absorb the two largest factors and write the others into the formula")
     if len(absorb) == 2:

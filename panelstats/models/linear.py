@@ -10,10 +10,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.joins import rjoin
-from ..session import stage_table
+from ..session import ship, stage_table
 from .absorbed import level_effects, rank
 from .accumulate import accumulate, group_sums
-from .design import Formula, ModelFrame, model_frame, variable_column
+from .design import Formula, ModelFrame, TooManyLevels, model_frame, reads, variable_column
+from .dist import t_quantile
 from .fit import Fit, cluster_map, independent_columns, inverse, table_frame
 from .threads import single
 
@@ -46,12 +47,21 @@ def ols(df: DataFrame, formula: str, weights: str | None = None, cluster: Sequen
     """Linear model, weighted if asked.
 
     Name columns for later clustering in ``cluster``. ``absorb`` takes factors of any number of
-    levels out by their group means instead of dummy columns.
+    levels out by their group means instead of dummy columns. A factor of the formula with too many levels for
+    columns is absorbed too, unless products use it; with one absorbed factor, ``level_table`` gives its coefficients.
     """
-    if absorb is not None:
-        return _absorbed(df, formula, weights, cluster, levels, [absorb] if isinstance(absorb, str) else list(absorb))
-    frame = model_frame(df, formula, weights, cluster, levels, compress)
-    return fit_frame(frame, cluster)
+    taken = [absorb] if isinstance(absorb, str) else list(absorb or [])
+    while True:
+        try:
+            if taken:
+                return _absorbed(df, formula, weights, cluster, levels, taken)
+            return fit_frame(model_frame(df, formula, weights, cluster, levels, compress), cluster)
+        except TooManyLevels as big:
+            rest = Formula(formula).without(big.variable)
+            if rest is None:
+                raise
+            formula = rest
+            taken += [c for c in reads(big.variable, df.columns) if c not in taken]
 
 
 def fit_frame(frame: ModelFrame, cluster: Sequence[str] = (), lost_df: int = 0) -> Fit:
@@ -118,9 +128,52 @@ def _absorbed(df: DataFrame, formula: str, weights: str | None, cluster: Sequenc
     fit = fit_frame(frame, [f"k{i}" for i in range(len(cluster))], lost_df)
     fit.names = [n for n, _ in cols]
     fit.clusters = {c: f"e{i}" for i, c in enumerate(cluster)}
+    if len(groups) == 1:
+        fit.level_sums = cells
     return fit
 
 
+def level_table(fit: Fit, conf: float = 0.95) -> DataFrame:
+    """Coefficients of the one absorbed factor as a DataFrame: ``level, n, effect, estimate, std_error, conf_low, conf_high``.
+
+    ``effect`` is the level's mean response where all regressors are 0; ``estimate`` is its difference from the first level in order, as a
+    column of its own would give it, with the error of the plain covariance. Only the first level's sums pass through the driver.
+    """
+    if fit.level_sums is None:
+        raise ValueError("fit with one absorbed factor; the effects of several have no common zero")
+    if fit.clustered:
+        raise ValueError("level effects have plain errors: take them before clustering")
+    k = len(fit.names)
+    beta, v = fit.full_coef(), fit.full_vcov()
+    names = [f"c{i}" for i in range(k)]
+    sums = fit.level_sums.where(F.col("g0").isNotNull())
+    first = sums.orderBy("g0").limit(1).toPandas()
+    if first.empty:
+        return sums.select(F.col("g0").alias("level"), *[F.lit(None).cast("double").alias(c) for c in ("n", "effect", "estimate", "std_error", "conf_low", "conf_high")])
+
+    def parts(pdf):
+        size = pdf["size"].to_numpy(dtype=float)
+        x = pdf[names].to_numpy(dtype=float).reshape(len(pdf), k) / size[:, None]
+        return size, x, pdf["cy"].to_numpy(dtype=float) / size - x @ beta
+
+    n0, x0, e0 = parts(first)
+    base, s2, crit = first["g0"].iloc[0], fit.sigma2, t_quantile(0.5 + conf / 2, fit.df_resid)
+
+    def rows(batches):
+        for pdf in batches:
+            size, x, effect = parts(pdf)
+            away = (pdf["g0"] != base).to_numpy(dtype=float)
+            gap = x - x0
+            se = np.sqrt(np.maximum(s2 * (1 / size + 1 / n0) + ((gap @ v) * gap).sum(1), 0.0)) * away
+            est = (effect - e0) * away
+            yield pd.DataFrame({"level": pdf["g0"], "n": size, "effect": effect, "estimate": est, "std_error": se,
+                                "conf_low": est - crit * se, "conf_high": est + crit * se})
+
+    kind = sums.schema["g0"].dataType.simpleString()
+    ship(fit.spark)
+    return sums.mapInPandas(rows, f"level {kind}, n double, effect double, estimate double, std_error double, conf_low double, conf_high double")
+
+
 def _less_both(base: DataFrame, cells: DataFrame, groups: Sequence[str], values: Sequence[str]) -> DataFrame:
     """``base`` with ``values`` less the effects of two factors."""
     counts = [cells.select(g).distinct().count() for g in groups]

@@ -472,3 +472,36 @@ def test_simulated_means_of_a_linear_fit_are_the_draws_at_the_mean_row(spark):
         at = effects.counterfactual(fit, df, grid).orderBy("x").toPandas()
         assert np.abs(out.fit - at.fit).max() < 5 * out.sd.max() / math.sqrt(400)
         assert (out.fit_low < out.fit).all() and (out.fit < out.fit_high).all()
+
+
+def test_a_factor_of_too_many_levels_is_absorbed_by_itself(data, monkeypatch):
+    from panelstats.models import design as frames
+    df, p = data
+    dense = linear.ols(df, "y ~ z + f + factor(g) + factor(h)", weights="w")
+    count = glm.quasi_poisson(df, "c ~ z + f + factor(g)")
+    one = linear.ols(df, "y ~ z + f + factor(g)", weights="w")
+    with pytest.raises(ValueError, match="one absorbed factor"):
+        linear.level_table(one)
+    monkeypatch.setattr(frames, "MAX_LEVELS", 5)
+    for wide, fit in ((dense, linear.ols(df, "y ~ z + f + factor(g) + factor(h)", weights="w")), (one, linear.ols(df, "y ~ z + f + factor(g)", weights="w")),
+                      (count, glm.quasi_poisson(df, "c ~ z + f + factor(g)"))):
+        assert fit.df_resid == wide.df_resid
+        a, b = fit.table().set_index("term"), wide.table().set_index("term")
+        assert list(a.index) == ["z", "fTRUE"]
+        for t in a.index:
+            assert a.loc[t].to_list() == pytest.approx(b.loc[t].to_list(), rel=1e-5)
+    fit = linear.ols(df, "y ~ z + f + factor(g)", weights="w", cluster=["h"])
+    got = {r["level"]: r for r in linear.level_table(fit).collect()}
+    known = one.table().set_index("term")
+    assert sorted(got) == sorted(p.g.unique()) and got[0]["estimate"] == got[0]["std_error"] == 0
+    assert got[0]["effect"] == pytest.approx(known.loc["(Intercept)", "estimate"])
+    for g in sorted(got)[1:]:
+        row = known.loc[f"factor(g){g}"]
+        for c in ("estimate", "std_error", "conf_low", "conf_high"):
+            assert got[g][c] == pytest.approx(row[c], rel=1e-6), (g, c)
+    with pytest.raises(ValueError, match="before clustering"):
+        linear.level_table(fit.cluster("h"))
+    with pytest.raises(ValueError, match="too many"):
+        linear.ols(df, "y ~ z*factor(g)")
+    bare = linear.ols(df, "y ~ factor(g)")
+    assert {r["level"]: r["effect"] for r in linear.level_table(bare).collect()} == pytest.approx(p.groupby("g").y.mean().to_dict())
