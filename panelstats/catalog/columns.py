@@ -141,6 +141,34 @@ def file_roundtrip(spark, sf):
         F.count("*").alias("n"), r(F.sum("c_acctbal"), 2).alias("balance"))
 
 
+@query("q_footer_csv", """
+SELECT c_custkey, CASE WHEN c_mktsegment <> 'BUILDING' THEN c_name END AS c_name, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS c_acctbal FROM customer""")
+def footer_csv(spark, sf):
+    """Files that start with a byte-order mark and hold null tokens, notes and blank rows."""
+    c = table(spark, sf, "customer")
+    token = F.lit("(NA)")
+    rows = c.select(F.col("c_custkey").cast("string").alias("\ufeffc_custkey"), F.when(F.col("c_mktsegment") == "BUILDING", token).otherwise(F.col("c_name")).alias("c_name"),
+                    F.when(F.col("c_acctbal") < 0, token).otherwise(F.col("c_acctbal").cast("string")).alias("c_acctbal"))
+    none = F.lit(None).cast("string")
+    notes = table(spark, sf, "region").select(F.concat(F.lit("Note on "), "r_name"), none, none).union(table(spark, sf, "region").select(none, none, none))
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    io.save_csv(rows.union(notes), path)
+    return io.load_csv(spark, path, "c_custkey long, c_name string, c_acctbal double", nulls=["(NA)"], key="c_custkey")
+
+
+@query("q_valid_window", f"""
+SELECT o_orderstatus, count(*) AS n, count(v) AS kept, {q('sum(v)', 2)} AS total FROM (
+  SELECT o.o_orderstatus, CASE WHEN year(o_orderdate) BETWEEN first AND last THEN o_totalprice END AS v
+  FROM orders o LEFT JOIN (VALUES ('F', 1995, 1997), ('O', 1996, 2000)) w(status, first, last) ON o_orderstatus = status) GROUP BY ALL""")
+def valid_window(spark, sf):
+    """Values outside the window that a literal table states are blanked; a status without one keeps none."""
+    from ..operators.joins import rjoin
+    windows = io.literal_table(spark, "status string, first int, last int", [("F", 1995, 1997), ("O", 1996, 2000)])
+    o = rjoin(table(spark, sf, "orders"), windows, {"o_orderstatus": "status"})
+    o = o.withColumn("v", fn.valid_when("o_totalprice", F.year("o_orderdate").between(F.col("first"), F.col("last"))))
+    return o.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.count("v").alias("kept"), r(F.sum("v"), 2).alias("total"))
+
+
 @query("q_ragged_text", f"""
 SELECT o_orderpriority, count(*) AS n, count(v) AS known, {q('sum(v)', 2)} AS total FROM (
   SELECT split_part(o_orderpriority, '-', 1) AS o_orderpriority, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS v FROM orders)

@@ -431,6 +431,30 @@ def area_profiles(spark, sf):
     return rounded(profiles(spark, sf).select("state", "puma", "year", *_PCOLS, "age_puma_se"), *_PCOLS, "age_puma_se", digits=4)
 
 
+_SHARES = {"black": "race = 2", "hispanic": "hispan <> 0", "owned": "ownershp = 1", "poverty_200": "poverty <= 200 AND poverty <> 0", "unemployed": "empstat = 2 AND age >= 25",
+           "poverty_100": "poverty <= 100 AND poverty <> 0"}
+_MEANS = ["inctot", "hwsei", "valueh", "rent", "costelec"]
+
+
+def _measures_sql() -> str:
+    values = {k: f"CASE WHEN {c} THEN 100.0 WHEN NOT ({c}) THEN 0.0 END" for k, c in _SHARES.items()} | {c: c for c in _MEANS}
+    sums = ", ".join(f"count({v}) AS n_{k}, sum(CASE WHEN {v} IS NOT NULL THEN perwt END) AS w_{k}, sum(perwt * {v}) / sum(CASE WHEN {v} IS NOT NULL THEN perwt END) AS m_{k}, "
+                     f"sum(CASE WHEN {v} IS NOT NULL THEN perwt * perwt END) AS a_{k}, sum(perwt * perwt * {v}) AS b_{k}, sum(perwt * perwt * {v} * {v}) AS c_{k}" for k, v in values.items())
+    se = lambda k: f"CASE WHEN n_{k} > 1 THEN sqrt(greatest(n_{k} / ((n_{k} - 1.0) * w_{k} * w_{k}) * (c_{k} - 2 * m_{k} * b_{k} + m_{k} * m_{k} * a_{k}), 0)) END"
+    cols = ", ".join(f"{q(f'm_{k}', 3)} AS {k}_puma, {q(se(k), 2)} AS {k}_puma_se" for k in values)
+    return f"""WITH {CLEAN_SQL}, s AS (SELECT state, puma, year, {sums} FROM clean GROUP BY ALL)
+SELECT state, puma, year, {cols}, {q('CASE WHEN m_inctot > 0 THEN ln(m_inctot) END')} AS log_inctot_puma, {q(f'CASE WHEN m_inctot > 0 THEN {se("inctot")} / m_inctot END', 4)} AS log_inctot_puma_se FROM s"""
+
+
+@query("q_area_measures", _measures_sql())
+def area_measures(spark, sf):
+    """The other shares and means of an area, each with its error."""
+    names = [f"{k}_puma" for k in [*_SHARES, *_MEANS]]
+    out = profiles(spark, sf).select("state", "puma", "year", *names, *[f"{c}_se" for c in names], "log_inctot_puma", "log_inctot_puma_se")
+    out = rounded(rounded(out, *names, digits=3), *[f"{c}_se" for c in names], digits=2)
+    return rounded(rounded(out, "log_inctot_puma"), "log_inctot_puma_se", digits=4)
+
+
 _NP = """
 fine AS (SELECT lpad(CAST(p_partkey AS VARCHAR), CAST(greatest(5, length(CAST(p_partkey AS VARCHAR))) AS INTEGER), '0') AS zip, p_partkey % 300 AS tract, 0.7 AS ratio FROM part
          UNION ALL SELECT lpad(CAST(p_partkey AS VARCHAR), CAST(greatest(5, length(CAST(p_partkey AS VARCHAR))) AS INTEGER), '0'), (p_partkey * 7) % 300, 0.3 FROM part),
