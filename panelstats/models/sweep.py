@@ -6,12 +6,17 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from ..session import ship
+from ..operators.joins import rjoin
+from ..session import ship, stage
+from .batched import fit_panels
 from .glm import panel_fit
 from .linear import ols_variants
 
+#: Cells of a panel that one task fits.
+PANEL_CELLS = 200_000
+
 
 def sweep(df: DataFrame, key: Sequence[str], formula: str, y: str, factors: Sequence[str],
           cluster: str | None = None, terms: Sequence[str] | None = None,
@@ -21,7 +26,8 @@ def sweep(df: DataFrame, key: Sequence[str], formula: str, y: str, factors: Sequ
     A panel that is singular or does not converge keeps its rows, with null estimates and the reason: one for each
     of ``terms``, or a single one without a term where they are not named. Other errors are raised.
     Keys run side by side. Pass aggregated count panels: a group is the product of its
-    levels, however many rows were counted into it.
+    levels, however many rows were counted into it. A panel beyond ``PANEL_CELLS`` cells isn't given to one task: such panels
+    step together by rounds over all tasks (``batched``).
     """
     ship(df.sparkSession)
     key = list(key)
@@ -42,7 +48,12 @@ def sweep(df: DataFrame, key: Sequence[str], formula: str, y: str, factors: Sequ
             out.insert(i, k, pdf[k].iloc[0])
         return out
 
-    return df.groupBy(*key).applyInPandas(run, f"{fields}, term string, estimate double, std_error double, cells bigint, problem string")
+    schema = f"{fields}, term string, estimate double, std_error double, cells bigint, problem string"
+    long = stage(df.groupBy(*key).count().where(F.col("count") > PANEL_CELLS).select(*key))
+    if long.isEmpty():
+        return df.groupBy(*key).applyInPandas(run, schema)
+    whole = rjoin(df, long, key, "left_anti").groupBy(*key).applyInPandas(run, schema)
+    return whole.unionByName(fit_panels(rjoin(df, long, key, "left_semi"), key, formula, y, factors, cluster, terms, levels))
 
 
 def placebo_cutoffs(df: DataFrame, formula: str, time: str, cutoffs: Sequence[int], cluster: Sequence[str],

@@ -505,3 +505,33 @@ def test_a_factor_of_too_many_levels_is_absorbed_by_itself(data, monkeypatch):
         linear.ols(df, "y ~ z*factor(g)")
     bare = linear.ols(df, "y ~ factor(g)")
     assert {r["level"]: r["effect"] for r in linear.level_table(bare).collect()} == pytest.approx(p.groupby("g").y.mean().to_dict())
+
+
+def test_long_panels_of_a_sweep_step_together(spark, monkeypatch):
+    from panelstats.models import batched
+    rng = np.random.default_rng(6)
+    rows = [(k, u, t, float(rng.poisson(np.exp(1 + 0.1 * u - 0.05 * t + (0.5 if u > 3 and t > 4 else 0)))), float(rng.normal()))
+            for k, units in (("a", 8), ("b", 6), (None, 7)) for u in range(units) for t in range(9)]
+    rows += [("empty", u, t, 0.0, 0.1 * t) for u in range(3) for t in range(3)] + [("unknown", u, t, None if u == t else 1.0, 0.1 * t) for u in range(3) for t in range(3)]
+    rows += [("tiny", 0, 0, 3.0, 0.0), *rows[:40]]  # some cells repeat
+    df = spark.createDataFrame(rows, "k string, u int, t int, n double, z double").withColumn("p", ((F.col("u") > 3) & (F.col("t") > 4)).cast("double"))
+    args = (["k"], "n ~ p + z + u + t", "n", ["u", "t"])
+
+    def got(cluster, terms):
+        return {(r.k, r.term): r for r in sweep.sweep(df, *args, cluster, terms).collect()}
+
+    plain = [got("u", ["p", "z"]), got(None, ["p", "z"]), got("u", None)]
+    monkeypatch.setattr(sweep, "PANEL_CELLS", 0)
+    monkeypatch.setattr(batched, "CHUNK", 10)
+    for known, found in zip(plain, [got("u", ["p", "z"]), got(None, ["p", "z"]), got("u", None)]):
+        assert {k for k, _ in found} == {"a", "b", None, "empty", "unknown", "tiny"}
+        for k, term in found:
+            if term in ("p", "z") and k in ("a", "b", None):
+                a, b = known[k, term], found[k, term]
+                assert (b.estimate, b.std_error) == (pytest.approx(a.estimate, rel=1e-7), pytest.approx(a.std_error, rel=1e-6))
+                assert b.cells == a.cells and b.problem is None
+            elif k in ("empty", "unknown") and known.get((k, term)) is not None and known[k, term].estimate is None:
+                assert found[k, term].estimate is None
+    monkeypatch.setattr(sweep, "PANEL_CELLS", 60)  # some panels in one task, some in rounds
+    mixed_ways = got("u", ["p"])
+    assert len(mixed_ways) == 6 and mixed_ways["a", "p"].estimate == pytest.approx(plain[0]["a", "p"].estimate)
