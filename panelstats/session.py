@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,12 +51,42 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Owners of staged files, the innermost last.
+_OWNERS: list[list[str]] = []
+
+
+@contextmanager
+def stages(spark: SparkSession) -> Iterator[None]:
+    """Own what is staged inside: tables and checkpoints are deleted at the end, also after an error.
+
+    Results that read them must be written or collected before. Inside another owner, the inner one deletes its own.
+    Without an owner staged files stay until someone clears the folder (checkpoints: or until Spark's cleaner does,
+    with ``spark.cleaner.referenceTracking.cleanCheckpoints``).
+    """
+    owned: list[str] = []
+    _OWNERS.append(owned)
+    try:
+        yield
+    finally:
+        _OWNERS[:] = [o for o in _OWNERS if o is not owned]
+        hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsparkSession.sessionState().newHadoopConf()
+        for path in owned:
+            folder = hadoop.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+
+
+def _own(path: str) -> None:
+    if _OWNERS:
+        _OWNERS[-1].append(path)
+
+
 def stage_table(df: DataFrame) -> DataFrame:
     """Write a row-level intermediate as a Parquet table of the shared folder and read it back.
 
     Several analyses then read only the columns they need.
     """
     path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    _own(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -67,7 +99,12 @@ def stage(df: DataFrame) -> DataFrame:
     names in ``spark.checkpoint.dir``: it outlives lost executors.
     """
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if _OWNERS:
+        file = out._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if file.isDefined():
+            _own(file.get())
+    return out
 
 
 def ship(spark: SparkSession) -> None:

@@ -1,4 +1,5 @@
 import math
+import os
 
 import numpy as np
 import pytest
@@ -97,6 +98,31 @@ def test_a_long_key_is_spread_with_the_same_answers(spark, monkeypatch):
     assert blocks.where("k = 'hot'").select("__block").distinct().count() > 4
 
 
+def test_an_owner_deletes_what_was_staged(spark):
+    from panelstats.models import linear
+    from panelstats.session import shared_folder, stage, stages
+
+    folder = shared_folder(spark).removeprefix("file:")
+
+    def files():
+        return {os.path.join(at, f) for at, _, names in os.walk(folder) for f in names}
+
+    df = spark.range(300).selectExpr("cast(id % 7 as int) as g", "cast(id * id % 11 as double) as x", "cast(id % 5 as double) as y")
+    kept = stage(df)
+    before = files()
+    with stages(spark):
+        fit = linear.ols(df, "y ~ x", absorb="g")
+        table = linear.level_table(fit).collect()
+        with stages(spark):
+            agg.quantiles(df, ["g"], "x", [0.5]).collect()
+        assert files() > before
+    assert len(table) == 7 and files() == before and kept.count() == 300
+    with pytest.raises(ZeroDivisionError), stages(spark):
+        stage(df)
+        1 / 0
+    assert files() == before
+
+
 def test_allocation_keeps_totals(spark):
     points = spark.createDataFrame([(1, "a", 10.0), (1, "b", 5.0), (1, "a", 2.0)], "y int, zip string, v double")
     cw = spark.createDataFrame([("a", "p", 0.25), ("a", "q", 0.75), ("b", "q", 1.0)], "zip string, area string, ratio double")
