@@ -65,7 +65,7 @@ def replicates(df: DataFrame, group: str, pair: Sequence, unit: Sequence[str], w
 
 
 #: Children of a node of the bootstrap's tree, on average.
-FAN = 64
+FAN = 1024
 
 
 def _replicates(cells: DataFrame, by: Sequence[str], unit: Sequence[str], boot: int, seed: int) -> DataFrame:
