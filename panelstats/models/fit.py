@@ -110,11 +110,12 @@ class Fit:
 
     # -- covariance -------------------------------------------------------------------------
 
-    def cluster(self, *cols: str) -> "Fit":
+    def cluster(self, *cols: str, repair: bool = False) -> "Fit":
         """Sandwich covariance clustered on one or several columns (inclusion-exclusion).
 
         Factor G/(G-1) per clustering, for least squares also (n-1) over the residual degrees of freedom. With several
-        columns the inclusion-exclusion need not be a covariance; its negative directions are then set to zero.
+        columns the inclusion-exclusion may give negative variances: their errors are null, or with ``repair`` a matrix that
+        has negative directions loses them, which raises other variances too.
         """
         if self.score is None or not self.clusters:
             raise ValueError("name the cluster columns when fitting")
@@ -138,13 +139,14 @@ class Fit:
                 flat = accumulate(sums, block, width * width + 1)
                 g = flat[-1]
                 meat += (-1) ** (r + 1) * g / (g - 1.0) * flat[:-1].reshape(width, width)
-        if len(fields) > 1:
-            meat = nonnegative(meat)
         if self.use_t:
             meat *= (self.n - 1.0) / self.df_resid  # absorbed levels count too
         v = self.bread @ meat @ self.bread
         m = self.undo[np.ix_(keep, keep)]
-        return replace(self, vcov=m @ v @ m.T, clustered=True)
+        v = m @ v @ m.T
+        if repair:
+            v = nonnegative(v)
+        return replace(self, vcov=v, clustered=True)
 
     # -- tables -----------------------------------------------------------------------------
 
@@ -152,12 +154,14 @@ class Fit:
         rows = []
         at = {j: i for i, j in enumerate(self.keep)}
         crit = t_quantile(0.5 + conf / 2, self.df_resid) if self.use_t else norm_quantile(0.5 + conf / 2)
+        floor = -1e-12 * float(np.abs(np.diag(self.vcov)).max(initial=0.0))  # below it, a variance isn't 0 up to rounding
         for j, name in enumerate(self.names):
             if j not in at:
                 rows.append((name, *[float("nan")] * 6))
                 continue
             b = float(self.coef[at[j]])
-            se = float(math.sqrt(max(self.vcov[at[j], at[j]], 0.0)))
+            var = float(self.vcov[at[j], at[j]])
+            se = float("nan") if var < floor else math.sqrt(max(var, 0.0))
             z = b / se if se > 0 else float("nan")
             p = t_sf2(z, self.df_resid) if self.use_t else norm_sf2(z)
             rows.append((name, b, se, z, p, b - crit * se, b + crit * se))

@@ -38,10 +38,13 @@ def test_formula_expansion():
     assert not Formula("y ~ 0 + a").intercept
 
 
-def test_a_factor_of_very_many_levels_is_refused_not_gathered(spark):
-    df = spark.range(20000).selectExpr("id", "cast(id % 7 as double) y", "cast(id as string) k")
-    with pytest.raises(ValueError, match="absorb"):
-        linear.ols(df, "y ~ k")
+def test_a_factor_of_very_many_levels_is_absorbed_or_refused_not_gathered(spark):
+    df = spark.range(20000).selectExpr("id", "cast(id % 7 as double) y", "cast(id as string) k", "cast(id % 3 as double) z")
+    assert linear.level_table(linear.ols(df, "y ~ k")).count() == 20000
+    with pytest.raises(ValueError, match="levels"):
+        linear.ols(df, "y ~ z*k")
+    with pytest.raises(ValueError, match="levels"):
+        glm.logit(df.withColumn("y", F.col("y") % 2), "y ~ k")
 
 
 def test_distributions():
@@ -440,8 +443,7 @@ def test_two_way_clusters_leave_no_negative_variance(spark):
     assert nonnegative(scale @ bad @ scale) == pytest.approx(scale @ mended @ scale)
     good = np.array([[2.0, 1.0], [1.0, 2.0]])
     assert nonnegative(good) is good
-    # within a row of the square, scores cancel, and within a column: each one-way meat is near zero, their overlap is not
-    rows = [(i, j, float((-1) ** (i + j) * (1 + 0.01 * i)), float(1 if (i + j) % 2 else -1) * 3 + 0.1 * ((i * 7 + j * 3) % 5)) for i in range(6) for j in range(6)]
+    rows = [(i, j, float(1 + (i == j)), float((3 if (i + j) % 2 else -3) + 0.1 * ((i * 7 + j * 3) % 5))) for i in range(6) for j in range(6)]
     df = spark.createDataFrame(rows, "a int, b int, x double, y double")
     x = np.column_stack([np.ones(36), [r[2] for r in rows]])
     y = np.array([r[3] for r in rows])
@@ -452,11 +454,15 @@ def test_two_way_clusters_leave_no_negative_variance(spark):
         s = np.array([(x * u[:, None])[[k for k, r in enumerate(rows) if label(r) == g]].sum(0) for g in sorted({label(r) for r in rows})])
         return len(s) / (len(s) - 1) * s.T @ s
 
-    plain = meat(lambda r: r[0]) + meat(lambda r: r[1]) - meat(lambda r: (r[0], r[1]))
-    assert np.linalg.eigvalsh(plain).min() < 0
-    fit = linear.ols(df, "y ~ x", cluster=["a", "b"]).cluster("a", "b")
-    assert np.linalg.eigvalsh(fit.vcov).min() > -1e-12
-    assert fit.vcov.max() > 0
+    plain = bread @ (meat(lambda r: r[0]) + meat(lambda r: r[1]) - meat(lambda r: (r[0], r[1]))) @ bread * 35 / 34
+    assert np.diag(plain).min() < 0  # signs alternate, so rows and columns of the square cancel
+    fit = linear.ols(df, "y ~ x", cluster=["a", "b"])
+    assert fit.cluster("a", "b").vcov == pytest.approx(plain, abs=1e-9)
+    errors = fit.cluster("a", "b").table()["std_error"]
+    assert list(errors.isna()) == list(np.diag(plain) < 0)
+    mended = fit.cluster("a", "b", repair=True)
+    assert mended.vcov == pytest.approx(nonnegative(plain), abs=1e-9) and np.linalg.eigvalsh(mended.vcov).min() > -1e-12
+    assert mended.table()["std_error"].notna().all()
 
 
 def test_simulated_means_of_a_linear_fit_are_the_draws_at_the_mean_row(spark):
