@@ -441,7 +441,7 @@ def _measures_sql() -> str:
     sums = ", ".join(f"count({v}) AS n_{k}, sum(CASE WHEN {v} IS NOT NULL THEN perwt END) AS w_{k}, sum(perwt * {v}) / sum(CASE WHEN {v} IS NOT NULL THEN perwt END) AS m_{k}, "
                      f"sum(CASE WHEN {v} IS NOT NULL THEN perwt * perwt END) AS a_{k}, sum(perwt * perwt * {v}) AS b_{k}, sum(perwt * perwt * {v} * {v}) AS c_{k}" for k, v in values.items())
     se = lambda k: f"CASE WHEN n_{k} > 1 THEN sqrt(greatest(n_{k} / ((n_{k} - 1.0) * w_{k} * w_{k}) * (c_{k} - 2 * m_{k} * b_{k} + m_{k} * m_{k} * a_{k}), 0)) END"
-    cols = ", ".join(f"{q(f'm_{k}', 7)} AS {k}_puma, {q(se(k), 2)} AS {k}_puma_se" for k in values)
+    cols = ", ".join(f"{q(f'm_{k}', 7 if k in _SHARES else 4)} AS {k}_puma, {q(se(k), 2)} AS {k}_puma_se" for k in values)
     return f"""WITH {CLEAN_SQL}, s AS (SELECT state, puma, year, {sums} FROM clean GROUP BY ALL)
 SELECT state, puma, year, {cols}, {q('CASE WHEN m_inctot > 0 THEN ln(m_inctot) END')} AS log_inctot_puma, {q(f'{se("inctot")} / nullif(abs(m_inctot), 0)', 4)} AS log_inctot_puma_se FROM s"""
 
@@ -451,7 +451,8 @@ def area_measures(spark, sf):
     """The other shares and means of an area, each with its error."""
     names = [f"{k}_puma" for k in [*_SHARES, *_MEANS]]
     out = profiles(spark, sf).select("state", "puma", "year", *names, *[f"{c}_se" for c in names], "log_inctot_puma", "log_inctot_puma_se")
-    out = rounded(rounded(out, *names, digits=7), *[f"{c}_se" for c in names], digits=2)
+    out = rounded(rounded(out, *[f"{k}_puma" for k in _SHARES], digits=7), *[f"{k}_puma" for k in _MEANS], digits=4)
+    out = rounded(out, *[f"{c}_se" for c in names], digits=2)
     return rounded(rounded(out, "log_inctot_puma"), "log_inctot_puma_se", digits=4)
 
 
