@@ -1,24 +1,29 @@
 """Licence statements in documents: comparison with templates, and a trained paragraph classifier for what resembles none closely.
 
-The classifier is a multinomial logistic regression over hashed word n-grams with a class for paragraphs that state no licence. It is fitted on
-varied copies of the templates and on a bounded sample of the corpus's own paragraphs (those that look like no template). A first fit, on three quarters of
-the templates, sets the temperature by those it never saw and finds the paragraphs that mislead it. The model is fitted on all templates and half of those paragraphs; the other half sets the
-probability from which a paragraph counts. Every window of every text goes through it. Where a template of
+The classifier is a multinomial logistic regression over the word n-grams that templates hold, with a class for windows that state no licence. It is fitted on
+varied copies of the templates and on every window of every text of the corpus that states none by a template: a Spark job counts the windows of each set of n-grams, and
+``LogisticRegression`` is fitted to the sets, weighted by these counts. A first fit, on three quarters of the templates and sets, sets the temperature by those it never saw.
+The highest window of the whole corpus sets the probability from which a paragraph counts; so that unknown licences in the corpus itself don't hide each other, it is no higher than what half
+of the copies of the templates kept aside reach in the first model. Every window of every text goes through the model. Where a template of
 the family that it names is found, the statement is confirmed; what it passes and no template confirms is returned as unknown.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from bisect import bisect_left, bisect_right
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-from .common import map_arrow, slices, utf8
+from .common import discard, map_arrow, slices, stage, utf8
 
 # Customary titles, short notices and sentences of the texts of well-known licences.
 TEMPLATES = {
@@ -76,15 +81,20 @@ UNKNOWN = "unknown"
 SPDX = {"agpl-": "agpl", "apache-": "apache", "bsd-": "bsd", "0bsd": "bsd", "cc-by-nc-sa-": None, "cc-by-nc-nd-": None, "cc-by-nc-": "cc-by-nc", "cc-by-nd-": None, "cc-by-sa-": "cc-by-sa", "cc-by-": "cc-by",
         "cc0-": "cc0", "gpl-": "gpl", "isc": "isc", "lgpl-": "lgpl", "mit": "mit", "mpl-": "mpl", "unlicense": "unlicense"}
 
-#: Paragraphs of the corpus that the fit reads, at most about so many, spread by the hash of the document id.
-SAMPLE_PARAGRAPHS = 6000
+#: Places in the list of filler words.
+FILLER = 5000
+#: L2 penalty, and rounds over the corpus's windows at most, of a fit.
+PENALTY, ROUNDS = 1e-5, 40
+TEMPERATURES = (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0)
 VARIANTS = 120
 BITS = 17
 NGRAMS = 3
-_MASK = (1 << BITS) - 1
-#: How far, in log odds, a statement that no template confirms has to lie above all paragraphs kept aside that state no licence.
+_SHIFT = np.uint64(64 - BITS)
+#: How far, in log odds, a statement that no template confirms has to lie above all windows of the corpus without a template,
 MARGIN = 1.5
-#: One of so many templates of a family is kept aside to set the temperature.
+#: unless those reach further than half of the templates' variants do in a model that never saw their templates.
+PASSED = 0.5
+#: One of so many templates of a family, and of sets of the corpus's n-grams, is kept from the first model, which sets the temperature.
 ASIDE = 4
 #: Least share of a template's word pairs that a confirmed statement holds.
 ALIKE = 0.7
@@ -112,30 +122,70 @@ class _Words(dict):
         return value
 
 
-def _gram_slots(words: np.ndarray, n: int) -> np.ndarray:
-    """Slot of the n-gram that begins at each word, with n in the bits above."""
+def _gram_values(words: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n-gram that begins at each word."""
     value = words
     for k in range(1, n):
         value = value[:-1] * np.uint64(0xBF58476D1CE4E5B9) + words[k:]
-    return ((value ^ value >> np.uint64(31)) * np.uint64(0x94D049BB133111EB + 2 * n) >> np.uint64(64 - BITS)).astype(np.int64) | n << BITS
+    return (value ^ value >> np.uint64(31)) * np.uint64(0x94D049BB133111EB + 2 * n)
+
+
+class _Grams:
+    """The word n-grams of all templates, numbered."""
+
+    def __init__(self):
+        known, every = _Words(), [_words(t) for texts in TEMPLATES.values() for t in texts]
+        coded = [np.array([known[w] for w in words], np.uint64) for words in every]
+        self.keys = np.unique(np.concatenate([_gram_values(c, n) for c in coded for n in range(1, NGRAMS + 1) if len(c) >= n]))
+        self.marked = np.zeros(1 << BITS, bool)
+        self.marked[self.keys >> _SHIFT] = True
+        #: templates by the numbers of their word pairs, or of their only word
+        self.pairs = [np.unique(np.searchsorted(self.keys, _gram_values(c, min(2, len(c))))) for c in coded]
+        of = sorted((int(g), t) for t, pairs in enumerate(self.pairs) for g in pairs)
+        self.owned, self.owner = np.array([g for g, _ in of]), np.array([t for _, t in of])
+        size = np.array([len(pairs) for pairs in self.pairs])
+        self.need = np.where(size <= WHOLE, size, np.ceil(ALIKE / 2 * size))
+
+    def find(self, words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, number) of the n-grams of a run of words that a template holds."""
+        values = _gram_values(words, n)
+        place = np.flatnonzero(self.marked[values >> _SHIFT])
+        at = np.minimum(np.searchsorted(self.keys, values[place]), len(self.keys) - 1)
+        same = self.keys[at] == values[place]
+        return place[same], at[same]
+
+    def alike(self, number: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+        """Of ``n`` windows with these distinct n-grams, those that hold all pairs of a short template or half of ``ALIKE`` of a longer one's."""
+        low, high = np.searchsorted(self.owned, number), np.searchsorted(self.owned, number, "right")
+        many = high - low
+        at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
+        case, held = np.unique(np.repeat(owner, many) * len(self.need) + self.owner[at], return_counts=True)
+        out = np.zeros(n, bool)
+        out[case[held >= self.need[case % len(self.need)]] // len(self.need)] = True
+        return out
+
+
+@functools.cache
+def _grams() -> _Grams:
+    return _Grams()
 
 
 def _features(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(slot, paragraph) of every word n-gram; n-grams don't leave their paragraph."""
+    """(number, paragraph) of every word n-gram that a template holds; n-grams don't leave their paragraph."""
     owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    slots, owners = [], []
+    numbers, owners = [], []
     for n in range(1, min(NGRAMS, len(words)) + 1):
-        same = owner[:len(owner) - n + 1] == owner[n - 1:]
-        slots.append(_gram_slots(words, n)[same])
-        owners.append(owner[:len(owner) - n + 1][same])
-    return np.concatenate(slots), np.concatenate(owners)
+        place, number = _grams().find(words, n)
+        same = owner[place] == owner[place + n - 1]
+        numbers.append(number[same])
+        owners.append(owner[place[same]])
+    return np.concatenate(numbers or [np.zeros(0, np.int64)]), np.concatenate(owners or [np.zeros(0, np.int64)])
 
 
-def _distinct(slots: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _distinct(numbers: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each n-gram once a paragraph, paragraphs in order."""
-    pairs = np.sort(owner << BITS + 2 | slots)
-    pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] if len(pairs) else pairs
-    return pairs & _MASK, pairs >> BITS + 2
+    pairs = np.unique(owner << 32 | numbers)
+    return pairs & (1 << 32) - 1, pairs >> 32
 
 
 def _coded(paragraphs: list[list[str]], known: _Words) -> tuple[np.ndarray, np.ndarray]:
@@ -163,25 +213,20 @@ _TEMPLATE_PAIRS = {family: [_pairs(_words(t)) for t in texts] for family, texts
 @dataclass
 class Model:
     families: list[str]
-    weights: np.ndarray  # slots x (families + unknown)
+    weights: np.ndarray  # n-grams of the templates x (families + unknown)
     bias: np.ndarray
-    used: np.ndarray  # slots that the fit saw
-    temperature: float
+    temperature: float = 1.0
     #: Probability from which a paragraph counts, and from which it counts though no template confirms it.
-    threshold: float
+    threshold: float = 0.5
     sure: float = 0.5
 
     def probabilities(self, words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        n, logits = len(bounds) - 1, np.zeros((len(bounds) - 1, len(self.bias)))
-        if len(words):
-            slots, owner = _features(words, bounds)
-            used = self.used[slots & _MASK]
-            slots, owner = _distinct(slots[used], owner[used])
-            size = np.bincount(owner, minlength=n)
-            for k in range(len(self.bias)):
-                logits[:, k] = np.bincount(owner, self.weights[slots, k], n)
-            return self.softmax(logits, size)
-        return self.softmax(logits, np.zeros(n))
+        return self.judged(*_distinct(*_features(words, bounds)), len(bounds) - 1)
+
+    def judged(self, number: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+        """Probabilities of ``n`` paragraphs with these distinct n-grams."""
+        logits = np.stack([np.bincount(owner, self.weights[number, k], n) for k in range(len(self.bias))], 1) if len(owner) else np.zeros((n, len(self.bias)))
+        return self.softmax(logits, np.bincount(owner, minlength=n))
 
     def softmax(self, logits: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Probabilities from the summed weights of so many distinct n-grams."""
@@ -194,7 +239,7 @@ class Model:
 def _varied(rng: np.random.Generator, words: list[str], filler: list[str]) -> list[str]:
     """A template with some words lost, if it is not a title, and some of the corpus around it."""
     kept = words if len(words) <= WHOLE + 1 else [w for w in words if rng.random() > 0.06]
-    around = lambda: list(rng.choice(filler, rng.integers(0, 13))) if filler and rng.random() < 0.6 else []
+    around = lambda: [filler[k] for k in rng.integers(0, len(filler), rng.integers(0, 13))] if filler and rng.random() < 0.6 else []
     return around() + kept + around()
 
 
@@ -208,146 +253,142 @@ def paragraphs(text: str) -> list[tuple[int, int]]:
     return found
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 11) -> Model:
-    """The classifier for a corpus. An empty corpus gives a model fitted on the templates alone."""
-    n = docs.count()
-    share = min(1.0, SAMPLE_PARAGRAPHS / 4 / max(n, 1))
-    drawn = docs.where(F.col(text_col).isNotNull() & (F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < int(share * (1 << 30)))).select(text_col)
-
-    def lines(batches):
-        for batch in slices(batches, text_col):
-            out = []
-            for t in utf8(batch.column(0)).to_pylist():
-                for a, b in paragraphs(t):
-                    words = _words(t[a:b])
-                    at = zlib.crc32(t[a:b].encode()) % max(1, -(-len(words) // WINDOW)) * WINDOW  # any of its parts
-                    out.append(" ".join(words[at:at + WINDOW]))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["line"])
-
-    some = map_arrow(drawn, lines, "line string").where("line <> ''").distinct().orderBy(F.xxhash64("line"), "line").limit(SAMPLE_PARAGRAPHS)
-    plain = sorted(r.line for r in some.collect())
-    plain = [w for w in map(str.split, plain) if max(similarity(w, f) for f in TEMPLATES) < ALIKE / 2]
-    rng = np.random.default_rng(seed)
-    filler = sorted({w for p in plain[:500] for w in p})[:5000]
-    families = sorted(TEMPLATES)
+def _seen(docs: DataFrame, text_col: str) -> DataFrame:
+    """grams, n, words: every set of template n-grams that a window of any text holds, its windows and their words; windows that touch a statement or look like a template are left out."""
+
+    def work(batches):
+        known, matcher = _Words(), _Matcher()
+        tag = [np.uint64(known[w]) for w in ("spdx", "license", "identifier")]
+        for batch in slices(batches, text_col, 1 << 20):
+            words, bounds, _, _, _, heads, sizes = _laid_out([_lower(t) for t in utf8(batch.column(0)).to_pylist()], known)
+            stated = np.zeros(len(words) + 1, np.int64)
+            for _, start, stop, _, _ in matcher.runs(words, bounds, *matcher.pairs(words, bounds)):
+                stated[start + 1:stop + 1] = 1
+            for at in np.flatnonzero((words[:-2] == tag[0]) & (words[1:-1] == tag[1]) & (words[2:] == tag[2])).tolist():
+                stated[at + 1:at + 4] = 1
+            before = np.cumsum(stated)  # words of statements before each word
+            free = before[heads + sizes] == before[heads]
+            heads, sizes, scorer = heads[free], sizes[free], _Scorer(None, words)
+            for k in range(0, len(heads), 16384):
+                size = sizes[k:k + 16384]
+                number, window = _distinct(*scorer.held(heads[k:k + 16384], size))
+                plain = ~_grams().alike(number, window, len(size))
+                number, many = number[plain[window]], np.bincount(window, minlength=len(size))[plain]
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32()), pa.array(number, pa.int32())), pa.array(size[plain], pa.int64())],
+                                                 names=["grams", "words"])
+
+    return map_arrow(docs.select(text_col), work, "grams array<int>, words bigint").groupBy("grams").agg(F.count("*").alias("n"), F.sum("words").alias("words"))
+
+
+def _filler(seen: DataFrame) -> list[str]:
+    """Words as frequent as in the windows of the corpus, in FILLER places; one that no template holds stands for all others."""
+    grams, known = _grams(), _Words()
+    number = {int(_grams().find(np.array([known[w]], np.uint64), 1)[1][0]): w for texts in TEMPLATES.values() for t in texts for w in _words(t)}
+    total = seen.agg(F.sum("words")).first()[0] or 0
+    if not total:
+        return []
+    counts = {number[r.g]: r.n for r in seen.select(F.explode("grams").alias("g"), "n").where(F.col("g").isin(*number)).groupBy("g").agg(F.sum("n").alias("n")).collect()}
+    return [w for w in sorted(counts) for _ in range(round(FILLER * counts[w] / total))] + ["\x00"] * max(1, round(FILLER * (1 - sum(counts.values()) / total)))
+
+
+def fit(docs: DataFrame, text_col: str = "text", seed: int = 11) -> Model:
+    """The classifier for a corpus, of all windows of all its texts. An empty corpus gives a model fitted on the templates alone."""
+    spark, families, rng = docs.sparkSession, sorted(TEMPLATES), np.random.default_rng(seed)
+    seen = stage(_seen(docs, text_col), "licence-windows")
+    filler = _filler(seen)
     rows, aside = [], []
     for k, f in enumerate(families):
         for j, t in enumerate(TEMPLATES[f]):
             rows += [(k, _varied(rng, _words(t), filler)) for _ in range(VARIANTS)]
             aside += [j % ASIDE == ASIDE - 1] * VARIANTS
-    none = [(len(families), p) for p in plain] + [(len(families), list(rng.choice(filler or ["a"], rng.integers(1, 25)))) for _ in range(len(rows) // 3)]
-    rows, aside = rows + none, np.concatenate([aside, rng.random(len(none)) < 1 / ASIDE])
-    some = np.array([bool(w) for _, w in rows])
-    rows, aside = [r for r in rows if r[1]], aside[some]
-    label = np.array([k for k, _ in rows])
-    trial = _train(rng, families, [w for _, w in rows], label, np.flatnonzero(~aside), 3)
-    held, truth = _coded([rows[k][1] for k in np.flatnonzero(aside)], _Words()), label[aside]
-
-    def loss(t: float) -> float:
+    label, held = np.array([k for k, _ in rows]), np.flatnonzero(aside)
+    number, owner = _distinct(*_features(*_coded([w for _, w in rows], _Words())))
+    ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(rows)))])
+    variants = spark.createDataFrame(pa.table({"grams": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(number, pa.int32())), "label": pa.array(label, pa.float64()), "aside": pa.array(aside)}))
+    empty = spark.createDataFrame([([], 1)], "grams array<int>, n bigint")  # a window without any of the n-grams states no licence, whatever the corpus
+    apart = F.pmod(F.xxhash64("grams"), F.lit(ASIDE)) == 0
+    plain = seen.select("grams", "n").union(empty).withColumns({"label": F.lit(float(len(families))), "aside": apart})
+    size = F.size("grams")
+    features = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(len(_grams().keys)).alias("size"), F.col("grams").alias("indices"),
+                        F.array_repeat(1 / F.sqrt(F.greatest(size, F.lit(1))), size).alias("values")).alias("features")
+    staged = stage(plain.unionByName(variants.withColumn("n", F.lit(1).cast("bigint"))).select("label", "aside", "n", features), "licence-fit")
+    examples = spark.read.schema(StructType([StructField("label", DoubleType()), StructField("aside", BooleanType()), StructField("n", LongType()), StructField("features", VectorUDT())])).parquet(staged._llm_path)
+    trial, model = _train(examples.where("not aside"), families), _train(examples, families)
+
+    def unseen(t: float) -> np.ndarray:
+        """Of the first model, probabilities of the templates kept aside."""
         trial.temperature = t
-        return -np.log(np.maximum(trial.probabilities(*held)[np.arange(len(truth)), truth], 1e-12)).mean()
-
-    trial.temperature = min((0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0), key=loss)
-    near = _misleading(drawn, trial, text_col)
-    rows += [(len(families), w) for w in near[::2]]
-    model = _train(rng, families, [w for _, w in rows], np.append(label, np.full(len(near[::2]), len(families))), np.arange(len(rows)), 10)
-    model.temperature, model.threshold = trial.temperature, 0.5
-    none = [w for w in near[1::2]] + [rows[k][1] for k in np.flatnonzero(aside) if label[k] == len(families)]
-    if none:
-        p = np.clip(model.probabilities(*_coded(none, _Words()))[:, -1], 1e-9, 1 - 1e-9)
-        odds = float(np.log((1 - p) / p).max())
-        model.threshold, model.sure = (max(0.5, float(1 / (1 + np.exp(-odds - more)))) for more in (0.0, MARGIN))
+        return trial.probabilities(*_coded([rows[k][1] for k in held], _Words()))
+
+    sums = _none(seen.where(apart), trial).agg(F.sum("n"), *(F.sum(F.col("n") * F.col("none")[k]) for k in range(len(TEMPERATURES)))).first()
+    loss = [-np.log(np.maximum(unseen(t)[np.arange(len(held)), label[held]], 1e-12)).mean() - (sums[1 + k] or 0) / max(1, sums[0] or 0) for k, t in enumerate(TEMPERATURES)]
+    best = int(np.argmin(loss))
+    model.temperature = TEMPERATURES[best]
+    highest = _none(seen, model).agg(F.min(F.col("none")[best])).first()[0]
+    discard(seen, staged)
+    if highest is not None:
+        other = np.clip(unseen(model.temperature)[:, -1], 1e-9, 1 - 1e-9)
+        level, usual = np.log(np.expm1(-min(highest, -1e-9))), np.quantile(np.log((1 - other) / other), PASSED)
+        model.threshold, model.sure = (max(0.5, float(1 / (1 + np.exp(-min(level + more, usual))))) for more in (0.0, MARGIN))
     return model
 
 
-def _misleading(docs: DataFrame, trial: Model, text_col: str) -> list[list[str]]:
-    """Of all windows of some documents, those without a licence that a first model takes for one most; half of ``SAMPLE_PARAGRAPHS`` at most."""
-    shared = docs.sparkSession.sparkContext.broadcast(trial)
+def _none(seen: DataFrame, model: Model) -> DataFrame:
+    """n and none: windows of each set of n-grams, and the logarithm of its probability to state no licence at each of ``TEMPERATURES``."""
 
-    def judge(batches):
-        m, known = shared.value, _Words()
-        for batch in slices(batches, text_col, 1 << 20):
-            parts = [w for t in utf8(batch.column(0)).to_pylist() for a, b in paragraphs(t) if (w := _words(t[a:b]))]
-            words, bounds = _coded(parts, known)
-            part, heads, sizes = _windows(bounds[:-1], np.diff(bounds))
-            p = 1 - _Scorer(m, words).windows(heads, sizes)[:, -1]
-            at = np.flatnonzero(p > 0.2)
-            text = [" ".join(parts[part[k]][heads[k] - bounds[part[k]]:heads[k] - bounds[part[k]] + sizes[k]]) for k in at]
-            yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), pa.array(p[at])], names=["line", "p"])
-
-    top = map_arrow(docs, judge, "line string, p double").groupBy("line").agg(F.max("p").alias("p")).orderBy(F.desc("p"), "line").limit(SAMPLE_PARAGRAPHS // 2).collect()
-    return [w for w in (r.line.split() for r in top) if max(similarity(w, f) for f in TEMPLATES) < ALIKE / 2]
-
-
-def _train(rng: np.random.Generator, families: list[str], texts: list[list[str]], label: np.ndarray, use: np.ndarray, rounds: int) -> Model:
-    """Logistic regression over the distinct n-grams of the paragraphs ``use``, by AdaGrad over batches."""
-    words, bounds = _coded(texts, _Words())
-    slots, owner = _distinct(*_features(words, bounds))
-    size = np.bincount(owner, minlength=len(texts))
-    classes = len(families) + 1
-    model = Model(families, np.zeros((1 << BITS, classes), np.float32), np.zeros(classes), np.zeros(1 << BITS, bool), 1.0, 0.5)
-    model.used[slots[np.isin(owner, use)]] = True
-    heads = np.concatenate([[0], np.cumsum(size)])
-    grown = np.full((1 << BITS, classes), 1e-8, np.float32)
-    for _ in range(rounds):
-        turn = rng.permutation(use)
-        for k in range(0, len(turn), 128):
-            batch = turn[k:k + 128]
-            take = np.concatenate([np.arange(heads[r], heads[r + 1]) for r in batch])
-            own = np.repeat(np.arange(len(batch)), size[batch])
-            scale = 1 / np.sqrt(size[batch])[own]
-            logits = np.add.reduceat(model.weights[slots[take]] * scale[:, None], np.cumsum(size[batch]) - size[batch]) + model.bias
-            logits -= logits.max(1, keepdims=True)
-            p = np.exp(logits)
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(batch)), label[batch]] -= 1
-            touched, where = np.unique(slots[take], return_inverse=True)
-            step = np.stack([np.bincount(where, p[own, c] * scale, len(touched)) for c in range(classes)], 1)
-            step = step / len(batch) + 1e-6 * model.weights[touched]
-            grown[touched] += step ** 2
-            model.weights[touched] -= 0.5 * step / np.sqrt(grown[touched])
-            model.bias -= 0.1 * p.mean(0)
-    return model
+    def work(batches):
+        for batch in batches:
+            held = batch.column(0)
+            owner = np.repeat(np.arange(len(held)), held.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            number, out = held.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.zeros((len(held), len(TEMPERATURES)))
+            for k, t in enumerate(TEMPERATURES):
+                out[:, k] = np.log(np.maximum(replace(model, temperature=t).judged(number, owner, len(held))[:, -1], 1e-12))
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.ListArray.from_arrays(pa.array(np.arange(len(held) + 1) * len(TEMPERATURES), pa.int32()), pa.array(out.ravel()))], names=["n", "none"])
+
+    return map_arrow(seen.select("grams", "n"), work, "n bigint, none array<double>")
+
+
+def _train(examples: DataFrame, families: list[str]) -> Model:
+    """Multinomial logistic regression; the windows of the corpus weigh together as much as the variants of the templates."""
+    plain = F.col("label") == len(families)
+    total = {r.plain: r.n for r in examples.groupBy(plain.alias("plain")).agg(F.sum("n").alias("n")).collect()}
+    weighted = examples.withColumn("weight", F.when(plain, F.col("n") * (total[False] / total.get(True, 1))).otherwise(1.0))
+    fitted = LogisticRegression(family="multinomial", weightCol="weight", regParam=PENALTY, standardization=False, maxIter=ROUNDS).fit(weighted)
+    return Model(families, fitted.coefficientMatrix.toArray().T.copy(), fitted.interceptVector.toArray())
 
 
 class _Scorer:
     """Probabilities of windows of a run of words, whose n-grams are hashed once however many windows hold them."""
 
-    def __init__(self, model: Model, words: np.ndarray):
+    def __init__(self, model: Model | None, words: np.ndarray):
         self.model, self.grams = model, []
-        for n in range(1, NGRAMS + 1):
-            if len(words) < n:
-                break
-            slot = _gram_slots(words, n) & _MASK
-            place = np.flatnonzero(model.used[slot])
-            slot = slot[place]
-            order = np.lexsort((place, slot))
+        for n in range(1, min(NGRAMS, len(words)) + 1):
+            place, number = _grams().find(words, n)
+            order = np.lexsort((place, number))
             before = np.full(len(place), -1, np.int64)  # the last place of the same n-gram
-            same = np.flatnonzero(slot[order][1:] == slot[order][:-1])
+            same = np.flatnonzero(number[order][1:] == number[order][:-1])
             before[order[same + 1]] = place[order[same]]
-            self.grams.append((n, place, slot, before))
+            self.grams.append((n, place, number, before))
 
     def windows(self, heads: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         out = np.zeros((len(heads), len(self.model.bias)))
         for k in range(0, len(heads), 16384):
-            out[k:k + 16384] = self._some(heads[k:k + 16384], sizes[k:k + 16384])
+            number, window = self.held(heads[k:k + 16384], sizes[k:k + 16384])
+            out[k:k + 16384] = self.model.judged(number, window, len(out[k:k + 16384]))
         return out
 
-    def _some(self, heads: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        logits, count = np.zeros((len(heads), len(self.model.bias))), np.zeros(len(heads))
-        for n, place, slot, before in self.grams:
+    def held(self, heads: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number, window) of the distinct n-grams of some windows."""
+        numbers, windows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for n, place, number, before in self.grams:
             low, high = np.searchsorted(place, heads), np.searchsorted(place, heads + sizes - n, "right")
             many = np.maximum(high - low, 0)
             window = np.repeat(np.arange(len(heads)), many)
             at = np.arange(len(window)) - np.repeat(np.cumsum(many) - many, many) + low[window]
             first = before[at] < heads[window]
-            window, at = window[first], at[first]
-            if not len(window):
-                continue
-            begin = np.flatnonzero(np.diff(window, prepend=-1))
-            logits[window[begin]] += np.add.reduceat(self.model.weights[slot[at]], begin, axis=0)
-            count += np.bincount(window, minlength=len(heads))
-        return self.model.softmax(logits, count)
+            numbers.append(number[at[first]])
+            windows.append(window[first])
+        return np.concatenate(numbers), np.concatenate(windows)
 
 
 class _Matcher:
@@ -476,6 +517,30 @@ def _windows(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
     return part, starts[part] + shift, np.minimum(sizes[part] - shift, WINDOW)
 
 
+def _laid_out(lows: list[str], known: _Words) -> tuple[np.ndarray, ...]:
+    """Words of some texts; bounds and text of each block; first word of each text; block, first word and size of each window, of lines and of blocks of several."""
+    parts, block, row = [], [], []  # of each line
+    for k, low in enumerate(lows):
+        block.append(block[-1] + 1 if block else 0)
+        parts.append([])
+        row.append(k)
+        for line in low.split("\n"):
+            found = _WORD.findall(line)
+            block.append(block[-1] + (not found and not line.strip()))
+            parts.append(found)
+            row.append(k)
+    words, lines = _coded(parts, known)
+    block, row = np.array(block, np.int64), np.array(row, np.int64)
+    first = np.flatnonzero(np.diff(block, prepend=-1))  # first line of each block
+    bounds = np.append(lines[first], len(words))
+    base = lines[np.searchsorted(row, np.arange(len(lows)))]
+    several = np.flatnonzero(np.add.reduceat(np.diff(lines) > 0, first) > 1) if len(first) else first
+    starts = np.concatenate([lines[:-1], bounds[several]])
+    part, heads, sizes = _windows(starts, np.concatenate([np.diff(lines), np.diff(bounds)[several]]))
+    in_block = np.concatenate([block, several])[part] if len(part) else part
+    return words, bounds, row[first], base, in_block, heads, sizes
+
+
 def _unknown(text: str, spans: list[tuple[int, int]], known: list[tuple[int, int]], passed: list[tuple[int, int, int, float]], judge) -> list[tuple[int, int, int, float]]:
     """(block, first word, word after the last, probability) of what passes and no template confirms, runs that meet being one.
 
@@ -529,26 +594,7 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in slices(batches, text_col, 1 << 20):
             texts = utf8(batch.column(1)).to_pylist()
             lows = [_lower(t) for t in texts]
-            parts, block, row = [], [], []  # of each line
-            for k, low in enumerate(lows):
-                block.append(block[-1] + 1 if block else 0)
-                parts.append([])
-                row.append(k)
-                for line in low.split("\n"):
-                    found = _WORD.findall(line)
-                    block.append(block[-1] + (not found and not line.strip()))
-                    parts.append(found)
-                    row.append(k)
-            words, lines = _coded(parts, known)
-            block, row = np.array(block, np.int64), np.array(row, np.int64)
-            first = np.flatnonzero(np.diff(block, prepend=-1))  # first line of each block
-            bounds = np.append(lines[first], len(words))
-            owner = row[first]
-            base = lines[np.searchsorted(row, np.arange(len(texts)))]  # first word of each text
-            several = np.flatnonzero(np.add.reduceat(np.diff(lines) > 0, first) > 1) if len(first) else first
-            starts = np.concatenate([lines[:-1], bounds[several]])
-            part, heads, sizes = _windows(starts, np.concatenate([np.diff(lines), np.diff(bounds)[several]]))
-            in_block = np.concatenate([block, several])[part] if len(part) else part
+            words, bounds, owner, base, in_block, heads, sizes = _laid_out(lows, known)
             near = matcher.pairs(words, bounds)
             judged = _Scorer(m, words).windows
             any_licence = 1 - judged(heads, sizes)[:, -1]

@@ -127,3 +127,33 @@ def test_no_window_is_left_out(spark, model, docs):
                 best = max(best, 1 - model.probabilities(*licenses._coded([part], licenses._Words()))[0, -1])
         if best >= model.sure + 1e-3:
             assert k in found
+
+
+def test_every_document_is_learnt_from(spark):
+    """Half of 3,000 documents, as a hash of their ids draws them, have wording near a licence's; a model of the other half takes it for one."""
+    odd = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) >= 1 << 29
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("").alias("text")).withColumn("text", F.when(odd, F.concat(F.lit("version 3 or the version 2 of the work "), "doc_id")).otherwise("plain words of the corpus"))
+    assert licenses.scan(docs, licenses.fit(docs)).count() == 0
+
+
+def test_unknown_licences_of_the_corpus_itself(spark, docs):
+    planted = {10 ** 6: "zlib License", 10 ** 6 + 1: "First.\n\nBoost Software License - Version 1.0"}
+    both = docs.select("doc_id", "text").union(spark.createDataFrame(list(planted.items()), "doc_id bigint, text string"))
+    found = {(r.doc_id, r.family) for r in licenses.scan(both, licenses.fit(both)).where(F.col("family") == "unknown").collect()}
+    assert found == {(k, "unknown") for k in planted}
+
+
+def test_all_windows_are_counted(spark, docs):
+    """Brute force over lines; of texts without blocks of several lines."""
+    texts = [line for r in docs.limit(200).collect() for line in (r.text or "").split("\n") if not any(s in line for s in LINES.values())]
+    grams, known = licenses._grams(), licenses._Words()
+    want: dict[tuple, list[int]] = {}
+    for text in texts:
+        words = licenses._words(text)
+        for at in range(0, max(1, len(words) - licenses.WINDOW // 2), licenses.WINDOW // 2) if words else ():
+            part = np.array([known[w] for w in words[at:at + licenses.WINDOW]], np.uint64)
+            key = tuple(sorted({int(g) for n in (1, 2, 3) if len(part) >= n for g in grams.find(part, n)[1]}))
+            old = want.setdefault(key, [0, 0])
+            want[key] = [old[0] + 1, old[1] + len(part)]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert {tuple(r.grams): [r.n, r.words] for r in licenses._seen(frame, "text").collect()} == want
