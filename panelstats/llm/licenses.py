@@ -305,9 +305,9 @@ def fit(docs: DataFrame, text_col: str = "text", seed: int = 11) -> Model:
     number, owner = _distinct(*_features(*_coded([w for _, w in rows], _Words())))
     ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(rows)))])
     variants = spark.createDataFrame(pa.table({"grams": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(number, pa.int32())), "label": pa.array(label, pa.float64()), "aside": pa.array(aside)}))
-    empty = spark.createDataFrame([([], 1)], "grams array<int>, n bigint")  # a window without any of the n-grams states no licence, whatever the corpus
+    empty = spark.createDataFrame([([], 1, False)], "grams array<int>, n bigint, aside boolean")  # a window without any of the n-grams states no licence, whatever the corpus
     apart = F.pmod(F.xxhash64("grams"), F.lit(ASIDE)) == 0
-    plain = seen.select("grams", "n").union(empty).withColumns({"label": F.lit(float(len(families))), "aside": apart})
+    plain = seen.select("grams", "n", apart.alias("aside")).union(empty).withColumn("label", F.lit(float(len(families))))
     size = F.size("grams")
     features = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(len(_grams().keys)).alias("size"), F.col("grams").alias("indices"),
                         F.array_repeat(1 / F.sqrt(F.greatest(size, F.lit(1))), size).alias("values")).alias("features")

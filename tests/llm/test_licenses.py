@@ -157,3 +157,11 @@ def test_all_windows_are_counted(spark, docs):
             want[key] = [old[0] + 1, old[1] + len(part)]
     frame = spark.createDataFrame([(t,) for t in texts], "text string")
     assert {tuple(r.grams): [r.n, r.words] for r in licenses._seen(frame, "text").collect()} == want
+
+
+def test_corpora_of_one_text(spark):
+    for text, want in ((None, 0), ("Mit.", 0), ("plain words of it", 0), (LINES["mit"], 1)):
+        frame = spark.createDataFrame([("a", text)], "doc_id string, text string")
+        model = licenses.fit(frame)
+        assert model.weights.shape[1] == len(licenses.TEMPLATES) + 1
+        assert licenses.scan(frame, model).count() == want
